@@ -7,19 +7,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.operators.derive import normalize_sir
+from wardlens.operators.derive import normalize_sir, with_rx_measures
 from wardlens.operators.intervals import attribute_intervals, attribute_points
-from wardlens.operators.derive import with_rx_measures
-from wardlens.plans.cohort import Cohort, CohortSpec
+from wardlens.plans.cohort import Cohort
 from wardlens.plans.enrich import (
+    Enriched,
     admission_facts,
     derive_admissions,
     enrich_admissions,
     enrich_rx,
     enrich_tests,
     name_tests,
+    save_enriched,
 )
 from wardlens.schema import KEY
+from wardlens.session import configure, scratch_path
 
 AGENT_COLUMNS = ["amox", "cipr", "gent"]
 # The bindings give stays of 3 to 30 days.
@@ -33,8 +35,12 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
+        self._given: dict[str, DataFrame] = {}
+
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._given[name]
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -187,5 +193,32 @@ class Tables:
     def enriched_tests(self) -> DataFrame:
         return enrich_tests(name_tests(self.tests, self.organisms), self.enriched_admissions, MAX_STAY_DAYS)
 
-    def cohort(self, spec: CohortSpec | None = None) -> Cohort:
-        return Cohort.of(self.enriched_rx, self.enriched_tests, spec)
+    # The same tables written once to the shared folder, where the views start.
+
+    @cached_property
+    def saved(self) -> Enriched:
+        return save_enriched(
+            self.admissions,
+            self.prescriptions,
+            self.tests,
+            self.agents,
+            self.organisms,
+            scratch_path(self.spark, "enriched"),
+            max_stay_days=MAX_STAY_DAYS,
+        )
+
+    @cached_property
+    def cohort(self) -> Cohort:
+        return Cohort.of(self.saved.prescriptions, self.saved.tests)
+
+
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder; an application enriches them once, for all its views."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = Tables(configure(spark), sf_dir)
+    return _TABLES[key]

@@ -57,26 +57,26 @@ TABLES = {
                CAST(adm_end_date - adm_start_date + 1 AS INTEGER) AS "LOS",
                CAST(year(adm_start_date) - year(birth_date) AS INTEGER) AS age
         FROM adm""",
-    "anti": """
+    "rx_adm": """
         SELECT r.*, a.* EXCLUDE (id),
                CAST(ab_stop_date - ab_start_date AS INTEGER) AS ab_days,
                CAST(ab_start_date - adm_start_date AS INTEGER) AS ab_timing,
                ddd_per_day * (ab_stop_date - ab_start_date) AS ddd_per_prescription
         FROM rx r JOIN adm_d a ON r.id = a.id AND ab_start_date >= adm_start_date AND ab_stop_date <= adm_end_date""",
-    "micro": """
+    "tests_adm": """
         SELECT t.*, a.adm_id, a.adm_start_date, a.adm_end_date
         FROM tests t JOIN adm a ON t.id = a.id AND test_date BETWEEN adm_start_date AND adm_end_date""",
-    "first_start": "SELECT id, adm_id, min(ab_start_date) AS min_ab_start FROM anti GROUP BY id, adm_id",
+    "first_start": "SELECT id, adm_id, min(ab_start_date) AS min_ab_start FROM rx_adm GROUP BY id, adm_id",
     "timing": """
         SELECT m.id, m.adm_id,
                CAST(min(CASE WHEN material = 'blood' THEN test_date END) - any_value(min_ab_start) AS INTEGER) AS bc_timing,
                CAST(min(CASE WHEN material = 'urine' THEN test_date END) - any_value(min_ab_start) AS INTEGER) AS uc_timing
-        FROM micro m JOIN first_start f ON m.id = f.id AND m.adm_id = f.adm_id GROUP BY m.id, m.adm_id""",
+        FROM tests_adm m JOIN first_start f ON m.id = f.id AND m.adm_id = f.adm_id GROUP BY m.id, m.adm_id""",
     "ordered_rx": """
         SELECT id, adm_id, ab_start_date, ab_stop_date,
                row_number() OVER w AS pos,
                CASE WHEN ab_start_date > lag(ab_stop_date) OVER w THEN 1 ELSE 0 END AS gap
-        FROM anti WINDOW w AS (PARTITION BY id, adm_id ORDER BY ab_start_date, ab_stop_date, atc_code)""",
+        FROM rx_adm WINDOW w AS (PARTITION BY id, adm_id ORDER BY ab_start_date, ab_stop_date, atc_code)""",
     "led_rx": """
         SELECT *, sum(gap) OVER (PARTITION BY id, adm_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gaps
         FROM ordered_rx""",
@@ -85,14 +85,14 @@ TABLES = {
                CAST(max(ab_stop_date) - min(ab_start_date) + 1 AS INTEGER) AS ab_days_all
         FROM led_rx WHERE gaps = 0 GROUP BY id, adm_id""",
     "dose": """
-        SELECT id, adm_id, coalesce(sum(ddd_per_prescription), 0) AS ddd_total FROM anti GROUP BY id, adm_id""",
+        SELECT id, adm_id, coalesce(sum(ddd_per_prescription), 0) AS ddd_total FROM rx_adm GROUP BY id, adm_id""",
     "adm_e": """
         SELECT a.*, bc_timing, uc_timing
         FROM adm_d a LEFT JOIN timing t ON a.id = t.id AND a.adm_id = t.adm_id""",
     "rx_e": """
         SELECT a.*, ab_type, ab_group, min_ab_start, ddd_total, ab_start_cont, ab_stop_cont, ab_days_all,
                bc_timing, uc_timing, ab_start_date = min_ab_start AS ab_first
-        FROM anti a LEFT JOIN agents g ON a.atc_code = g.atc_code
+        FROM rx_adm a LEFT JOIN agents g ON a.atc_code = g.atc_code
         LEFT JOIN first_start f ON a.id = f.id AND a.adm_id = f.adm_id
         LEFT JOIN dose d ON a.id = d.id AND a.adm_id = d.adm_id
         LEFT JOIN course c ON a.id = c.id AND a.adm_id = c.adm_id
@@ -153,7 +153,7 @@ def _needed(sql: str, seen: set[str]) -> None:
             _needed(body, seen)
 
 
-def statement(sql: str, days: str = "", doubles: str = "", digits: int = 4) -> str:
+def statement(sql: str, days: str = "", doubles: str = "", digits: int = 8) -> str:
     """The SQL with the shared definitions it uses; listed columns as text or rounded."""
     changes = [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in days.split()]
     changes += [f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in doubles.split()]
@@ -256,10 +256,10 @@ def oracles() -> dict[str, str]:
     )
     sql["length_of_stay"] = q('SELECT id, adm_id, "LOS" FROM adm_d')
     sql["age_at_admission"] = q("SELECT id, adm_id, age FROM adm_d")
-    sql["ab_days"] = q(f"SELECT {PICK}, ab_days FROM anti", PICK_DAYS)
-    sql["ab_timing"] = q(f"SELECT {PICK}, ab_timing FROM anti", PICK_DAYS)
+    sql["ab_days"] = q(f"SELECT {PICK}, ab_days FROM rx_adm", PICK_DAYS)
+    sql["ab_timing"] = q(f"SELECT {PICK}, ab_timing FROM rx_adm", PICK_DAYS)
     sql["ddd_per_prescription"] = q(
-        f"SELECT {PICK}, ddd_per_prescription FROM anti", PICK_DAYS, "ddd_per_prescription"
+        f"SELECT {PICK}, ddd_per_prescription FROM rx_adm", PICK_DAYS, "ddd_per_prescription"
     )
     sql["normalize_sir"] = q("SELECT test_number, amox, cipr, gent FROM tests")
     sql["normalize_organism"] = q("SELECT test_number, coalesce(mo, 'SIGNUP ') AS mo FROM tests")
@@ -355,12 +355,12 @@ def oracles() -> dict[str, str]:
 
     # Joins
     sql["contain_join"] = q(
-        f"SELECT {PICK}, ab_route, ddd_per_day, adm_start_date, adm_end_date FROM anti",
+        f"SELECT {PICK}, ab_route, ddd_per_day, adm_start_date, adm_end_date FROM rx_adm",
         f"{PICK_DAYS} adm_start_date adm_end_date",
         "ddd_per_day",
     )
     sql["point_join"] = q(
-        "SELECT id, adm_id, test_number, test_date, material, mo, adm_start_date, adm_end_date FROM micro",
+        "SELECT id, adm_id, test_number, test_date, material, mo, adm_start_date, adm_end_date FROM tests_adm",
         "test_date adm_start_date adm_end_date",
     )
     sql["join_organism"] = q(
@@ -371,7 +371,7 @@ def oracles() -> dict[str, str]:
     sql["join_first_rx"] = q(
         """SELECT m.id, m.adm_id, test_number, min_ab_start,
                   CAST(test_date - min_ab_start AS INTEGER) AS days
-           FROM micro m JOIN first_start f ON m.id = f.id AND m.adm_id = f.adm_id""",
+           FROM tests_adm m JOIN first_start f ON m.id = f.id AND m.adm_id = f.adm_id""",
         "min_ab_start",
     )
     sql["semi_tests"] = q(
@@ -636,7 +636,7 @@ def oracles() -> dict[str, str]:
         """WITH opened AS (
                SELECT id, adm_id, ab_start_date, ab_stop_date, atc_code,
                       max(ab_stop_date) OVER (PARTITION BY id, adm_id ORDER BY ab_start_date, ab_stop_date, atc_code
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_until FROM anti),
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_until FROM rx_adm),
            numbered AS (
                SELECT *, CAST(sum(CASE WHEN ab_start_date - open_until <= 1 THEN 0 ELSE 1 END) OVER (
                    PARTITION BY id, adm_id ORDER BY ab_start_date, ab_stop_date, atc_code

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.bindings import AGENT_COLUMNS, MAX_STAY_DAYS, Tables
+from checks.bindings import AGENT_COLUMNS, MAX_STAY_DAYS, Tables, tables
 from wardlens.functions import period_label
 from wardlens.operators import counts, courses, derive, diagnostics, dims, dosing, intervals
 from wardlens.operators import isolates as iso
 from wardlens.operators import stay, survival
 from wardlens.operators.runchart import run_chart
 from wardlens.plans.cohort import CohortSpec, build_cohort, cohort_tests, min_size, selector_domains
-from wardlens.plans.enrich import Enriched
 from wardlens.schema import ADMISSIONS, AGENTS, KEY, PRESCRIPTIONS
 from wardlens.session import scratch_path
 from wardlens.sources import coerce_dates, read_dim, read_table, read_tests, write_csv
@@ -27,7 +26,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 DIGITS: dict[str, int] = {}
 
 
-def query(name: str, digits: int = 4):
+def query(name: str, digits: int = 8):
     def register(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = build
         DIGITS[name] = digits
@@ -48,7 +47,7 @@ def comparable(df: DataFrame, digits: int) -> DataFrame:
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(QUERIES[name](Tables(spark, sf_dir)), DIGITS[name])
+    return comparable(QUERIES[name](tables(spark, sf_dir)), DIGITS[name])
 
 
 def _written(t: Tables, df: DataFrame, name: str, sep: str = ",") -> str:
@@ -102,7 +101,7 @@ def _(t):
 @query("export_cohort")
 def _(t):
     columns = [*PICK, "ab_type", "ab_first", "check", "LOS"]
-    path = write_csv(t.cohort().prescriptions.select(*columns), scratch_path(t.spark, "cohort"))
+    path = write_csv(t.cohort.prescriptions.select(*columns), scratch_path(t.spark, "cohort"))
     schema = "id long, adm_id long, ab_start_date date, ab_stop_date date, atc_code string, "
     schema += "ab_type string, ab_first boolean, check string, LOS int"
     return read_table(t.spark, path, T.StructType.fromDDL(schema))
@@ -111,7 +110,7 @@ def _(t):
 @query("export_tests")
 def _(t):
     columns = ["id", "adm_id", "test_number", "test_date", "material", "mo", "fullname", "first_isolate"]
-    path = write_csv(t.cohort().tests().select(*columns), scratch_path(t.spark, "cohort-tests"))
+    path = write_csv(t.cohort.tests().select(*columns), scratch_path(t.spark, "cohort-tests"))
     schema = "id long, adm_id long, test_number long, test_date date, material string, "
     schema += "mo string, fullname string, first_isolate boolean"
     return read_table(t.spark, path, T.StructType.fromDDL(schema))
@@ -119,7 +118,7 @@ def _(t):
 
 @query("export_view")
 def _(t):
-    view = counts.count_by(t.cohort().admissions("sub_specialty"), "sub_specialty")
+    view = counts.count_by(t.cohort.admissions("sub_specialty"), "sub_specialty")
     path = write_csv(view, scratch_path(t.spark, "view"), single_file=True)
     return read_table(t.spark, path, T.StructType.fromDDL("sub_specialty string, n long"))
 
@@ -211,7 +210,7 @@ def _(t):
 
 @query("year_as_text")
 def _(t):
-    adm = t.cohort().admissions("year", "LOS")
+    adm = t.cohort.admissions("year", "LOS")
     return stay.los_histogram(adm.withColumn("year", period_label("year", "year")), "year")
 
 
@@ -226,20 +225,20 @@ def _(t):
 
 @query("rename_group")
 def _(t):
-    table = counts.count_by(t.cohort().admissions("sub_specialty"), "sub_specialty")
+    table = counts.count_by(t.cohort.admissions("sub_specialty"), "sub_specialty")
     return counts.relabel(table, {"sub_specialty": "Subspecialty"}, ["Subspecialty", "n"])
 
 
 @query("percent_text")
 def _(t):
-    adm = t.cohort().admissions("specialty", "check")
+    adm = t.cohort.admissions("specialty", "check")
     return diagnostics.diagnostic_table(adm, "specialty", percent_text=True)
 
 
 @query("dynamic_group")
 def _(t):
     parts = [
-        counts.count_by(t.enriched_rx, by).select(
+        counts.count_by(t.saved.prescriptions, by).select(
             F.lit(by).alias("by_column"), F.col(by).cast("string").alias("group_value"), "n"
         )
         for by in ("specialty", "adm_route", "gender", "year", "ab_group")
@@ -253,7 +252,7 @@ def _(t):
 def _filter_query(name: str, column: str | None = None, **fields) -> None:
     @query(name)
     def _(t):
-        return build_cohort(t.enriched_rx, CohortSpec(**fields)).select(*PICK, *([column] if column else []))
+        return build_cohort(t.saved.prescriptions, CohortSpec(**fields)).select(*PICK, *([column] if column else []))
 
 
 _filter_query("f_route", "ab_route", routes=["IV", "oral"])
@@ -275,24 +274,24 @@ _filter_query("f_diagnostic", "check", diagnostic=("urine", -2, 0))
 
 @query("semi_min_n")
 def _(t):
-    return counts.count_by(min_size(t.enriched_rx, 600), "sub_specialty")
+    return counts.count_by(min_size(t.saved.prescriptions, 600), "sub_specialty")
 
 
 @query("f_tests_taken")
 def _(t):
-    return t.cohort().tests().select(
+    return t.cohort.tests().select(
         "id", "adm_id", "test_number", "test_date", "material", "mo", "check"
     )
 
 
 @query("f_first_isolate_material")
 def _(t):
-    return iso.first_isolates(t.enriched_tests, "urine").select("id", "adm_id", "test_number", "test_date", "mo")
+    return iso.first_isolates(t.saved.tests, "urine").select("id", "adm_id", "test_number", "test_date", "mo")
 
 
 @query("f_isolate_name")
 def _(t):
-    chosen = iso.first_isolates(t.enriched_tests, "blood", organisms=["CLICK", "ERROR"])
+    chosen = iso.first_isolates(t.saved.tests, "blood", organisms=["CLICK", "ERROR"])
     return chosen.select("id", "adm_id", "test_number", "fullname")
 
 
@@ -306,7 +305,7 @@ def _(t):
 
 @query("f_not_null_agent")
 def _(t):
-    return counts.distinct_values(t.enriched_rx.filter(F.col("ab_type").isNotNull()), "ab_type", "ab_group")
+    return counts.distinct_values(t.saved.prescriptions.filter(F.col("ab_type").isNotNull()), "ab_type", "ab_group")
 
 
 @query("expand_groups")
@@ -390,20 +389,20 @@ def _(t):
 
 @query("join_los_back")
 def _(t):
-    doses = dosing.dose_per_admission(t.cohort().prescriptions, ["ab_group"])
+    doses = dosing.dose_per_admission(t.cohort.prescriptions, ["ab_group"])
     return doses.select(*KEY, "ab_group", "LOS", F.try_divide("ddd_sum", "LOS").alias("ddd_per_day"))
 
 
 @query("semi_cohort_tests")
 def _(t):
-    tests = cohort_tests(t.enriched_tests, t.cohort().prescriptions, taken_only=False)
+    tests = cohort_tests(t.saved.tests, t.cohort.prescriptions, taken_only=False)
     return tests.select(*KEY, "test_number", "test_date", "check")
 
 
 def _versus_query(name: str, by: str) -> None:
     @query(name)
     def _(t):
-        return diagnostics.diagnostic_vs_average(t.cohort().admissions(by, "check"), by)
+        return diagnostics.diagnostic_vs_average(t.cohort.admissions(by, "check"), by)
 
 
 _versus_query("join_overall", "specialty")
@@ -431,157 +430,157 @@ def _(t):
 
 @query("agent_domain")
 def _(t):
-    return counts.agent_domain(t.enriched_rx)
+    return counts.agent_domain(t.saved.prescriptions)
 
 
 @query("group_domain")
 def _(t):
-    return counts.distinct_values(t.enriched_rx, "ab_group", sort=True, nulls=False)
+    return counts.distinct_values(t.saved.prescriptions, "ab_group", sort=True, nulls=False)
 
 
 @query("agent_group_pairs")
 def _(t):
-    return counts.distinct_values(t.enriched_rx, "ab_type", "ab_group")
+    return counts.distinct_values(t.saved.prescriptions, "ab_type", "ab_group")
 
 
 @query("selector_ranges")
 def _(t):
-    return selector_domains(Enriched(t.enriched_admissions, t.enriched_rx, t.enriched_tests))[0]
+    return selector_domains(t.saved)[0]
 
 
 @query("selector_values")
 def _(t):
-    return selector_domains(Enriched(t.enriched_admissions, t.enriched_rx, t.enriched_tests))[1]
+    return selector_domains(t.saved)[1]
 
 
 @query("admission_total")
 def _(t):
-    return t.cohort().total()
+    return t.cohort.total()
 
 
 @query("distinct_admissions")
 def _(t):
-    return t.cohort().admissions(*PICK[2:], "ab_route", "ab_type", "ab_group", "specialty", "LOS", "check")
+    return t.cohort.admissions(*PICK[2:], "ab_route", "ab_type", "ab_group", "specialty", "LOS", "check")
 
 
 @query("patients_by_subspecialty")
 def _(t):
-    return counts.count_by(t.cohort().admissions("sub_specialty"), "sub_specialty", top=10)
+    return counts.count_by(t.cohort.admissions("sub_specialty"), "sub_specialty", top=10)
 
 
 @query("top_10")
 def _(t):
     by = ["specialty", "sub_specialty"]
-    return counts.count_by(t.cohort().admissions(*by), by, top=10)
+    return counts.count_by(t.cohort.admissions(*by), by, top=10)
 
 
 @query("subspecialty_table")
 def _(t):
-    return counts.count_by(t.cohort().admissions("sub_specialty"), "sub_specialty")
+    return counts.count_by(t.cohort.admissions("sub_specialty"), "sub_specialty")
 
 
 @query("age_distribution")
 def _(t):
-    return counts.count_by(t.cohort().admissions("age", "gender"), ["age", "gender"])
+    return counts.count_by(t.cohort.admissions("age", "gender"), ["age", "gender"])
 
 
 @query("admissions_per_period")
 def _(t):
-    return counts.count_by(t.cohort().admissions("yearmonth_adm"), "yearmonth_adm")
+    return counts.count_by(t.cohort.admissions("yearmonth_adm"), "yearmonth_adm")
 
 
 @query("prescriptions_by")
 def _(t):
-    return counts.count_by(t.cohort().prescriptions, "ab_group")
+    return counts.count_by(t.cohort.prescriptions, "ab_group")
 
 
 @query("reorder_desc")
 def _(t):
-    return counts.order_by(counts.count_by(t.cohort().prescriptions, "ab_type"), desc="n", asc="ab_type")
+    return counts.order_by(counts.count_by(t.cohort.prescriptions, "ab_type"), desc="n", asc="ab_type")
 
 
 @query("order_desc")
 def _(t):
-    return counts.order_by(counts.count_by(t.cohort().prescriptions, "adm_route"), desc="n", asc="adm_route")
+    return counts.order_by(counts.count_by(t.cohort.prescriptions, "adm_route"), desc="n", asc="adm_route")
 
 
 @query("order_asc")
 def _(t):
-    return counts.distinct_values(t.enriched_tests, "fullname", sort=True, nulls=False)
+    return counts.distinct_values(t.saved.tests, "fullname", sort=True, nulls=False)
 
 
 @query("distinct_rows")
 def _(t):
     return counts.distinct_values(
-        t.cohort().prescriptions, "specialty", "sub_specialty", "adm_route", "gender"
+        t.cohort.prescriptions, "specialty", "sub_specialty", "adm_route", "gender"
     )
 
 
 @query("n_distinct_groups")
 def _(t):
-    return counts.n_groups(t.cohort().admissions("sub_specialty"), "sub_specialty")
+    return counts.n_groups(t.cohort.admissions("sub_specialty"), "sub_specialty")
 
 
 @query("dose_density")
 def _(t):
-    return dosing.dose_density(t.cohort().prescriptions, "ab_group")
+    return dosing.dose_density(t.cohort.prescriptions, "ab_group")
 
 
 @query("dose_density_pooled")
 def _(t):
-    return dosing.dose_density(t.cohort().prescriptions, "ab_group", method="pooled")
+    return dosing.dose_density(t.cohort.prescriptions, "ab_group", method="pooled")
 
 
 @query("dose_table", digits=2)
 def _(t):
-    return dosing.dose_density(t.cohort().prescriptions, "sub_specialty", digits=2)
+    return dosing.dose_density(t.cohort.prescriptions, "sub_specialty", digits=2)
 
 
 @query("dose_per_admission")
 def _(t):
-    return dosing.dose_per_admission(t.cohort().prescriptions)
+    return dosing.dose_per_admission(t.cohort.prescriptions)
 
 
 @query("dose_timeseries")
 def _(t):
-    return dosing.dose_timeseries(t.cohort().prescriptions, "ddd", "yearmonth_adm", "specialty")
+    return dosing.dose_timeseries(t.cohort.prescriptions, "ddd", "yearmonth_adm", "specialty")
 
 
 @query("dose_timeseries_dot")
 def _(t):
-    return dosing.dose_timeseries(t.cohort().prescriptions, "dot", "yearquarter_adm")
+    return dosing.dose_timeseries(t.cohort.prescriptions, "dot", "yearquarter_adm")
 
 
 @query("run_chart")
 def _(t):
     monthly = counts.count_by(
-        t.cohort().admissions("sub_specialty", "yearmonth_adm"), ["sub_specialty", "yearmonth_adm"]
+        t.cohort.admissions("sub_specialty", "yearmonth_adm"), ["sub_specialty", "yearmonth_adm"]
     )
     return run_chart(monthly, x="yearmonth_adm", y="n", facet="sub_specialty")
 
 
 @query("diagnostics_per_period")
 def _(t):
-    adm = t.cohort().admissions("yearquarter_adm", "check")
+    adm = t.cohort.admissions("yearquarter_adm", "check")
     return diagnostics.diagnostics_per_period(adm, "yearquarter_adm", proportion=True)
 
 
 @query("diagnostic_timing")
 def _(t):
-    return diagnostics.diagnostic_timing(t.cohort().admissions("bc_timing", "check"), "blood")
+    return diagnostics.diagnostic_timing(t.cohort.admissions("bc_timing", "check"), "blood")
 
 
 @query("diagnostic_table", digits=1)
 def _(t):
-    return diagnostics.diagnostic_table(t.cohort().admissions("specialty", "check"), "specialty")
+    return diagnostics.diagnostic_table(t.cohort.admissions("specialty", "check"), "specialty")
 
 
 def _cohort_isolates(t: Tables) -> DataFrame:
-    return iso.first_isolates(t.cohort().tests(), "blood")
+    return iso.first_isolates(t.cohort.tests(), "blood")
 
 
 def _all_isolates(t: Tables) -> DataFrame:
-    return t.enriched_tests.filter("first_isolate")
+    return t.saved.tests.filter("first_isolate")
 
 
 @query("isolate_frequency")
@@ -591,7 +590,7 @@ def _(t):
 
 @query("top_n")
 def _(t):
-    return iso.isolate_frequency(iso.first_isolates(t.enriched_tests, "urine"), top=3)
+    return iso.isolate_frequency(iso.first_isolates(t.saved.tests, "urine"), top=3)
 
 
 @query("isolate_freq_table")
@@ -639,22 +638,22 @@ def _(t):
 
 @query("los_histogram")
 def _(t):
-    return stay.los_histogram(t.cohort().admissions("specialty", "LOS"), "specialty", zoom=(5, 20))
+    return stay.los_histogram(t.cohort.admissions("specialty", "LOS"), "specialty", zoom=(5, 20))
 
 
 @query("los_density")
 def _(t):
-    return stay.los_density(t.cohort().admissions("specialty", "LOS"), "specialty", grid=(0, 35, 1))
+    return stay.los_density(t.cohort.admissions("specialty", "LOS"), "specialty", grid=(0, 35, 1))
 
 
 @query("los_ridges")
 def _(t):
-    return stay.los_ridges(t.cohort().admissions("specialty", "LOS"), "specialty", grid=(0, 40, 0.5))
+    return stay.los_ridges(t.cohort.admissions("specialty", "LOS"), "specialty", grid=(0, 40, 0.5))
 
 
 @query("los_summary", digits=1)
 def _(t):
-    return stay.los_summary(t.cohort().admissions("ab_group", "LOS"), "ab_group")
+    return stay.los_summary(t.cohort.admissions("ab_group", "LOS"), "ab_group")
 
 
 # Window functions --------------------------------------------------------
@@ -682,13 +681,13 @@ def _(t):
 
 @query("share_in_group")
 def _(t):
-    table = counts.count_by(t.cohort().prescriptions, ["gender", "ab_group"])
+    table = counts.count_by(t.cohort.prescriptions, ["gender", "ab_group"])
     return counts.with_share(table, within="gender")
 
 
 @query("share_of_total")
 def _(t):
-    return counts.with_share(counts.count_by(t.cohort().prescriptions, "ab_type"))
+    return counts.with_share(counts.count_by(t.cohort.prescriptions, "ab_type"))
 
 
 @query("first_isolate")
@@ -700,7 +699,7 @@ def _(t):
 
 
 def _at_risk(t: Tables, strata: str) -> DataFrame:
-    adm = t.cohort().admissions(strata, "LOS", "death_during_adm")
+    adm = t.cohort.admissions(strata, "LOS", "death_during_adm")
     return derive.with_discharge_event(adm)
 
 

@@ -118,10 +118,12 @@ class Cohort:
     """A cohort and its grains; nothing runs until a view is asked for."""
 
     prescriptions: DataFrame
-    source_tests: DataFrame
+    source_tests: DataFrame | None = None
 
     @classmethod
-    def of(cls, rx: DataFrame, tests: DataFrame, spec: CohortSpec | None = None) -> Cohort:
+    def of(
+        cls, rx: DataFrame, tests: DataFrame | None = None, spec: CohortSpec | None = None
+    ) -> Cohort:
         return cls(build_cohort(rx, spec or CohortSpec.initial()), tests)
 
     def admissions(self, *columns: str) -> DataFrame:
@@ -129,6 +131,8 @@ class Cohort:
         return admission_grain(self.prescriptions, list(columns) or None)
 
     def tests(self, taken_only: bool = True) -> DataFrame:
+        if self.source_tests is None:
+            raise ValueError("this cohort was made without tests")
         return cohort_tests(self.source_tests, self.prescriptions, taken_only)
 
     def total(self) -> DataFrame:

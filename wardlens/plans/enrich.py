@@ -83,14 +83,9 @@ class Enriched:
     prescriptions: DataFrame
     tests: DataFrame
 
-    def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Write the tables as Parquet, one folder per admission year."""
-        for name in ("admissions", "prescriptions", "tests"):
-            table: DataFrame = getattr(self, name)
-            table.write.mode(mode).partitionBy("year").parquet(f"{path}/{name}")
-
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Enriched:
+        """The tables a call of ``save_enriched`` wrote."""
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("admissions", "prescriptions", "tests")))
 
 
@@ -102,22 +97,67 @@ def enrich(
     organisms: DataFrame,
     max_stay_days: int | None = None,
 ) -> Enriched:
-    """All three enriched tables from the sources and the dimensions.
+    """All three enriched tables as lazy plans from the sources and the dimensions.
 
-    Views may run on them directly; for many views on large data save them once
-    and load them again.
+    Good for one view, whose plan then holds only what it needs. For many views
+    use ``save_enriched``, which does the attribution once.
     """
     stay = longest_stay(adm) if max_stay_days is None else max_stay_days
     adm = derive_admissions(adm)
     attributed_rx = with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay))
+    facts = admission_facts(attributed_rx, _tested(tests, adm, stay))
+    return _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay)
+
+
+def _tested(tests: DataFrame, adm: DataFrame, stay: int) -> DataFrame:
     bounds = adm.select(*KEY, "adm_start_date", "adm_end_date")
-    tested = attribute_points(
-        tests.select("id", "test_date", "material"), bounds, max_stay_days=stay
-    )
-    facts = admission_facts(attributed_rx, tested)
+    return attribute_points(tests.select("id", "test_date", "material"), bounds, max_stay_days=stay)
+
+
+def _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay: int) -> Enriched:
     enriched_adm = enrich_admissions(adm, facts)
     return Enriched(
         admissions=enriched_adm,
         prescriptions=enrich_rx(attributed_rx, facts, agents),
         tests=enrich_tests(name_tests(tests, organisms), enriched_adm, stay),
     )
+
+
+def _write(df: DataFrame, path: str, mode: str) -> DataFrame:
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def save_enriched(
+    adm: DataFrame,
+    rx: DataFrame,
+    tests: DataFrame,
+    agents: DataFrame,
+    organisms: DataFrame,
+    path: str,
+    max_stay_days: int | None = None,
+    mode: str = "errorifexists",
+) -> Enriched:
+    """Write the enriched tables under ``path`` as Parquet by admission year and load them.
+
+    Attributed prescriptions and admission facts are written first, under
+    ``stage``, so each attribution join runs once whatever the number of tables
+    and passes that need it, and lost executors do not set it back. Rows are
+    rebalanced by year before they are written: few files of even size, and a
+    year with most of the rows is split.
+    """
+    stay = longest_stay(adm) if max_stay_days is None else max_stay_days
+    adm = derive_admissions(adm)
+    attributed_rx = _write(
+        with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay)),
+        f"{path}/stage/prescriptions",
+        mode,
+    )
+    facts = _write(
+        admission_facts(attributed_rx, _tested(tests, adm, stay)), f"{path}/stage/facts", mode
+    )
+    tables = _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay)
+    for name in ("admissions", "prescriptions", "tests"):
+        table: DataFrame = getattr(tables, name)
+        table.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(f"{path}/{name}")
+    return Enriched.load(adm.sparkSession, path)

@@ -9,13 +9,12 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the shuffles, splits hot join keys and turns joins
 # with a measured small side into broadcasts. Splitting is worth one more
-# shuffle, hence the force flag. Days carry no time zone, UTC keeps it so.
+# shuffle, hence the force flag.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
