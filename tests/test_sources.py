@@ -41,7 +41,7 @@ def test_semicolons_and_decimal_commas(spark, tmp_path):
 
 
 def test_agent_columns_are_whatever_else_is_there(spark, tmp_path):
-    text = "id,specialty,amox,mo,cipr,material,test_date,test_number,note\np,s,r,m, S,blood,2020-01-01,1,hello\n"
+    text = "id,specialty,amox,mo,cipr,material,test_date,test_number,note\np,surgery,r,m, S,blood,2020-01-01,1,hello\n"
     path = _file(tmp_path, text)
     df = normalize_sir(read_tests(spark, path))
     assert sir_columns(df) == ["amox", "cipr"]

@@ -13,11 +13,14 @@ PERIODS = ("year", "month", "quarter")
 
 
 def in_set(column: str | Column, values: Iterable) -> Column:
-    """Membership that is never null: a null is a member only if None is listed."""
+    """Membership that is never null: a null is a member only if None is listed.
+
+    Made of comparisons a file scan can take over, also when negated.
+    """
     col = F.col(column) if isinstance(column, str) else column
     listed = list(values)
     known = [v for v in listed if v is not None]
-    hit = F.coalesce(col.isin(known), F.lit(False)) if known else F.lit(False)
+    hit = (col.isNotNull() & col.isin(known)) if known else F.lit(False)
     return hit | col.isNull() if len(known) < len(listed) else hit
 
 

@@ -83,28 +83,30 @@ def first_isolate(
     known = known & F.col("material").isNotNull() if by_material else known
     others = [c for c in columns if c not in (*group, day)]
     order = sorted(others, key=lambda c: c != "test_number")
-    firsts = (
-        first_isolate_rows(tests, by_material, episode_days, patient, organism, day)
-        .withColumn("_piece", F.lit(0).cast("long"))
-    )
+    firsts = first_isolate_rows(tests, by_material, episode_days, patient, organism, day)
     size = F.lit(COPIES_PER_PIECE)
-    pieces = F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_PER_PIECE}"))
+    last_piece = F.floor((F.col("_copies") - 1) / size)
     counted = (
         tests.filter(known)
         .groupBy(*columns)
         .agg(F.count("*").alias("_copies"))
-        .withColumn("_piece", F.explode(pieces))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
         .withColumn("_copies", F.least(size.cast("long"), F.col("_copies") - F.col("_piece") * size))
     )
     t, f = counted.alias("t"), firsts.alias("f")
-    on = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in (*group, day, "_piece")]
-    # Structs compare as equal where the same fields are null.
-    on.append(F.struct(*(F.col(f"t.{c}") for c in order)) == F.col("f._row"))
+    # Structs compare as equal where the same fields are null. The piece is part
+    # of the struct and so of the shuffle key: copies spread, the first piece
+    # alone meets the first isolate.
+    whole = F.struct(*(F.col(f"t.{c}") for c in order), F.col("t._piece"))
+    first = F.struct(
+        *(F.col(f"f._row.{c}") for c in order), F.lit(0).cast("long").alias("_piece")
+    )
+    on = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in (*group, day)] + [whole == first]
     flagged = (
         t.join(f, on, "left")
         .select(
             "t.*",
-            F.col("f._piece").isNotNull().alias("_first"),
+            F.col("f._row").isNotNull().alias("_first"),
         )
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(*columns, (F.col("_first") & (F.col("_copy") == 1)).alias("first_isolate"))
