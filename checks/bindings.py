@@ -21,7 +21,7 @@ from wardlens.plans.enrich import (
     save_enriched,
 )
 from wardlens.schema import KEY
-from wardlens.session import configure, scratch_path
+from wardlens.session import configure, scratch_path, shared_folder
 
 AGENT_COLUMNS = ["amox", "cipr", "gent"]
 # The bindings give stays of 3 to 30 days.
@@ -193,10 +193,13 @@ class Tables:
     def enriched_tests(self) -> DataFrame:
         return enrich_tests(name_tests(self.tests, self.organisms), self.enriched_admissions, MAX_STAY_DAYS)
 
-    # The same tables written once to the shared folder, where the views start.
+    # The same tables written once to the shared folder, where the views start;
+    # as plans where there is no such folder.
 
     @cached_property
     def saved(self) -> Enriched:
+        if shared_folder(self.spark) is None:
+            return Enriched(self.enriched_admissions, self.enriched_rx, self.enriched_tests)
         return save_enriched(
             self.admissions,
             self.prescriptions,

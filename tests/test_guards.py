@@ -46,6 +46,8 @@ def test_unknown_choices(adm):
         first_isolates(adm, "sputum")
     with pytest.raises(ValueError, match="material"):
         with_diagnostic(adm, "sputum")
+    with pytest.raises(ValueError, match="organism"):
+        first_isolates(adm, "blood", organisms=[])
     with pytest.raises(ValueError, match="calc"):
         resistance_table(adm, "amox", "check", calc="mean")
     with pytest.raises(ValueError, match="agg"):

@@ -119,10 +119,12 @@ def first_isolates(
     tests: DataFrame, material: str, organisms: Sequence[str] | None = None
 ) -> DataFrame:
     """The first isolates of one material, of all or of the named organisms."""
+    if organisms is not None and not as_list(organisms):
+        raise ValueError("choose at least one organism")
     chosen = tests.filter(
         F.col("first_isolate") & (F.col("material") == check_material(material))
     )
-    return chosen if organisms is None else chosen.filter(in_set("fullname", organisms))
+    return chosen if organisms is None else chosen.filter(in_set("fullname", as_list(organisms)))
 
 
 def isolate_frequency(

@@ -25,18 +25,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one in local tests."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder in local mode and None on a cluster,
+    whose machines could not all reach one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    local = context.master == "local" or context.master.startswith("local[")
+    if not folder and local:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wardlens-"))
         folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else None
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
