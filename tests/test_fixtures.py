@@ -331,6 +331,10 @@ def test_dimension_join(spark):
     assert rows(with_dim(df, dim, "atc_code")) == expected
     # Too many rows to broadcast: same result by a shuffle.
     assert rows(with_dim(df, dim, "atc_code", max_rows=1)) == expected
+    one_null = dim.filter("n <> 4")
+    assert rows(with_dim(df, one_null, "atc_code", null_safe=True))[0] == (None, 3)
+    with pytest.raises(ValueError, match="not unique"):
+        with_dim(df, dim, "atc_code", null_safe=True)
     twice = dim.unionByName(dim)
     for limit in (1, 100):
         with pytest.raises(ValueError, match="not unique"):

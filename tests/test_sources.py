@@ -29,6 +29,11 @@ def test_columns_are_found_by_name(spark, tmp_path):
     ]
 
 
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = _file(tmp_path, 'atc_code,ab_type,ab_group\nJ01,"two\nlines","say ""x"""\n')
+    assert rows(read_dim(spark, path, AGENTS, multiline=True)) == [("J01", "two\nlines", 'say "x"')]
+
+
 def test_missing_column(spark, tmp_path):
     with pytest.raises(ValueError, match="ddd_per_day"):
         read_table(spark, _file(tmp_path, "id,ab_start_date,ab_stop_date,ab_route,atc_code\n"), PRESCRIPTIONS)
@@ -58,7 +63,7 @@ def test_export_comes_back(spark, tmp_path):
     assert rows(read_table(spark, path, df.schema)) == rows(df)
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1
     text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert "TRUE" in text and "NA" in text
+    assert "TRUE" in text and "NA" in text and '"a,""b"""' in text
     assert stamped_name("mine", "cohort", day(1)) == "mine_cohort_2020-01-01.csv"
 
 

@@ -16,9 +16,9 @@ FIRST_BY = ("ab_start_date", "ab_stop_date", "atc_code", "ab_route")
 def admission_grain(cohort: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per admission, with the prescription columns of its first prescription.
 
-    First is by start, stop, agent code and route, then by the remaining
-    prescription columns. ``columns`` limits the result to what a view needs,
-    which keeps the shuffle narrow; None keeps all.
+    First is by start, stop, agent code and route, then by the prescription
+    columns asked for. ``columns`` limits the result to what a view needs, which
+    keeps scan and shuffle narrow; None keeps all.
     """
     wanted = [c for c in (cohort.columns if columns is None else as_list(columns)) if c not in KEY]
     own = [c for c in wanted if c in PRESCRIPTION_COLUMNS]
@@ -26,7 +26,7 @@ def admission_grain(cohort: DataFrame, columns: Sequence[str] | None = None) ->
     if not own:
         return cohort.select(*KEY, *wanted).distinct()
     order = [c for c in FIRST_BY if c in cohort.columns]
-    rest = [c for c in PRESCRIPTION_COLUMNS if c in cohort.columns and c not in order]
+    rest = [c for c in own if c not in order]
     first = cohort.groupBy(*KEY, *fixed).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return first.select(
         *KEY, *(F.col(f"_first.{c}").alias(c) if c in own else F.col(c) for c in wanted)

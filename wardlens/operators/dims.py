@@ -14,16 +14,19 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def checked_dim(
-    dim: DataFrame, on: str | Sequence[str], max_rows: int = MAX_BROADCAST_ROWS
+    dim: DataFrame,
+    on: str | Sequence[str],
+    max_rows: int = MAX_BROADCAST_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """The dimension, marked for broadcast if counting shows it small; raises on repeated keys.
 
     A repeated key would multiply the rows it joins. Beyond ``max_rows`` rows
     the table is left unmarked and joins by shuffle, where adaptive execution
-    splits hot keys. Null keys match nothing and may repeat.
+    splits hot keys. Rows with a null key only count where nulls match.
     """
     keys = as_list(on)
-    used = dim.dropna(subset=keys)
+    used = dim if null_safe else dim.dropna(subset=keys)
     per_key = used.limit(max_rows + 1).groupBy(*keys).agg(F.count("*").alias("n"))
     rows, most = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     if rows > max_rows and most == 1:
@@ -34,10 +37,23 @@ def checked_dim(
 
 
 def with_dim(
-    df: DataFrame, dim: DataFrame, on: str | Sequence[str], max_rows: int = MAX_BROADCAST_ROWS
+    df: DataFrame,
+    dim: DataFrame,
+    on: str | Sequence[str],
+    max_rows: int = MAX_BROADCAST_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Left join on the dimension key; rows without a match keep nulls."""
-    return df.join(checked_dim(dim, on, max_rows), on=as_list(on), how="left")
+    """Left join on the dimension key; rows without a match keep nulls.
+
+    A null key matches nothing, or with ``null_safe`` the null key of the dimension.
+    """
+    keys = as_list(on)
+    checked = checked_dim(dim, keys, max_rows, null_safe)
+    if not null_safe:
+        return df.join(checked, on=keys, how="left")
+    d, r = df.alias("d"), checked.alias("r")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return d.join(r, same, "left").select("d.*", *(f"r.{c}" for c in dim.columns if c not in keys))
 
 
 def normalize_code(

@@ -19,6 +19,8 @@ from wardlens.operators.intervals import (
 from wardlens.operators.isolates import first_isolate
 from wardlens.schema import KEY, TIMING_COLUMN
 
+TABLES = ("admissions", "prescriptions", "tests")
+
 
 def derive_admissions(adm: DataFrame) -> DataFrame:
     """Admissions with calendar columns, length of stay and age."""
@@ -86,7 +88,7 @@ class Enriched:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Enriched:
         """The tables a call of ``save_enriched`` wrote."""
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("admissions", "prescriptions", "tests")))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
 
 def enrich(
@@ -157,7 +159,9 @@ def save_enriched(
         admission_facts(attributed_rx, _tested(tests, adm, stay)), f"{path}/stage/facts", mode
     )
     tables = _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay)
-    for name in ("admissions", "prescriptions", "tests"):
+    saved = []
+    for name in TABLES:
         table: DataFrame = getattr(tables, name)
         table.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(f"{path}/{name}")
-    return Enriched.load(adm.sparkSession, path)
+        saved.append(adm.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}"))
+    return Enriched(*saved)

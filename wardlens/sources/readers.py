@@ -25,10 +25,11 @@ def _text_to(column: str, data_type: T.DataType, decimal: str, date_format: str)
     return text.try_cast(data_type)
 
 
-def _read_delimited(spark: SparkSession, path, sep: str) -> DataFrame:
+def _read_delimited(spark: SparkSession, path, sep: str, multiline: bool) -> DataFrame:
     # Without inference only the header line is read here; columns are then
     # found by name, so their order in the file does not matter.
-    return spark.read.option("header", True).option("sep", sep).csv(path)
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline}
+    return spark.read.options(**options).csv(path)
 
 
 def read_table(
@@ -40,16 +41,22 @@ def read_table(
     decimal: str = ".",
     date_format: str = "yyyy-MM-dd",
     extra: Sequence[str] = (),
+    multiline: bool = False,
 ) -> DataFrame:
     """Read the columns of ``schema`` by name, plus ``extra`` columns as text.
 
     ``fmt`` is ``csv``, ``csv2`` (semicolons and decimal commas) or any format
     Spark reads itself, such as ``parquet``. Text that does not fit the type
-    becomes null.
+    becomes null. ``multiline`` allows line breaks inside quotes; such files are
+    read by one task each, others are split.
     """
     if fmt == "csv2":
         fmt, sep, decimal = "csv", ";", ","
-    raw = _read_delimited(spark, path, sep) if fmt == "csv" else spark.read.format(fmt).load(path)
+    raw = (
+        _read_delimited(spark, path, sep, multiline)
+        if fmt == "csv"
+        else spark.read.format(fmt).load(path)
+    )
     absent = [f.name for f in schema if f.name not in raw.columns]
     if absent:
         raise ValueError(f"{path} lacks the columns {absent}")
@@ -73,7 +80,7 @@ def read_tests(
     if agent_cols is None:
         sep = ";" if fmt == "csv2" else options.get("sep", ",")
         raw = (
-            _read_delimited(spark, path, sep)
+            _read_delimited(spark, path, sep, options.get("multiline", False))
             if fmt in ("csv", "csv2")
             else spark.read.format(fmt).load(path)
         )

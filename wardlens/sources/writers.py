@@ -18,8 +18,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
     """Write a CSV folder with headers, one part per task.
 
     ``single_file`` asks for one part and suits tables of report size only,
-    since one task then writes them. Booleans are written TRUE / FALSE and
-    missing values NA, which the readers take back.
+    since one task then writes them. Booleans are written TRUE / FALSE, missing
+    values NA and quotes doubled, which the readers take back.
     """
     out = df.select(
         *(
@@ -36,6 +36,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
         .option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
         .option("nullValue", "NA")
+        .option("escape", '"')
         .csv(path)
     )
     return path
