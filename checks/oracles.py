@@ -601,6 +601,14 @@ def oracles() -> dict[str, str]:
            FROM all_isolates GROUP BY year""",
         doubles="R",
     )
+    percent = """CASE WHEN count(amox) >= 30 THEN regexp_replace(CAST(round(
+        count(*) FILTER (amox IN ({v})) / count(amox) * 100, 1) AS VARCHAR), '\\.0$', '') || '%' END"""
+    sql["resistance_table_text"] = q(
+        f"""SELECT CAST(year(yearquarter_test) AS VARCHAR) || ' Q' || CAST(quarter(yearquarter_test) AS VARCHAR)
+                       AS yearquarter_test,
+                   'amox' AS agent, {percent.format(v="'S', 'I'")} AS "SI", {percent.format(v="'R'")} AS "R"
+            FROM all_isolates t GROUP BY t.yearquarter_test"""
+    )
     sql["los_histogram"] = q(
         'SELECT specialty, "LOS", count(*) AS n FROM grain WHERE "LOS" BETWEEN 5 AND 20 GROUP BY specialty, "LOS"'
     )

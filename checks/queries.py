@@ -636,6 +636,11 @@ def _(t):
     return iso.resistance_table(_all_isolates(t), agents, "year", calc="portion", label=label)
 
 
+@query("resistance_table_text")
+def _(t):
+    return iso.resistance_table(_all_isolates(t), "amox", "yearquarter_test", calc="portion", as_text=True)
+
+
 @query("los_histogram")
 def _(t):
     return stay.los_histogram(t.cohort.admissions("specialty", "LOS"), "specialty", zoom=(5, 20))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions import in_set
+from wardlens.functions import in_set, percent_text, period_label
 from wardlens.operators.runchart import run_chart
 from wardlens.schema import SIR, as_list, check_by, check_material
 
@@ -15,6 +15,7 @@ EPISODE_DAYS = 365
 # Identical copies of a test are counted as one row and written out again in
 # pieces of this many, which spread over the tasks.
 COPIES_PER_PIECE = 4096
+PERIOD_KIND = {"yearmonth_test": "month", "yearquarter_test": "quarter"}
 
 
 def _episode_starts(days: Column, episode_days: int) -> Column:
@@ -249,25 +250,34 @@ def resistance_table(
     calc: str = "count",
     label: str | None = None,
     minimum: int = 30,
+    as_text: bool = False,
 ) -> DataFrame:
     """One row per group, one column per interpretation.
 
     One agent gives ``SI`` and ``R``; several give ``R``, the isolates
     resistant to all of them. ``label`` is the agent text shown, see
-    ``agent_label``.
+    ``agent_label``. ``as_text`` writes portions as percentages and months and
+    quarters by name.
     """
     if calc not in ("count", "portion"):
         raise ValueError("calc must be 'count' or 'portion'")
     keys, agents = check_by(by), _need_agents(agents)
     text = F.lit(label or " & ".join(agents)).alias("agent")
     if len(agents) > 1:
+        kinds = ["R"]
         table = co_resistance(isolates, agents, keys, calc == "portion", minimum)
-        return table.select(*keys, text, F.col("value").alias("R"))
-    long = (
-        sir_counts(isolates, agents, keys, combine_si=True)
-        if calc == "count"
-        else sir_portions(isolates, agents, keys, minimum, combine_si=True)
-    )
-    table = long.groupBy(*keys).pivot("interpretation", ["SI", "R"]).agg(F.first("value"))
-    return table.select(*keys, text, "SI", "R")
-
+        table = table.withColumnRenamed("value", "R")
+    else:
+        kinds = ["SI", "R"]
+        long = (
+            sir_counts(isolates, agents, keys, combine_si=True)
+            if calc == "count"
+            else sir_portions(isolates, agents, keys, minimum, combine_si=True)
+        )
+        table = long.groupBy(*keys).pivot("interpretation", kinds).agg(F.first("value"))
+    if as_text:
+        named = {k: period_label(k, PERIOD_KIND[k]) for k in keys if k in PERIOD_KIND}
+        if calc == "portion":
+            named.update({k: percent_text(F.col(k) * 100.0) for k in kinds})
+        table = table.withColumns(named) if named else table
+    return table.select(*keys, text, *kinds)

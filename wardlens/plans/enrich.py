@@ -127,7 +127,7 @@ def _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay: int) ->
 
 def _write(df: DataFrame, path: str, mode: str) -> DataFrame:
     df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def save_enriched(
@@ -142,14 +142,14 @@ def save_enriched(
 ) -> Enriched:
     """Write the enriched tables under ``path`` as Parquet by admission year and load them.
 
-    Attributed prescriptions and admission facts are written first, under
-    ``stage``, so each attribution join runs once whatever the number of tables
-    and passes that need it, and lost executors do not set it back. Rows are
-    rebalanced by year before they are written: few files of even size, and a
-    year with most of the rows is split.
+    What several steps need is written first, under ``stage``: the sources are
+    parsed once and each attribution join runs once, and lost executors do not
+    set the later steps back. Rows are rebalanced by year before they are
+    written: few files of even size, and a year with most of the rows is split.
     """
+    adm = _write(derive_admissions(adm), f"{path}/stage/admissions", mode)
+    tests = _write(tests, f"{path}/stage/tests", mode)
     stay = longest_stay(adm) if max_stay_days is None else max_stay_days
-    adm = derive_admissions(adm)
     attributed_rx = _write(
         with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay)),
         f"{path}/stage/prescriptions",
