@@ -2,8 +2,9 @@
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the threads
 (default 8), ``BENCH_QUERIES`` a comma list of queries, or ``all``. ``enrich_and_save``
-is the time to attribute, enrich and save the tables, cold and once; the view
-queries start from these, the operator queries from the given tables.
+is the time to attribute, enrich and save all tables; the view queries start from
+what it wrote, the operator queries from the given tables. ``first_run`` holds the
+times of the warm-up.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from checks.bindings import tables  # noqa: E402
+from checks.bindings import Tables, tables  # noqa: E402
 from checks.queries import QUERIES, run  # noqa: E402
 
 HEADLINE = [
@@ -58,6 +59,12 @@ def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:
     return round(time.perf_counter() - begin, 3)
 
 
+def enrich_seconds(given: Tables) -> float:
+    begin = time.perf_counter()
+    given.saved  # noqa: B018
+    return round(time.perf_counter() - begin, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -72,16 +79,14 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    begin = time.perf_counter()
-    tables(spark, sf_dir).saved  # noqa: B018
-    prepared = round(time.perf_counter() - begin, 3)
-    cold = {name: seconds(spark, name, sf_dir) for name in chosen}
-    warm = {"enrich_and_save": prepared}
+    cold = {"enrich_and_save": enrich_seconds(tables(spark, sf_dir))}
+    cold.update({name: seconds(spark, name, sf_dir) for name in chosen})
+    warm = {"enrich_and_save": enrich_seconds(Tables(spark, sf_dir))}
     warm.update({name: seconds(spark, name, sf_dir) for name in chosen})
     print(
         json.dumps(
             {
-                "metric": "total seconds: tables enriched and saved once, then each query warm",
+                "metric": "total seconds, warm: enriching and saving the tables, then each query",
                 "value": round(sum(warm.values()), 3),
                 "unit": "sec",
                 "queries": warm,
