@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import encoding, langid, quality
+from wardlens.llm import encoding, langid, lzprint, quality, tiling, tokencount, tokenfiles
+from wardlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 QUALITY_CUT = 0.3
+CONTEXT = 4096
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,6 +50,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = tiling.blocks(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return docs.select("doc_id", tiling.contamination(items, F.col("text")).alias("own")).select(
+        "doc_id", (F.col("own.n_items") > 0).alias("contaminated"), "own.*"
+    )
+
+
+@query
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,3 +79,23 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
     return docs.select("doc_id", encoding.digests(F.col("text"), path).alias("own")).select("doc_id", "own.*")
+
+
+@query
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = docs.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(tokencount.count_tokens(F.col("text"), path), F.lit(0)).cast("long").alias("n_tokens"),
+    )
+    return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = tokenfiles.write(docs, "doc_id", "text", path, scratch_path(spark, "tokens"), end_id=2)
+    return tokenfiles.read(spark, files).withColumnRenamed("key", "doc_id")
