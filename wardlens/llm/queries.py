@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import encoding, langid, lzprint, quality, tiling, tokencount, tokenfiles
+from wardlens.llm import encoding, jaccard, langid, lzprint, quality, tiling, tokencount, tokenfiles
 from wardlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files = tokenfiles.write(docs, "doc_id", "text", path, scratch_path(spark, "tokens"), end_id=2)
     return tokenfiles.read(spark, files).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
