@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import encoding, jaccard, langid, lzprint, quality, tiling, tokencount, tokenfiles
+from wardlens.llm import chat, encoding, jaccard, langid, lzprint, quality, tiling, tokencount, tokenfiles, warc
 from wardlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", scratch_path(spark, "warc"))
+    return warc.read(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    folder = scratch_path(spark, "chat")
+    chat.write(rows, "conv_id", "turn", "role", "text", folder)
+    return chat.read(spark, folder)
+
+
+_MARKS = r"(\\|</?s>|\[/?INST\]|<</?SYS>>)"
+SQL["op6_chat_tree"] = rf"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    cast(sum(8 + length(replace(regexp_replace(role, '{_MARKS}', '\\\1', 'g'), chr(10), '\' || chr(10)))
+        + length(regexp_replace(text, '{_MARKS}', '\\\1', 'g'))) as bigint) as formatted_chars
+from turns group by conv_id
+"""
