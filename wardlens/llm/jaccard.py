@@ -172,7 +172,7 @@ def _prefixes(common: np.ndarray):
     return prefixes
 
 
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _routes(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, sig) to pairs of small blocks (key null) and members of large ones (b null)."""
     pairs, held = [], 0
     key, sign, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # a block that may go on; a large one's key
@@ -185,15 +185,15 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
-        small = (size > 1) & (size <= LEAF)
+        small = (size > 1) & (size <= leaf)
         k, s = key[small], sign[small]
-        for ahead in range(1, LEAF):
+        for ahead in range(1, leaf):
             same = k[ahead:] == k[:-ahead]
             if not same.any():
                 break
             pairs.append(np.stack([s[:-ahead][same], s[ahead:][same]], axis=1))
             held += int(same.sum())
-        members = size > LEAF
+        members = size > leaf
         if members.any():
             yield _route(key[members], sign[members], sign[members], False)
         if held > 500_000:
@@ -218,7 +218,7 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.searchsorted(key, key[-1])) if len(key) else 0
         yield from blocks(key[:last], sign[:last])
         key, sign = key[last:], sign[last:]
-        if len(key) > LEAF:
+        if len(key) > leaf:
             yield _route(key, sign, sign, False)
             large, key, sign = key[0], key[:0], sign[:0]
     yield from blocks(key, sign)
@@ -403,12 +403,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where(may_link("point_a", "point_b", "n_a", "n_b")).select("a", "b")
 
 
-def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame, tile: int) -> DataFrame:
     """Pairs of different components from the blocks that are larger than a leaf."""
     known = members.select("key", F.col("a").alias("sig")).distinct().join(parts_of, "sig", "left")
     known = known.withColumn("component", F.coalesce("component", "sig"))
     mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
-    rows = known.join(mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "key")
+    rows = known.join(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "key")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("sig"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.select("key", "sig", "component", "tile", other.alias("other"))
@@ -417,8 +417,19 @@ def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame) -> DataF
     return rows.groupBy("key", "t1", "t2").applyInPandas(_search, "a long, b long").distinct()
 
 
-def join(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, component) of each document, the component named by its smallest key."""
+def _near_pairs(classes: DataFrame) -> DataFrame:
+    """Each class with the smallest class that shares a minimum hash."""
+    near = classes.select("sig", F.explode("near").alias("near"))
+    stars = near.groupBy("near").agg(F.min("sig").alias("a"), F.count("*").alias("size")).where("size > 1")
+    pairs = near.join(stars, "near").where("sig != a").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a"))
+    return pairs.select("a", "b")
+
+
+def join(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """(key, n_shingles, component) of each document, the component named by its smallest key.
+
+    ``leaf`` and ``tile`` change the work and not the result.
+    """
     spark: SparkSession = documents.sparkSession
     folder = scratch_path(spark, "jaccard")
     docs = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -428,23 +439,20 @@ def join(documents: DataFrame, key: str, text: str) -> DataFrame:
     firsts.write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
 
-    near = classes.select("sig", F.explode("near").alias("near"))
-    stars = near.groupBy("near").agg(F.min("sig").alias("a"), F.count("*").alias("size")).where("size > 1")
-    pairs = near.join(stars, "near").where("sig != a").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a"))
-    copies = _linked(_bounded(pairs.select("a", "b"), classes), docs, classes, f"{folder}/near")
+    copies = _linked(_bounded(_near_pairs(classes), classes), docs, classes, f"{folder}/near")
     components(copies).write.parquet(f"{folder}/parts")
     parts_of = spark.read.parquet(f"{folder}/parts").withColumnRenamed("node", "sig")
 
     dealt = docs.select("text").mapInArrow(_prefixes(frequent(docs)), "key long, sig long")
     ordered = dealt.repartition("key").sortWithinPartitions("key", "sig")
-    ordered.mapInArrow(_routes, "key long, a long, b long").write.parquet(f"{folder}/routes")
+    ordered.mapInArrow(lambda batches: _routes(batches, leaf), "key long, a long, b long").write.parquet(f"{folder}/routes")
     routes = spark.read.parquet(f"{folder}/routes")
     direct = routes.where("key is null").select("a", "b").distinct()
     for side in ("a", "b"):
         labels = parts_of.select(F.col("sig").alias(side), F.col("component").alias(f"{side}_part"))
         direct = direct.join(labels, side, "left").withColumn(f"{side}_part", F.coalesce(f"{side}_part", side))
     direct = _bounded(direct.where("a_part != b_part").select("a", "b"), classes)
-    searched = _tiles(routes.where("key is not null"), classes, parts_of)
+    searched = _tiles(routes.where("key is not null"), classes, parts_of, tile)
     others = _linked(direct.union(searched).distinct(), docs, classes, f"{folder}/others")
 
     whole = components(copies.union(others)).withColumnRenamed("node", "sig")
