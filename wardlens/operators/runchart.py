@@ -8,43 +8,53 @@ distribution with n - 1 trials and probability one half.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.schema import as_list
 
-MAX_POINTS = 4000
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "median": F.median}
 
 
-@functools.cache
-def run_limits(max_points: int) -> list[tuple[int, int, int]]:
-    """(points, longest run allowed, fewest crossings allowed) for 1..max_points points."""
-    limits = []
-    # Exact integers: below = sum of C(trials, i) for i <= k, term = C(trials, k).
-    k, term, below = 0, 1, 1
-    for points in range(1, max_points + 1):
-        trials = points - 1
-        if trials:
-            below = 2 * below - term
-            term = term * trials // (trials - k)
-        while 20 * below < 2**trials:
-            k += 1
-            term = term * (trials - k + 1) // k
-            below += term
-        limits.append((points, round(math.log2(points) + 3), k))
-    return limits
-
-
-def _limits(spark: SparkSession) -> DataFrame:
-    return F.broadcast(
-        spark.createDataFrame(
-            run_limits(MAX_POINTS), "n_useful int, longest_run_max int, n_crossings_min int"
+def fewest_crossings(points: Column) -> Column:
+    """5 % quantile of a binomial distribution with ``points - 1`` trials and probability one half.
+
+    Adds the probabilities from 0 crossings on, each from the one before in logarithms, and
+    keeps the first number at which their sum reaches 0.05.
+    """
+    trials = points - 1
+    start = F.struct(
+        (trials * -math.log(2)).alias("log"),
+        F.exp(trials * -math.log(2)).alias("total"),
+        F.when(F.exp(trials * -math.log(2)) >= 0.05, 0).alias("quantile"),
+    )
+
+    def one_more(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.log((trials - k + 1) / k)
+        total = acc["total"] + F.exp(log)
+        return F.struct(
+            log.alias("log"),
+            total.alias("total"),
+            F.coalesce(acc["quantile"], F.when(total >= 0.05, k)).alias("quantile"),
         )
+
+    # The quantile lies below the mean.
+    steps = F.when(trials > 1, F.sequence(F.lit(1), F.ceil(trials / 2).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.aggregate(steps, start, one_more, lambda acc: acc["quantile"])
+
+
+def _limits(chart: DataFrame) -> DataFrame:
+    """Both limits for each number of useful points that occurs."""
+    points = F.col("n_useful")
+    return chart.select("n_useful").distinct().filter(points > 0).select(
+        "n_useful",
+        F.round(F.log2(points) + 3).cast("int").alias("longest_run_max"),
+        fewest_crossings(points).alias("n_crossings_min"),
     )
 
 
@@ -84,14 +94,10 @@ def run_chart(
             }
         )
     )
-    if_too_many = F.raise_error(F.lit(f"a run chart takes at most {MAX_POINTS} periods"))
-    chart = chart.withColumn(
-        "n_useful", F.when(F.col("n_useful") <= MAX_POINTS, F.col("n_useful")).otherwise(if_too_many)
-    )
     signal = (F.col("longest_run") > F.col("longest_run_max")) | (
         F.col("n_crossings") < F.col("n_crossings_min")
     )
-    return chart.join(_limits(df.sparkSession), "n_useful", "left").select(
+    return chart.join(_limits(chart), "n_useful", "left").select(
         *facets,
         "x",
         "y",

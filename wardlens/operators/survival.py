@@ -58,28 +58,33 @@ def km_curve(
     return curve if shown is None else curve.filter(shown)
 
 
-def strata_values(adm: DataFrame, strata: str) -> list:
-    """The known strata in order; raises unless there are two to five."""
-    found = adm.select(strata).dropna().distinct().limit(MAX_STRATA + 1).collect()
+def strata_values(adm: DataFrame, strata: str, max_strata: int | None = MAX_STRATA) -> list:
+    """The known strata in order; raises unless there are two to ``max_strata`` (None: any number)."""
+    distinct = adm.select(strata).dropna().distinct()
+    found = (distinct if max_strata is None else distinct.limit(max_strata + 1)).collect()
     if len(found) < 2:
         raise ValueError("choose a column with at least two groups")
-    if len(found) > MAX_STRATA:
-        raise ValueError(f"at most {MAX_STRATA} groups can be compared; adjust the selection")
+    if max_strata is not None and len(found) > max_strata:
+        raise ValueError(f"at most {max_strata} groups can be compared; adjust the selection")
     return sorted(row[0] for row in found)
 
 
-def _sums(adm: DataFrame, time: str, event: str, strata: str, values: list) -> DataFrame:
+def _counts(adm: DataFrame, time: str, event: str, strata: str) -> DataFrame:
+    """Admissions ``m`` and events ``d`` per time ``t`` and stratum."""
+    return (
+        _complete(adm, time, event, strata)
+        .groupBy(F.col(time).alias("t"), strata)
+        .agg(F.count("*").alias("m"), F.sum(F.col(event).cast("long")).alias("d"))
+    )
+
+
+def _sums(counts: DataFrame, strata: str, values: list) -> DataFrame:
     """One row with O, E per stratum (``o0``, ``e0``) and the covariances (``v0_1``)."""
     size = range(len(values))
     is_in = [F.col(strata) == F.lit(v) for v in values]
-    happened = F.col(event).cast("long")
-    at_time = (
-        _complete(adm, time, event, strata)
-        .groupBy(F.col(time).alias("t"))
-        .agg(
-            *(F.sum(F.when(is_in[i], happened).otherwise(0)).alias(f"d{i}") for i in size),
-            *(F.count_if(is_in[i]).alias(f"m{i}") for i in size),
-        )
+    at_time = counts.groupBy("t").agg(
+        *(F.sum(F.when(is_in[i], F.col("d")).otherwise(0)).alias(f"d{i}") for i in size),
+        *(F.sum(F.when(is_in[i], F.col("m")).otherwise(0)).alias(f"m{i}") for i in size),
     )
     # One row per distinct time is left, so an unpartitioned window is short.
     from_end = Window.partitionBy().orderBy(F.desc("t"))
@@ -105,10 +110,14 @@ def _sums(adm: DataFrame, time: str, event: str, strata: str, values: list) -> D
 
 
 def logrank_table(
-    adm: DataFrame, time: str = "LOS", event: str = "event", strata: str = "check"
+    adm: DataFrame,
+    time: str = "LOS",
+    event: str = "event",
+    strata: str = "check",
+    max_strata: int | None = MAX_STRATA,
 ) -> DataFrame:
     """Per stratum: number, observed and expected events, variance of their difference."""
-    values = strata_values(adm, strata)
+    values = strata_values(adm, strata, max_strata)
     rows = F.array(
         *(
             F.struct(
@@ -121,32 +130,39 @@ def logrank_table(
             for i, v in enumerate(values)
         )
     )
-    return _sums(adm, time, event, strata, values).select(F.inline(rows))
+    return _sums(_counts(adm, time, event, strata), strata, values).select(F.inline(rows))
 
 
 def chi_square_tail(x: float, df: int) -> float:
-    """P(chi-square with ``df`` degrees of freedom > x), closed form for df up to 4."""
-    if df not in (1, 2, 3, 4):
-        raise ValueError("one to four degrees of freedom")
-    if df == 1:
-        return math.erfc(math.sqrt(x / 2))
-    if df == 2:
-        return math.exp(-x / 2)
-    if df == 3:
-        return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-    return (1 + x / 2) * math.exp(-x / 2)
+    """P(chi-square with ``df`` degrees of freedom > x), a finite sum for each df."""
+    if df < 1:
+        raise ValueError("at least one degree of freedom")
+    if x <= 0:
+        return 1.0
+    # Two more degrees of freedom add (x / 2) ** (k / 2) * exp(-x / 2) / gamma(k / 2 + 1).
+    odd = df % 2
+    tail = math.erfc(math.sqrt(x / 2)) if odd else math.exp(-x / 2)
+    for k in range(1 if odd else 2, df, 2):
+        tail += math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1))
+    return min(tail, 1.0)
 
 
 def logrank_test(
-    adm: DataFrame, time: str = "LOS", event: str = "event", strata: str = "check"
+    adm: DataFrame,
+    time: str = "LOS",
+    event: str = "event",
+    strata: str = "check",
+    max_strata: int | None = MAX_STRATA,
 ) -> DataFrame:
-    """One row: ``chisq``, ``df`` and ``p_value`` of equal curves in two to five strata.
+    """One row: ``chisq``, ``df`` and ``p_value`` of equal curves in the strata.
 
-    Spark reduces the admissions to one row of sums; only the solve of an at
-    most 4 x 4 system happens on the driver.
+    Spark counts the admissions per time and stratum, once; the strata and the one row
+    of sums come from these counts, and only a system as large as the strata are many
+    is solved on the driver.
     """
-    values = strata_values(adm, strata)
-    sums = _sums(adm, time, event, strata, values).first()
+    adm = _counts(adm, time, event, strata)
+    values = strata_values(adm, strata, max_strata)
+    sums = _sums(adm, strata, values).first()
     df = len(values) - 1
     difference = np.array([sums[f"o{i}"] - sums[f"e{i}"] for i in range(df)])
     spread = np.array([[sums[f"v{min(i, j)}_{max(i, j)}"] for j in range(df)] for i in range(df)])
