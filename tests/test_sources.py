@@ -5,7 +5,7 @@ import pytest
 from tests.conftest import day, rows
 from wardlens.operators.derive import normalize_sir, sir_columns
 from wardlens.schema import ADMISSIONS, AGENTS, PRESCRIPTIONS
-from wardlens.sources import coerce_dates, read_dim, read_table, read_tests, stamped_name, write_csv
+from wardlens.sources import coerce_dates, read_dim, read_table, read_tests, rejected_values, stamped_name, write_csv
 
 
 def _file(tmp_path, text):
@@ -59,7 +59,7 @@ def test_export_comes_back(spark, tmp_path):
         [("p", day(1), True, None, 1.5), ("q", None, None, "a,\"b\"", None)],
         "id string, d_date date, flag boolean, text string, x double",
     )
-    path = write_csv(df, str(tmp_path / "out"), single_file=True)
+    path = write_csv(df, str(tmp_path / "out"), single_file=True, na="NA")
     assert rows(read_table(spark, path, df.schema)) == rows(df)
     assert len(list((tmp_path / "out").glob("*.csv"))) == 1
     text = next((tmp_path / "out").glob("*.csv")).read_text()
@@ -67,6 +67,53 @@ def test_export_comes_back(spark, tmp_path):
     assert stamped_name("mine", "cohort", day(1)) == "mine_cohort_2020-01-01.csv"
 
 
+def test_texts_that_look_missing_survive_an_export(spark, tmp_path):
+    texts = ["NA", "", " x ", None, '"', "a,b", "null"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    path = write_csv(df, str(tmp_path / "out"))
+    assert rows(read_table(spark, path, df.schema, missing=(), trim=False)) == rows(df)
+    assert rows(read_table(spark, path, df.schema), "text").count((None,)) == 3
+
+
+def _two_files(tmp_path, one, two):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(one)
+    (folder / "b.csv").write_text(two)
+    return str(folder)
+
+
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    path = _two_files(tmp_path, "atc_code,ab_type,ab_group\nJ01,a,G1\n", "ab_group,atc_code,ab_type\nG2,J02,b\n")
+    expected = [("J01", "a", "G1"), ("J02", "b", "G2")]
+    assert rows(read_dim(spark, path, AGENTS)) == expected
+    assert rows(read_dim(spark, [f"{path}/b.csv", f"{path}/a.csv"], AGENTS)) == expected
+    head = "id,ab_start_date,ab_stop_date,ab_route,atc_code,ddd_per_day"
+    rx = tmp_path / "rx"
+    rx.mkdir()
+    (rx / "a.csv").write_text(f"{head}\np,2020-01-01,2020-01-02,IV,J01,1.5\n")
+    (rx / "b.csv").write_text("ddd_per_day,atc_code,ab_route,ab_stop_date,ab_start_date,id\n2.5,J02,oral,2020-01-04,2020-01-03, q \n")
+    found = rows(read_table(spark, str(rx), PRESCRIPTIONS), "id", "ab_route", "ddd_per_day")
+    assert found == [("p", "IV", 1.5), ("q", "oral", 2.5)]
+
+
+def test_laboratories_with_other_agents(spark, tmp_path):
+    path = _two_files(
+        tmp_path,
+        "id,test_number,test_date,material,mo,specialty,amox,cipr\np,1,2020-01-01,blood,m,s,S,R\n",
+        "gent,amox,specialty,mo,material,test_date,test_number,id\nI,R,s,m,urine,2020-01-02,2,q\n",
+    )
+    df = normalize_sir(read_tests(spark, path))
+    assert rows(df, "id", "material", "amox", "cipr", "gent") == [("p", "blood", "S", "R", None), ("q", "urine", "R", None, "I")]
+
+
+def test_values_that_do_not_fit_are_counted(spark, tmp_path):
+    text = "id,ab_start_date,ab_stop_date,ab_route,atc_code,ddd_per_day\np,2020-13-01,2020-01-02,IV,J01,x\nq,,NA,IV,J01,1\n"
+    found = {r[0]: tuple(r[1:]) for r in rejected_values(spark, _file(tmp_path, text), PRESCRIPTIONS).collect()}
+    assert found["ab_start_date"] == (1, 1) and found["ab_stop_date"] == (1, 0) and found["ddd_per_day"] == (2, 1)
+    assert found["id"] == (2, 0)
+
+
 def test_parquet(spark, tmp_path):
     dim = spark.createDataFrame([("J01", "a", "b", 1)], "atc_code string, ab_type string, ab_group string, n int")
     dim.write.parquet(str(tmp_path / "dim"))

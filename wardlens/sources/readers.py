@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,13 @@ from wardlens.schema import TESTS
 MISSING = ("", "NA")
 
 
-def _text_to(column: str, data_type: T.DataType, decimal: str, date_format: str) -> Column:
+def _clean(column: str, missing: Sequence[str], trim: bool) -> Column:
     col = F.col(f"`{column}`")
-    text = F.when(~col.isin(*MISSING), col)
+    text = F.trim(col) if trim else col
+    return F.when(~text.isin(*missing), text) if missing else text
+
+
+def _typed(text: Column, data_type: T.DataType, decimal: str, date_format: str) -> Column:
     if isinstance(data_type, T.DateType):
         return F.try_to_date(text, date_format)
     if isinstance(data_type, T.NumericType) and decimal == ",":
@@ -25,11 +30,26 @@ def _text_to(column: str, data_type: T.DataType, decimal: str, date_format: str)
     return text.try_cast(data_type)
 
 
-def _read_delimited(spark: SparkSession, path, sep: str, multiline: bool) -> DataFrame:
-    # Without inference only the header line is read here; columns are then
-    # found by name, so their order in the file does not matter.
-    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline}
-    return spark.read.options(**options).csv(path)
+def _read_delimited(
+    spark: SparkSession, path: str | list[str], sep: str, multiline: bool
+) -> DataFrame:
+    """All files as text columns, found by name in each file.
+
+    Without inference only the header lines are read here. Files are grouped by
+    header, since Spark reads a group by the positions of its first file; a column
+    that some group lacks is null there.
+    """
+    # The null mark stands in for an unquoted empty field, so that "" stays a text.
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline, "nullValue": "\u0000"}
+    reader = spark.read.options(**options)
+    files = spark.read.text(path).inputFiles()
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        headers.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    if len(headers) < 2:
+        return reader.csv(path)
+    parts = [reader.csv(group) for header, group in headers.items() if header]
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
 
 
 def read_table(
@@ -42,13 +62,17 @@ def read_table(
     date_format: str = "yyyy-MM-dd",
     extra: Sequence[str] = (),
     multiline: bool = False,
+    missing: Sequence[str] = MISSING,
+    trim: bool = True,
 ) -> DataFrame:
     """Read the columns of ``schema`` by name, plus ``extra`` columns as text.
 
     ``fmt`` is ``csv``, ``csv2`` (semicolons and decimal commas) or any format
     Spark reads itself, such as ``parquet``. Text that does not fit the type
-    becomes null. ``multiline`` allows line breaks inside quotes; such files are
-    read by one task each, others are split.
+    becomes null; ``rejected_values`` counts it. Texts in ``missing`` are null, and
+    blanks around a value are dropped; ``missing=(), trim=False`` takes back an
+    export as it was. ``multiline`` allows line breaks inside quotes; such files
+    are read by one task each, others are split.
     """
     if fmt == "csv2":
         fmt, sep, decimal = "csv", ";", ","
@@ -61,14 +85,48 @@ def read_table(
     if absent:
         raise ValueError(f"{path} lacks the columns {absent}")
     if fmt == "csv":
-        typed = [_text_to(f.name, f.dataType, decimal, date_format).alias(f.name) for f in schema]
-        more = [_text_to(c, T.StringType(), decimal, date_format).alias(c) for c in extra]
+        typed = [
+            _typed(_clean(f.name, missing, trim), f.dataType, decimal, date_format).alias(f.name)
+            for f in schema
+        ]
+        more = [_clean(c, missing, trim).alias(c) for c in extra]
     else:
         typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
         more = [F.col(f"`{c}`").cast("string").alias(c) for c in extra]
     return raw.select(*typed, *more)
 
 
+def rejected_values(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    sep: str = ",",
+    decimal: str = ".",
+    date_format: str = "yyyy-MM-dd",
+    multiline: bool = False,
+    missing: Sequence[str] = MISSING,
+) -> DataFrame:
+    """Per column of a CSV source: values filled in, and how many do not fit the type."""
+    raw = _read_delimited(spark, path, sep, multiline)
+    texts = {f.name: _clean(f.name, missing, True) for f in schema if f.name in raw.columns}
+    typed = {f.name: _typed(texts[f.name], f.dataType, decimal, date_format) for f in schema if f.name in texts}
+    counted = raw.agg(
+        *(F.count(text).alias(f"{name}:filled") for name, text in texts.items()),
+        *(F.count_if(texts[name].isNotNull() & value.isNull()).alias(f"{name}:rejected") for name, value in typed.items()),
+    )
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.col(f"`{name}:filled`").alias("filled"),
+                F.col(f"`{name}:rejected`").alias("rejected"),
+            )
+            for name in texts
+        )
+    )
+    return counted.select(F.inline(rows))
+
+
 def read_tests(
     spark: SparkSession,
     path: str | list[str],

@@ -14,12 +14,14 @@ def stamped_name(name: str, kind: str, day: dt.date | None = None) -> str:
     return f"{name}_{kind}_{(day or dt.date.today()).isoformat()}.csv"
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> str:
+def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists", na: str = "") -> str:
     """Write a CSV folder with headers, one part per task.
 
     ``single_file`` asks for one part and suits tables of report size only,
-    since one task then writes them. Booleans are written TRUE / FALSE, missing
-    values NA and quotes doubled, which the readers take back.
+    since one task then writes them. Booleans are written TRUE / FALSE and quotes
+    doubled. Missing values are empty and an empty text is ``""``, so that nothing is
+    lost: ``read_table(..., missing=(), trim=False)`` takes the export back. ``na``
+    names another mark for missing values; a text equal to it then reads as missing.
     """
     out = df.select(
         *(
@@ -30,12 +32,14 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
         )
     )
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)
     (
         out.write.mode(mode)
         .option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
-        .option("nullValue", "NA")
+        .option("nullValue", na)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
         .csv(path)
     )
