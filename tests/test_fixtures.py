@@ -31,7 +31,7 @@ from wardlens.operators.intervals import (
     with_first_flag,
 )
 from wardlens.operators.isolates import co_resistance, first_isolate, sir_counts, sir_portions
-from wardlens.operators.runchart import run_chart, run_limits
+from wardlens.operators.runchart import fewest_crossings, run_chart
 from wardlens.operators.stay import los_summary
 from wardlens.operators.survival import km_curve
 from wardlens.plans.cohort import Cohort, CohortSpec, build_cohort, cohort_tests, min_size
@@ -291,13 +291,20 @@ def test_run_chart(spark):
     assert {r[3:] for r in found} == {(5.0, 6, 3, 6, 2, 1, False)}
 
 
-def test_run_limits():
-    for points, run, crossings in run_limits(400):
-        trials = points - 1
-        at_most = lambda k: sum(math.comb(trials, i) for i in range(k + 1)) / 2**trials  # noqa: B023, E731
-        assert run == round(math.log2(points) + 3)
-        assert at_most(crossings) >= 0.05
-        assert crossings == 0 or at_most(crossings - 1) < 0.05
+def test_fewest_crossings_in_exact_integers(spark):
+    chosen = [*range(1, 200), 1000, 4001, 5000]
+    points = spark.createDataFrame([(n,) for n in chosen], "n int")
+    for n, crossings in points.select("n", fewest_crossings(F.col("n"))).collect():
+        trials = n - 1
+        at_most = sum(math.comb(trials, i) for i in range(crossings + 1))
+        assert 20 * at_most >= 2**trials
+        assert crossings == 0 or 20 * (at_most - math.comb(trials, crossings)) < 2**trials
+
+
+def test_run_chart_of_many_periods(spark):
+    df = spark.range(5000).select("id", F.pmod(F.col("id") * 7919, F.lit(5003)).alias("y"))
+    found = run_chart(df, "id", "y").agg(F.count("*"), F.max("n_useful"), F.max("longest_run_max")).first()
+    assert tuple(found) == (5000, 5000, round(math.log2(5000) + 3))
 
 
 def test_sir_detection_and_long_form(spark):
@@ -329,16 +336,13 @@ def test_dimension_join(spark):
     dim = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), (None, 4)], "atc_code string, n int")
     expected = [(None, None), ("a", 1), ("b", 2), ("z", None)]
     assert rows(with_dim(df, dim, "atc_code")) == expected
-    # Too many rows to broadcast: same result by a shuffle.
-    assert rows(with_dim(df, dim, "atc_code", max_rows=1)) == expected
     one_null = dim.filter("n <> 4")
     assert rows(with_dim(df, one_null, "atc_code", null_safe=True))[0] == (None, 3)
     with pytest.raises(ValueError, match="not unique"):
         with_dim(df, dim, "atc_code", null_safe=True)
     twice = dim.unionByName(dim)
-    for limit in (1, 100):
-        with pytest.raises(ValueError, match="not unique"):
-            with_dim(df, twice, "atc_code", max_rows=limit)
+    with pytest.raises(ValueError, match="not unique"):
+        with_dim(df, twice, "atc_code")
 
 
 def test_admission_grain(spark):

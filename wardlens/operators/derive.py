@@ -104,6 +104,32 @@ def sir_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.metadata.get("sir")]
 
 
+def sir_profile(df: DataFrame, max_invalid: float = 0.05) -> DataFrame:
+    """Per text column: values filled in, values that are S, I or R, their share, and the verdict.
+
+    The verdict is that of ``detect_sir``. One aggregation pass over the table.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    counted = df.agg(
+        *(F.count(F.nullif(F.trim(f"`{c}`"), F.lit(""))).alias(f"{c}:filled") for c in texts),
+        *(F.count(sir_value(f"`{c}`")).alias(f"{c}:valid") for c in texts),
+    )
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(c).alias("agent"),
+                F.col(f"`{c}:filled`").alias("filled"),
+                F.col(f"`{c}:valid`").alias("valid"),
+            )
+            for c in texts
+        )
+    )
+    share = F.try_divide("valid", "filled")
+    return counted.select(F.inline(rows)).select(
+        "*", share.alias("share"), F.coalesce(1 - share <= max_invalid, F.lit(False)).alias("is_sir")
+    )
+
+
 def sir_long(df: DataFrame, agents: Sequence[str] | None = None) -> DataFrame:
     """One row per test and agent with a result: columns ``agent``, ``interpretation``."""
     agents = sir_columns(df) if agents is None else list(agents)

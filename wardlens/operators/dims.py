@@ -10,45 +10,32 @@ from pyspark.sql import functions as F
 from wardlens.functions import in_set
 from wardlens.schema import as_list
 
-MAX_BROADCAST_ROWS = 200_000
 
+def checked_dim(dim: DataFrame, on: str | Sequence[str], null_safe: bool = False) -> DataFrame:
+    """The dimension without rows that match nothing; raises on repeated keys.
 
-def checked_dim(
-    dim: DataFrame,
-    on: str | Sequence[str],
-    max_rows: int = MAX_BROADCAST_ROWS,
-    null_safe: bool = False,
-) -> DataFrame:
-    """The dimension, marked for broadcast if counting shows it small; raises on repeated keys.
-
-    A repeated key would multiply the rows it joins. Beyond ``max_rows`` rows
-    the table is left unmarked and joins by shuffle, where adaptive execution
-    splits hot keys. Rows with a null key only count where nulls match.
+    A repeated key would multiply the rows it joins. Rows with a null key only
+    count where nulls match.
     """
     keys = as_list(on)
     used = dim if null_safe else dim.dropna(subset=keys)
-    per_key = used.limit(max_rows + 1).groupBy(*keys).agg(F.count("*").alias("n"))
-    rows, most = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
-    if rows > max_rows and most == 1:
-        most = used.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if rows and most > 1:
+    most = used.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most and most > 1:
         raise ValueError(f"dimension key {keys} is not unique")
-    return F.broadcast(used) if rows <= max_rows else used
+    return used
 
 
 def with_dim(
-    df: DataFrame,
-    dim: DataFrame,
-    on: str | Sequence[str],
-    max_rows: int = MAX_BROADCAST_ROWS,
-    null_safe: bool = False,
+    df: DataFrame, dim: DataFrame, on: str | Sequence[str], null_safe: bool = False
 ) -> DataFrame:
     """Left join on the dimension key; rows without a match keep nulls.
 
-    A null key matches nothing, or with ``null_safe`` the null key of the dimension.
+    A null key matches nothing, or with ``null_safe`` the null key of the
+    dimension. Adaptive execution broadcasts a dimension of few bytes and splits hot
+    keys of a larger one.
     """
     keys = as_list(on)
-    checked = checked_dim(dim, keys, max_rows, null_safe)
+    checked = checked_dim(dim, keys, null_safe)
     if not null_safe:
         return df.join(checked, on=keys, how="left")
     d, r = df.alias("d"), checked.alias("r")

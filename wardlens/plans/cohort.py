@@ -21,6 +21,8 @@ from wardlens.schema import KEY
 
 Range = tuple[int | None, int | None]
 
+# Tasks that rows of one group may spread over in a join.
+GROUP_PIECES = 64
 # Accepts any value but null.
 KNOWN = "known"
 
@@ -85,12 +87,27 @@ class CohortSpec:
         return chosen
 
 
-def min_size(cohort: DataFrame, n: int, by: str = "sub_specialty") -> DataFrame:
-    """Keep the groups with at least ``n`` distinct admissions; nulls are a group."""
-    sizes = cohort.groupBy(F.col(by).alias("_group")).agg(F.countDistinct(*KEY).alias("_n"))
-    large = sizes.filter(F.col("_n") >= int(n)).alias("s")
-    c = cohort.alias("c")
-    return c.join(large, F.col(f"c.{by}").eqNullSafe(F.col("s._group")), "left_semi")
+def min_size(
+    cohort: DataFrame, n: int, by: str = "sub_specialty", max_groups: int = 10_000
+) -> DataFrame:
+    """Keep the groups with at least ``n`` distinct admissions; nulls are a group.
+
+    The groups are found first. Up to ``max_groups`` of them become a filter, so no
+    row of the cohort moves; more are joined, spread over the admissions, so that a
+    large group does not meet in one task.
+    """
+    admissions = cohort.select(F.col(by).alias("_group"), *KEY).distinct()
+    sizes = admissions.groupBy("_group").agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") >= int(n)).select("_group")
+    found = [row["_group"] for row in large.take(max_groups + 1)]
+    if len(found) <= max_groups:
+        return cohort.filter(in_set(by, found))
+    salt = F.pmod(F.xxhash64(*KEY), F.lit(GROUP_PIECES))
+    pieces = F.sequence(F.lit(0).cast("long"), F.lit(GROUP_PIECES - 1).cast("long"))
+    s = large.select("_group", F.explode(pieces).alias("_piece")).alias("s")
+    c = cohort.withColumn("_piece", salt).alias("c")
+    same = F.col(f"c.{by}").eqNullSafe(F.col("s._group")) & (F.col("c._piece") == F.col("s._piece"))
+    return c.join(s, same, "left_semi").drop("_piece")
 
 
 def build_cohort(rx: DataFrame, spec: CohortSpec) -> DataFrame:
