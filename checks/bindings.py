@@ -21,7 +21,7 @@ from wardlens.plans.enrich import (
     save_enriched,
 )
 from wardlens.schema import KEY
-from wardlens.session import configure, scratch_path, shared_folder
+from wardlens.session import configure, scratch_path
 
 AGENT_COLUMNS = ["amox", "cipr", "gent"]
 # The bindings give stays of 3 to 30 days.
@@ -177,9 +177,25 @@ class Tables:
         bounds = self.admissions.select(*KEY, "adm_start_date", "adm_end_date")
         return attribute_points(self.tests, bounds, max_stay_days=MAX_STAY_DAYS)
 
+    # Written once, so that what joins a table to its own facts attributes once.
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @cached_property
+    def kept_rx(self) -> DataFrame:
+        return self._kept(self.attributed_rx, "attributed-rx")
+
+    @cached_property
+    def kept_tests(self) -> DataFrame:
+        narrow = self.attributed_tests.select(*KEY, "test_date", "material")
+        return self._kept(narrow, "attributed-tests")
+
     @cached_property
     def facts(self) -> DataFrame:
-        return admission_facts(self.attributed_rx, self.attributed_tests)
+        return admission_facts(self.kept_rx, self.kept_tests)
 
     @cached_property
     def enriched_admissions(self) -> DataFrame:
@@ -187,19 +203,16 @@ class Tables:
 
     @cached_property
     def enriched_rx(self) -> DataFrame:
-        return enrich_rx(self.attributed_rx, self.facts, self.agents)
+        return enrich_rx(self.kept_rx, self.facts, self.agents)
 
     @cached_property
     def enriched_tests(self) -> DataFrame:
         return enrich_tests(name_tests(self.tests, self.organisms), self.enriched_admissions, MAX_STAY_DAYS)
 
-    # The same tables written once to the shared folder, where the views start;
-    # as plans where there is no such folder.
+    # The same tables written once to the shared folder, where the views start.
 
     @cached_property
     def saved(self) -> Enriched:
-        if shared_folder(self.spark) is None:
-            return Enriched(self.enriched_admissions, self.enriched_rx, self.enriched_tests)
         return save_enriched(
             self.admissions,
             self.prescriptions,

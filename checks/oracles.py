@@ -137,11 +137,17 @@ TABLES = {
 
 
 def _limits(points: int) -> str:
-    rows = []
+    rows, k, term, below = [], 0, 1, 1
     for n in range(1, points + 1):
-        trials, k = n - 1, 0
-        while 20 * sum(math.comb(trials, i) for i in range(k + 1)) < 2**trials:
+        trials = n - 1
+        # below: the sum of C(trials, i) for i up to k, term: C(trials, k).
+        if trials:
+            below = 2 * below - term
+            term = term * trials // (trials - k)
+        while 20 * below < 2**trials:
             k += 1
+            term = term * (trials - k + 1) // k
+            below += term
         rows.append(f"({n}, {round(math.log2(n) + 3)}, {k})")
     return ", ".join(rows)
 
@@ -165,7 +171,7 @@ def statement(sql: str, days: str = "", doubles: str = "", digits: int = 8) -> s
         return sql
     parts = [f"{name} AS ({body})" for name, body in TABLES.items() if name in seen]
     text = "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql
-    return text.replace("{limits}", _limits(130)) if "run_limits" in seen else text
+    return text.replace("{limits}", _limits(2600)) if "run_limits" in seen else text
 
 
 def run_chart_sql(points: str, facet: str = "") -> str:
@@ -263,7 +269,13 @@ def oracles() -> dict[str, str]:
     )
     sql["normalize_sir"] = q("SELECT test_number, amox, cipr, gent FROM tests")
     sql["normalize_organism"] = q("SELECT test_number, coalesce(mo, 'SIGNUP ') AS mo FROM tests")
-    sql["sir_columns"] = q("SELECT * FROM (VALUES ('amox'), ('cipr'), ('gent')) AS v(agent)")
+    sql["sir_columns"] = q(
+        """SELECT agent, filled, valid, valid / filled AS share, 1 - valid / filled <= 0.05 AS is_sir FROM (
+               SELECT agent, count(value) AS filled, count(value) FILTER (value IN ('S', 'I', 'R')) AS valid
+               FROM (UNPIVOT (SELECT material, mo, amox, cipr, gent FROM tests)
+                     ON material, mo, amox, cipr, gent INTO NAME agent VALUE value) GROUP BY agent)""",
+        doubles="share",
+    )
     sql["sir_long"] = q(
         """SELECT test_number, 'amox' AS agent, amox AS interpretation FROM tests WHERE amox IS NOT NULL
            UNION ALL SELECT test_number, 'cipr', cipr FROM tests WHERE cipr IS NOT NULL
@@ -525,6 +537,13 @@ def oracles() -> dict[str, str]:
         "x",
         "y centre",
     )
+    sql["run_chart_daily"] = q(
+        run_chart_sql(
+            """SELECT adm_start_date AS x, CAST(count(*) AS DOUBLE) AS y FROM grain GROUP BY adm_start_date"""
+        ),
+        "x",
+        "y centre",
+    )
     sql["diagnostics_per_period"] = q(
         """SELECT yearquarter_adm, "check", n, n / sum(n) OVER (PARTITION BY yearquarter_adm) AS share
            FROM (SELECT yearquarter_adm, "check", count(*) AS n FROM grain GROUP BY ALL)""",
@@ -690,4 +709,32 @@ def oracles() -> dict[str, str]:
            FROM pooled GROUP BY specialty""",
         doubles="expected variance",
     )
+    # Three routes: two degrees of freedom, so the system is 2 x 2 and the tail is exp(-x / 2).
+    sql["logrank_test"] = q(
+        """WITH at_time AS (
+               SELECT "LOS" AS t, ab_route AS s, count(*) AS m,
+                      sum(CASE WHEN NOT death_during_adm THEN 1 ELSE 0 END) AS d
+               FROM grain WHERE ab_route IS NOT NULL GROUP BY "LOS", ab_route),
+           wide AS (
+               SELECT t, sum(d) AS d, sum(CASE WHEN s = 'IM' THEN d ELSE 0 END) AS d1,
+                      sum(CASE WHEN s = 'IV' THEN d ELSE 0 END) AS d2, sum(m) AS m,
+                      sum(CASE WHEN s = 'IM' THEN m ELSE 0 END) AS m1,
+                      sum(CASE WHEN s = 'IV' THEN m ELSE 0 END) AS m2
+               FROM at_time GROUP BY t),
+           risk AS (
+               SELECT d, d1, d2, sum(m) OVER w AS n, sum(m1) OVER w / sum(m) OVER w AS p1,
+                      sum(m2) OVER w / sum(m) OVER w AS p2
+               FROM wide WINDOW w AS (ORDER BY t DESC)),
+           sums AS (
+               SELECT sum(d1 - d * p1) AS u1, sum(d2 - d * p2) AS u2,
+                      sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * p1 * (1 - p1) END) AS v11,
+                      sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * p2 * (1 - p2) END) AS v22,
+                      -sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * p1 * p2 END) AS v12
+               FROM risk),
+           solved AS (
+               SELECT (u1 * u1 * v22 - 2 * u1 * u2 * v12 + u2 * u2 * v11) / (v11 * v22 - v12 * v12) AS chisq
+               FROM sums)
+           SELECT chisq, 2 AS df, exp(-chisq / 2) AS p_value FROM solved""",
+        doubles="chisq p_value",
+    )
     return sql

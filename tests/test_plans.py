@@ -11,7 +11,7 @@ from checks.queries import QUERIES, run
 from tests.conftest import day, rows
 from wardlens.operators.intervals import attribute_intervals
 from wardlens.operators.isolates import first_isolate
-from wardlens.plans.cohort import CohortSpec, build_cohort
+from wardlens.plans.cohort import CohortSpec, build_cohort, min_size
 from wardlens.plans.enrich import enrich
 from wardlens.session import configure
 
@@ -33,8 +33,6 @@ def whole_schemas_in_plans(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_no_cross_join_and_no_python(spark, name):
-    if name == "logrank_test":
-        pytest.skip("its result is a row made from one row of sums")
     text = plan(run(name, spark, SF_DIR))
     assert [b for b in BANNED if b in text] == []
 
@@ -82,6 +80,22 @@ def tiny_thresholds(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_the_cohort_does_not_move_to_find_large_groups(spark, tiny_thresholds):
+    cohort = tables(spark, SF_DIR).saved.prescriptions
+    for n, groups in ((1, 10_000), (20, 10_000)):
+        text = plan(min_size(cohort, n, max_groups=groups))
+        assert "Exchange" not in text and "Join" not in text
+    few = min_size(cohort, 20)
+    joined = min_size(cohort, 20, max_groups=0)
+    assert "_piece" in plan(joined) and rows(few) == rows(joined)
+
+
+@pytest.mark.parametrize("name", ["ab_first", "ddd_total", "join_course", "join_adm_on_rx", "join_adm_on_tests"])
+def test_attribution_runs_once(spark, tiny_thresholds, name):
+    text = plan(run(name, spark, SF_DIR))
+    assert "lineitem.parquet" not in text  # prescriptions come attributed
+
+
 def test_a_hot_patient_is_split(spark, tiny_thresholds):
     rng = random.Random(1)
     stays, rx = [], []
