@@ -225,7 +225,8 @@ class Tables:
 
     @cached_property
     def cohort(self) -> Cohort:
-        return Cohort.of(self.saved.prescriptions, self.saved.tests)
+        chosen = Cohort.of(self.saved.prescriptions, self.saved.tests)
+        return chosen.save(scratch_path(self.spark, "cohort"))
 
 
 _TABLES: dict[tuple[str, str], Tables] = {}

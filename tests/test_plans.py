@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from checks.bindings import tables
 from checks.queries import QUERIES, run
 from tests.conftest import day, rows
-from wardlens.operators.intervals import attribute_intervals
+from wardlens.operators import intervals
+from wardlens.operators.intervals import attribute_intervals, attribute_points, rx_in_admissions
 from wardlens.operators.isolates import first_isolate
 from wardlens.plans.cohort import CohortSpec, build_cohort, min_size
 from wardlens.plans.enrich import enrich
@@ -96,6 +97,27 @@ def test_attribution_runs_once(spark, tiny_thresholds, name):
     assert "lineitem.parquet" not in text  # prescriptions come attributed
 
 
+def test_views_of_a_saved_cohort_read_it_only(spark):
+    t = tables(spark, SF_DIR)
+    for view in (t.cohort.admissions("specialty"), t.cohort.tests(), t.cohort.total()):
+        text = plan(view)
+        assert text.count("FileScan") == 1 and "lineitem.parquet" not in text and "enriched-" not in text
+
+
+def test_one_scan_for_all_stay_lengths(spark):
+    t = tables(spark, SF_DIR)
+    stays = t.admissions.select("id", "adm_id", "adm_start_date", F.lit("9999-12-31").cast("date").alias("adm_end_date"))
+    for view, table in (
+        (attribute_intervals(t.prescriptions, stays), "lineitem"),
+        (attribute_points(t.tests, stays), "events"),
+        (rx_in_admissions(t.prescriptions, stays), "lineitem"),
+        (intervals.tests_in_admissions(t.tests, stays), "events"),
+    ):
+        assert plan(view).count(f"{table}.parquet") == 1
+    every = t.tests.join(stays.select("id").distinct(), "id")
+    assert intervals.tests_in_admissions(t.tests, stays).count() <= every.count()
+
+
 def test_a_hot_patient_is_split(spark, tiny_thresholds):
     rng = random.Random(1)
     stays, rx = [], []

@@ -54,7 +54,9 @@ def with_share(
     counts: DataFrame, n: str = "n", within: str | Sequence[str] | None = None, out: str = "share"
 ) -> DataFrame:
     """Add the share of ``n`` within its group, or of the total, on a table of counts."""
-    whole = F.sum(n).over(Window.partitionBy(*as_list(within)))
+    groups = as_list(within)
+    # The total is one row, which a window over all rows would gather in one task.
+    whole = F.sum(n).over(Window.partitionBy(*groups)) if groups else counts.agg(F.sum(n)).scalar()
     return counts.withColumn(out, F.try_divide(F.col(n).cast("double"), whole))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions import percent_text as as_percent_text
@@ -31,13 +31,12 @@ def diagnostic_vs_average(adm: DataFrame, by: str | Sequence[str], digits: int =
     groups = adm.groupBy(*keys).agg(
         F.count_if(F.col("check") == "Taken").alias("_taken"), F.count("*").alias("_n")
     )
-    # One row per group here, so the overall figures are a sum of a short table.
-    everything = Window.partitionBy()
+    overall = groups.agg(F.struct(F.sum("_taken").alias("taken"), F.sum("_n").alias("n"))).scalar()
     percent = lambda taken, n: F.round(F.try_divide(taken * F.lit(100.0), n), digits)
     return (
         groups.withColumn("taken_pct", percent(F.col("_taken"), F.col("_n")))
         .withColumn(
-            "overall_pct", percent(F.sum("_taken").over(everything), F.sum("_n").over(everything))
+            "overall_pct", percent(overall["taken"], overall["n"])
         )
         .withColumn("difference", F.round(F.col("taken_pct") - F.col("overall_pct"), digits))
         .drop("_taken", "_n")

@@ -9,13 +9,13 @@ every event with every stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.schema import KEY, MATERIALS, TIMING_COLUMN, check_material
 
 BUCKET_DAYS = 32
-# Stays touching more buckets than this go to buckets as many times wider.
+# Stays touching more buckets than this are of a class with buckets as many times wider.
 BUCKETS_PER_STAY = 64
 
 
@@ -31,48 +31,46 @@ def _widths(max_stay_days: int) -> list[int]:
     return widths
 
 
-def _bucket(day: str, width: int) -> Column:
-    return F.floor(F.unix_date(day) / width).cast("int")
+def _stays(adm: DataFrame, start: str, end: str, widths: list[int]) -> DataFrame:
+    """Admissions with the class of their length, each listed once per bucket its stay touches."""
+    span = F.datediff(end, start)
+    kind, width = F.lit(0), F.lit(widths[0])
+    for i, narrower in enumerate(widths[:-1], 1):
+        longer = span > narrower * BUCKETS_PER_STAY
+        kind, width = F.when(longer, i).otherwise(kind), F.when(longer, widths[i]).otherwise(width)
+    place = lambda day: F.floor(F.unix_date(day) / width).cast("int")
+    stays = adm.filter(F.col(end) >= F.col(start)).withColumn("_class", kind)
+    return stays.withColumn("_bucket", F.explode(F.sequence(place(start), place(end))))
 
 
-def _stays_by_width(
-    adm: DataFrame, start: str, end: str, max_stay_days: int
-) -> list[tuple[int, DataFrame]]:
-    """Admissions split by length, each listed once per bucket its stay touches."""
-    span = F.datediff(end, start)
-    widths = _widths(max_stay_days)
-    parts = []
-    for i, width in enumerate(widths):
-        part = adm.filter(F.col(end) >= F.col(start))
-        if i > 0:
-            part = part.filter(span > widths[i - 1] * BUCKETS_PER_STAY)
-        if i < len(widths) - 1:
-            part = part.filter(span <= width * BUCKETS_PER_STAY)
-        buckets = F.sequence(_bucket(start, width), _bucket(end, width))
-        parts.append((width, part.withColumn("_bucket", F.explode(buckets))))
-    return parts
+def _events(events: DataFrame, day: str, widths: list[int]) -> DataFrame:
+    """Events listed once per class of stays, in the bucket of their day."""
+    place = lambda width: F.floor(F.unix_date(day) / width).cast("int")
+    if len(widths) == 1:
+        return events.withColumns({"_class": F.lit(0), "_bucket": place(widths[0])})
+    slots = [F.struct(F.lit(i).alias("_class"), place(w).alias("_bucket")) for i, w in enumerate(widths)]
+    return events.select("*", F.inline(F.array(*slots)))
 
 
 def _inside(
     events: DataFrame,
     stays: DataFrame,
-    width: int,
     days: tuple[str, str],
     stay: tuple[str, str],
     on: str,
     how: str,
 ) -> DataFrame:
-    e = events.withColumn("_bucket", _bucket(days[0], width)).alias("e")
-    a = stays.alias("a")
+    e, a = events.alias("e"), stays.alias("a")
     match = (
         (F.col(f"e.{on}") == F.col(f"a.{on}"))
+        & (F.col("e._class") == F.col("a._class"))
         & (F.col("e._bucket") == F.col("a._bucket"))
         & (F.col(f"e.{days[0]}") >= F.col(f"a.{stay[0]}"))
         & (F.col(f"e.{days[1]}") <= F.col(f"a.{stay[1]}"))
     )
-    kept = [F.col(f"e.{c}") for c in events.columns]
+    kept = [F.col(f"e.{c}") for c in events.columns if c not in ("_class", "_bucket")]
     if how == "inner":
-        kept += [F.col(f"a.{c}") for c in stays.columns if c not in (on, "_bucket")]
+        kept += [F.col(f"a.{c}") for c in stays.columns if c not in (on, "_class", "_bucket")]
     return e.join(a, match, how).select(*kept)
 
 
@@ -86,12 +84,8 @@ def _attribute(
 ) -> DataFrame:
     # A column present on both sides, such as a specialty, is the admission's.
     events = events.drop(*(c for c in events.columns if c in adm.columns and c != on))
-    longest = longest_stay(adm, *stay) if max_stay_days is None else max_stay_days
-    joined = None
-    for width, stays in _stays_by_width(adm, *stay, longest):
-        part = _inside(events, stays, width, days, stay, on, "inner")
-        joined = part if joined is None else joined.unionByName(part)
-    return joined
+    widths = _widths(longest_stay(adm, *stay) if max_stay_days is None else max_stay_days)
+    return _inside(_events(events, days[0], widths), _stays(adm, *stay, widths), days, stay, on, "inner")
 
 
 def _keep_attributed(
@@ -102,13 +96,14 @@ def _keep_attributed(
     on: str,
     max_stay_days: int | None,
 ) -> DataFrame:
-    longest = longest_stay(adm, *stay) if max_stay_days is None else max_stay_days
-    kept, rest = None, events
-    for width, stays in _stays_by_width(adm.select(on, *stay), *stay, longest):
-        part = _inside(rest, stays, width, days, stay, on, "left_semi")
-        kept = part if kept is None else kept.unionByName(part)
-        rest = _inside(rest, stays, width, days, stay, on, "left_anti")
-    return kept
+    widths = _widths(longest_stay(adm, *stay) if max_stay_days is None else max_stay_days)
+    stays = _stays(adm.select(on, *stay), *stay, widths)
+    if len(widths) == 1:
+        return _inside(_events(events, days[0], widths), stays, days, stay, on, "left_semi")
+    # Stays of several classes may hold an event, which is kept once.
+    numbered = events.withColumn("_event", F.monotonically_increasing_id())
+    found = _inside(_events(numbered, days[0], widths), stays, days, stay, on, "left_semi")
+    return found.dropDuplicates(["_event"]).drop("_event")
 
 
 def attribute_intervals(

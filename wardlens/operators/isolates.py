@@ -251,9 +251,13 @@ def resistance_table(
     label: str | None = None,
     minimum: int = 30,
     as_text: bool = False,
+    isolate: str | None = None,
 ) -> DataFrame:
     """One row per group, one column per interpretation.
 
+    ``isolate`` names the organisms chosen in a column of that name, left out where the
+    groups are organisms.
+
     One agent gives ``SI`` and ``R``; several give ``R``, the isolates
     resistant to all of them. ``label`` is the agent text shown, see
     ``agent_label``. ``as_text`` writes portions as percentages and months and
@@ -280,4 +284,5 @@ def resistance_table(
         if calc == "portion":
             named.update({k: percent_text(F.col(k) * 100.0) for k in kinds})
         table = table.withColumns(named) if named else table
-    return table.select(*keys, text, *kinds)
+    named = [F.lit(isolate).alias("isolate")] if isolate and "fullname" not in keys else []
+    return table.select(*keys, *named, text, *kinds)

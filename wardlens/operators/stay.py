@@ -51,9 +51,8 @@ def shared_bandwidth(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(F.col("_mean") != 0, F.abs("_mean")).otherwise(1.0)
     )
     width = scale * 0.9 * F.col("_size") ** -0.2
-    stats = stats.withColumn("_own", F.when(F.col("_size") > 1, width)).withColumn(
-        "_bw", F.avg("_own").over(Window.partitionBy())
-    )
+    stats = stats.withColumn("_own", F.when(F.col("_size") > 1, width))
+    stats = stats.withColumn("_bw", stats.agg(F.avg("_own")).scalar())
     s, h = stats.alias("s"), histogram.alias("h")
     if not keys:
         return histogram.withColumn("_bw", F.lit(stats.first()["_bw"]))

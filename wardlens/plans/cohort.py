@@ -32,7 +32,7 @@ class CohortSpec:
     """What to select; a field left at its default selects everything.
 
     Sets are sequences of values (list None to accept nulls) or ``KNOWN``;
-    ranges are closed and may be open on either end as ``(2, None)``.
+    ranges are closed and may be open on either end as ``(2, None)``, or ``KNOWN``.
     """
 
     routes: Sequence | str | None = None
@@ -42,19 +42,25 @@ class CohortSpec:
     ab_days: Range | None = None
     course_days: Range | None = None
     origins: Sequence | str | None = None
-    years: Range | None = None
+    years: Range | str | None = None
     specialties: Sequence | str | None = None
     exclude_sub: Sequence = ()
     include_sub: Sequence = ()
-    age: Range | None = None
+    age: Range | str | None = None
     genders: Sequence | str | None = None
     min_n: int = 0
     diagnostic: tuple[str, int, int] = field(default=("blood", -1, 1))
 
     @classmethod
     def initial(cls, **changes) -> CohortSpec:
-        """The selection a user starts from: known route, agent and origin, start in the stay."""
-        start = {"routes": KNOWN, "agents": KNOWN, "origins": KNOWN, "ab_timing": (0, None)}
+        """The selection a user starts from.
+
+        Known route, agent and origin, known year and age (the whole of a closed range),
+        start in the stay. An unknown gender or specialty is one of the choices, so its rows
+        stay.
+        """
+        start = {"routes": KNOWN, "agents": KNOWN, "origins": KNOWN, "years": KNOWN, "age": KNOWN}
+        start["ab_timing"] = (0, None)
         return cls(**{**start, **changes})
 
     def predicates(self) -> list[Column]:
@@ -77,7 +83,11 @@ class CohortSpec:
             for c, v in sets.items()
             if v is not None
         ]
-        chosen += [p for c, v in ranges.items() if v and (p := in_range(c, *v)) is not None]
+        known = [c for c, v in ranges.items() if isinstance(v, str) and v == KNOWN]
+        chosen += [F.col(c).isNotNull() for c in known]
+        chosen += [
+            p for c, v in ranges.items() if v and c not in known and (p := in_range(c, *v)) is not None
+        ]
         if self.first_only:
             chosen.append(F.col("ab_first"))
         if self.exclude_sub:
@@ -136,6 +146,9 @@ class Cohort:
 
     prescriptions: DataFrame
     source_tests: DataFrame | None = None
+    # Written by ``save``: one row per admission, and all tests of the cohort.
+    saved_admissions: DataFrame | None = None
+    saved_tests: DataFrame | None = None
 
     @classmethod
     def of(
@@ -145,16 +158,38 @@ class Cohort:
 
     def admissions(self, *columns: str) -> DataFrame:
         """One row per admission, with all columns or the named ones."""
+        if self.saved_admissions is not None:
+            return self.saved_admissions.select(*dict.fromkeys([*KEY, *columns])) if columns else self.saved_admissions
         return admission_grain(self.prescriptions, list(columns) or None)
 
     def tests(self, taken_only: bool = True) -> DataFrame:
         if self.source_tests is None:
             raise ValueError("this cohort was made without tests")
+        if self.saved_tests is not None:
+            kept = self.saved_tests
+            return kept.filter(F.col("check") == "Taken") if taken_only else kept
         return cohort_tests(self.source_tests, self.prescriptions, taken_only)
 
     def total(self) -> DataFrame:
         return admission_total(self.prescriptions)
 
+    def save(self, path: str, mode: str = "errorifexists") -> Cohort:
+        """Write prescriptions, admissions and tests of the cohort once, for all its views.
+
+        The selection runs once and each grain is built once; a view then reads the columns
+        it needs of the grain it works on.
+        """
+        spark = self.prescriptions.sparkSession
+
+        def kept(table: DataFrame, name: str) -> DataFrame:
+            table.write.mode(mode).parquet(f"{path}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+        prescriptions = kept(self.prescriptions, "prescriptions")
+        saved = Cohort(prescriptions, self.source_tests)
+        tests = None if self.source_tests is None else kept(saved.tests(taken_only=False), "tests")
+        return Cohort(prescriptions, self.source_tests, kept(saved.admissions(), "admissions"), tests)
+
     def cache(self) -> Cohort:
         """Keep the prescriptions for several views; spills to disk where memory is short."""
         return Cohort(self.prescriptions.persist(), self.source_tests)
