@@ -19,21 +19,20 @@ PERIOD_KIND = {"yearmonth_test": "month", "yearquarter_test": "quarter"}
 
 
 def _episode_starts(days: Column, episode_days: int) -> Column:
-    """Of sorted (date, row) structs, those more than an episode after the last one kept."""
-    fresh = lambda last, d: last.isNull() | (F.datediff(d["date"], last) > episode_days)
-    empty = F.filter(days, lambda _: F.lit(False))
+    """Of sorted days, those more than an episode after the last one kept."""
+    fresh = lambda last, d: last.isNull() | (F.datediff(d, last) > episode_days)
     return F.aggregate(
         days,
-        F.struct(F.lit(None).cast("date").alias("last"), empty.alias("kept")),
+        F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<date>").alias("kept")),
         lambda acc, d: F.when(
             fresh(acc["last"], d),
-            F.struct(d["date"].alias("last"), F.concat(acc["kept"], F.array(d)).alias("kept")),
+            F.struct(d.alias("last"), F.concat(acc["kept"], F.array(d)).alias("kept")),
         ).otherwise(acc),
         lambda acc: acc["kept"],
     )
 
 
-def first_isolate_rows(
+def first_isolate_days(
     tests: DataFrame,
     by_material: bool = False,
     episode_days: int = EPISODE_DAYS,
@@ -41,26 +40,18 @@ def first_isolate_rows(
     organism: str = "mo",
     day: str = "test_date",
 ) -> DataFrame:
-    """The first isolate of each episode, one row each: the group, the day, the whole row.
+    """The days on which an episode of a patient and organism begins.
 
-    Isolates are first reduced to one row per day, the smallest by test number
-    and then by the other columns in order; what remains of a patient and
-    organism is at most one row per calendar day.
+    Only days travel: isolates are first reduced to the distinct ones, at most one for
+    each calendar day of a patient and organism.
     """
     group = [patient, organism] + (["material"] if by_material else [])
-    others = [c for c in tests.columns if c not in (*group, day)]
-    order = sorted(others, key=lambda c: c != "test_number")
-    per_day = (
-        tests.dropna(subset=[patient, organism, day])
-        .groupBy(*group, F.col(day).alias("_date"))
-        .agg(F.min(F.struct(*order)).alias("_row"))
-    )
-    days = F.sort_array(F.collect_list(F.struct(F.col("_date").alias("date"), F.col("_row").alias("row"))))
+    per_day = tests.select(*group, F.col(day).cast("date").alias("_date")).dropna().distinct()
+    days = F.sort_array(F.collect_list("_date"))
     return (
         per_day.groupBy(*group)
         .agg(days.alias("_days"))
-        .select(*group, F.explode(_episode_starts(F.col("_days"), episode_days)).alias("_first"))
-        .select(*group, F.col("_first.date").alias(day), F.col("_first.row").alias("_row"))
+        .select(*group, F.explode(_episode_starts(F.col("_days"), episode_days)).alias(day))
     )
 
 
@@ -75,21 +66,26 @@ def first_isolate(
     """Add ``first_isolate``: true once per patient, organism and episode.
 
     An episode lasts ``episode_days`` from its first isolate; the next isolate
-    after it opens a new one. Tests without organism are never first. Of
-    identical copies of a test one is first.
+    after it opens a new one. Of several on that day the first is the smallest by
+    test number and then by the other columns in order; of identical copies of a
+    test one is first. Tests without organism are never first. Whole rows meet the
+    first days once; only those of first days are compared and counted.
     """
     columns = tests.columns
-    known = F.col(patient).isNotNull() & F.col(organism).isNotNull() & F.col(day).isNotNull()
     group = [patient, organism] + (["material"] if by_material else [])
-    known = known & F.col("material").isNotNull() if by_material else known
+    known = F.lit(True)
+    for c in (*group, day):
+        known = known & F.col(c).isNotNull()
     others = [c for c in columns if c not in (*group, day)]
     order = sorted(others, key=lambda c: c != "test_number")
-    firsts = first_isolate_rows(tests, by_material, episode_days, patient, organism, day)
+    days = first_isolate_days(tests, by_material, episode_days, patient, organism, day)
+    candidates = tests.filter(known)
+    hits = candidates.join(days, [*group, day], "left_semi").select(*columns)
+    firsts = hits.groupBy(*group, day).agg(F.min(F.struct(*order)).alias("_row"))
     size = F.lit(COPIES_PER_PIECE)
     last_piece = F.floor((F.col("_copies") - 1) / size)
     counted = (
-        tests.filter(known)
-        .groupBy(*columns)
+        hits.groupBy(*columns)
         .agg(F.count("*").alias("_copies"))
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
         .withColumn("_copies", F.least(size.cast("long"), F.col("_copies") - F.col("_piece") * size))
@@ -105,15 +101,14 @@ def first_isolate(
     on = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in (*group, day)] + [whole == first]
     flagged = (
         t.join(f, on, "left")
-        .select(
-            "t.*",
-            F.col("f._row").isNotNull().alias("_first"),
-        )
+        .select("t.*", F.col("f._row").isNotNull().alias("_first"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(*columns, (F.col("_first") & (F.col("_copy") == 1)).alias("first_isolate"))
     )
-    rest = tests.filter(~known).withColumn("first_isolate", F.lit(False))
-    return flagged.unionByName(rest)
+    never = F.lit(False).alias("first_isolate")
+    later = candidates.join(days, [*group, day], "left_anti").select(*columns, never)
+    rest = tests.filter(~known).select(*columns, never)
+    return flagged.unionByName(later).unionByName(rest)
 
 
 def first_isolates(
