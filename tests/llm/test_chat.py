@@ -71,6 +71,7 @@ def test_no_conversation(spark):
     assert chat.read(spark, folder).collect() == []
 
 
-def test_query_same_as_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_same_as_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
-    assert compare.differences(queries.op6_chat_tree(spark, sf_dir), compare.connect(sf_dir), queries.SQL["op6_chat_tree"]) is None
+    assert compare.differences(queries.QUERIES[name](spark, sf_dir), compare.connect(sf_dir), queries.SQL[name]) is None

@@ -137,3 +137,52 @@ select conv_id, count(*) as n_turns,
         + length(regexp_replace(text, '{_MARKS}', '\\\1', 'g'))) as bigint) as formatted_chars
 from turns group by conv_id
 """
+
+
+SQL["op5_warc_zip"] = """
+with digests as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as digest,
+        min(page_id) over (partition by sha1(coalesce(html, ''))) as first_page
+    from pages
+), bits as (
+    select *, cast(cast(unhex(digest) as bit) as varchar) as bits from digests
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * cast(substr(bits, i * 5 + 1, 1) as integer) + 8 * cast(substr(bits, i * 5 + 2, 1) as integer)
+        + 4 * cast(substr(bits, i * 5 + 3, 1) as integer) + 2 * cast(substr(bits, i * 5 + 4, 1) as integer)
+        + cast(substr(bits, i * 5 + 5, 1) as integer), 1)), '') as payload_digest,
+    case when page_id > first_page then 'revisit' else 'response' end as record_type,
+    case when page_id > first_page then first_page end as refers_to
+from bits
+"""
+
+SQL["op3_ngram_jaccard"] = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), places as (
+    select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from words where len(w) > 0
+), shingles as (
+    select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from places
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+    select a.doc_id as one, b.doc_id as two, count(*) as n
+    from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+    select one, two from shared
+    join sizes x on x.doc_id = one join sizes y on y.doc_id = two
+    where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), ways as (
+    select one, two from links union all select two, one from links
+), reached as (
+    select doc_id, doc_id as least from documents
+    union
+    select two, least from reached join ways on one = doc_id
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d left join sizes s on s.doc_id = d.doc_id
+join (select doc_id, min(least) as component_id from reached group by doc_id) r on r.doc_id = d.doc_id
+"""
