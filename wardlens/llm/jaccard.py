@@ -404,14 +404,24 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame, tile: int) -> DataFrame:
-    """Pairs of different components from the blocks that are larger than a leaf."""
+    """Pairs of different components from the blocks that are larger than a leaf.
+
+    The points of a block's largest component never meet each other: tiles of the others
+    (numbered from 0) meet among themselves and with tiles of the largest (from -1 down).
+    """
     known = members.select("key", F.col("a").alias("sig")).distinct().join(parts_of, "sig", "left")
     known = known.withColumn("component", F.coalesce("component", "sig"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
-    rows = known.join(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "key")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("sig"), "tiles").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select("key", "sig", "component", "tile", other.alias("other"))
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(
+        F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all")
+    )
+    pieces = [F.ceil(size / tile).cast("int") for size in (F.col("all") - F.col("most"), F.col("most"))]
+    mixed = sizes.where("most < all").select("key", "largest", pieces[0].alias("others"), pieces[1].alias("larges"))
+    rows = known.join(mixed, "key")
+    large, draw = F.col("component") == F.col("largest"), F.xxhash64("sig")
+    own = F.when(large, -1 - F.pmod(draw, "larges")).otherwise(F.pmod(draw, "others")).cast("int")
+    among = F.sequence(F.lit(0), F.col("others") - 1)
+    meets = F.when(large, among).otherwise(F.concat(among, F.sequence(-F.col("larges"), F.lit(-1))))
+    rows = rows.withColumn("tile", own).select("key", "sig", "component", "tile", F.explode(meets).alias("other"))
     rows = rows.select("key", "sig", "component", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
     rows = rows.join(classes.select("sig", "n", "point"), "sig")
     return rows.groupBy("key", "t1", "t2").applyInPandas(_search, "a long, b long").distinct()
