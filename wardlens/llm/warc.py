@@ -11,7 +11,7 @@ there is one, reads the central directory, and takes the index by range; records
 then read in ranges of about ``RANGE_BYTES``, which are dealt over the cluster, and each
 response's digest is checked.
 
-Archives are rolled at ``roll_bytes`` and named by the attempt that wrote them; only those
+Payloads travel to the writer compressed. Archives are rolled at ``roll_bytes`` and named by the attempt that wrote them; only those
 in the written manifest count.
 
 Null html is an empty payload. A null url leaves out the target; blanks and control
@@ -33,6 +33,8 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from wardlens.llm.files import create, fresh, opened
 
@@ -65,6 +67,16 @@ def _base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
+@arrow_udf(BinaryType())
+def _squeezed(payload: pa.Array) -> pa.Array:
+    """Payloads compressed for the way to the writer."""
+    return pa.array([pa.compress(raw, codec="zstd", asbytes=True) if raw else raw for raw in payload.to_pylist()], pa.binary())
+
+
+def _full(squeezed: bytes | None, size: int) -> bytes:
+    return pa.decompress(squeezed, decompressed_size=size, codec="zstd", asbytes=True) if squeezed else b""
+
+
 class _Archive:
     """One archive being written; the records pass straight through."""
 
@@ -78,7 +90,7 @@ class _Archive:
 
     def add(self, row: dict) -> None:
         digest = _base32(row["digest"])
-        raw = record(row["page"], row["url"], row["payload"] or b"", row["size"], digest, row["refers_to"])
+        raw = record(row["page"], row["url"], _full(row["payload"], row["size"]), row["size"], digest, row["refers_to"])
         self.data.write(raw)
         self.lines.append(json.dumps({"id": row["page"], "offset": self.size, "length": len(raw)}))
         self.size += len(raw)
@@ -94,12 +106,12 @@ class _Archive:
 def write(pages: DataFrame, key: str, url: str, html: str, folder: str, revisit_bytes: int = 0, roll_bytes: int = 256 << 20) -> str:
     """Write the pages below a shared folder; the manifest (a Parquet table) names the archives."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("page").alias("first"))
-    size = F.octet_length("payload").cast("long")
-    later = (F.col("page") > F.col("first")) & (size >= revisit_bytes)
+    digest, size = F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size")
+    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), _squeezed(payload).alias("payload"), size, digest)
+    first = pages.select(F.col(key).cast("long").alias("page"), digest).groupBy("digest").agg(F.min("page").alias("first"))
+    later = (F.col("page") > F.col("first")) & (F.col("size") >= revisit_bytes)
     marked = rows.join(first, "digest").select(
-        "page", "url", "digest", size.alias("size"), F.when(later, F.col("first")).alias("refers_to"), F.when(~F.coalesce(later, F.lit(False)), F.col("payload")).alias("payload")
+        "page", "url", "digest", "size", F.when(later, F.col("first")).alias("refers_to"), F.when(~F.coalesce(later, F.lit(False)), F.col("payload")).alias("payload")
     )
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
