@@ -93,6 +93,24 @@ def test_tree_pairs_are_all_that_the_bound_leaves():
                 assert (b, a) not in found
 
 
+@pytest.mark.parametrize("sizes", [[], [1], [2], [5], [1, 5], [5, 1], [2, 9, 2], [9, 9], [3, 1, 4, 12]])
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_routes_over_batches(sizes, rows):
+    """Blocks of any size, cut into batches anywhere: pairs up to the leaf size, members beyond."""
+    import pyarrow as pa
+
+    keys = [k for k, n in enumerate(sizes) for _ in range(n)]
+    signs = [s for n in sizes for s in range(n)]
+    batches = [
+        pa.record_batch([pa.array(keys[a : a + rows], pa.int64()), pa.array(signs[a : a + rows], pa.int64())], ["key", "sig"])
+        for a in range(0, len(keys), rows)
+    ]
+    found = [tuple(r.values()) for batch in jaccard._routes(iter(batches), 4) for r in batch.to_pylist()]
+    members = {(k, s, None) for k, n in enumerate(sizes) if n > 4 for s in range(n)}
+    pairs = {(None, a, b) for n in sizes if 1 < n <= 4 for b in range(n) for a in range(b)}
+    assert set(found) == members | pairs
+
+
 def test_odd_texts_and_empty_table(spark):
     from tests.llm.helpers import odd_rows
 

@@ -183,6 +183,8 @@ def _routes(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordB
 
     def blocks(key: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal held
+        if not len(key):
+            return
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
         small = (size > 1) & (size <= leaf)
