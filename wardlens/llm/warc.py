@@ -1,7 +1,7 @@
 """WARC records in ZIP archives, read by range.
 
-An archive has two stored (uncompressed) members: ``archive/data.warc`` with the records
-and ``indexes/index.cdxj`` with a line for each. Of the pages with one payload digest the
+An archive has two stored members: ``archive/data.warc.gz`` with the records, each a gzip
+member of its own, and ``indexes/index.cdxj`` with a line for each. Of the pages with one payload digest the
 one with the smallest id is a response and the others revisit it; payloads shorter than
 ``revisit_bytes`` are all responses. A revisit carries the HTTP head only, whose
 Content-Length is that of the full payload.
@@ -23,10 +23,12 @@ no archive. Other columns are never read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -39,7 +41,7 @@ from pyspark.sql.types import BinaryType
 from wardlens.llm.files import create, fresh, opened
 
 RANGE_BYTES = 4 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:x-page:"
 # Fixed values of the ZIP format: signatures of its directory records.
@@ -91,6 +93,7 @@ class _Archive:
     def add(self, row: dict) -> None:
         digest = _base32(row["digest"])
         raw = record(row["page"], row["url"], _full(row["payload"], row["size"]), row["size"], digest, row["refers_to"])
+        raw = gzip.compress(raw, 6, mtime=0)
         self.data.write(raw)
         self.lines.append(json.dumps({"id": row["page"], "offset": self.size, "length": len(raw)}))
         self.size += len(raw)
@@ -194,8 +197,18 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(ranges, pa.schema([("path", pa.string()), ("begin", pa.int64()), ("size", pa.int64())]))
 
 
+def unzipped(raw: bytes) -> Iterator[bytes]:
+    """The records of a range of gzip members."""
+    while raw:
+        member = zlib.decompressobj(31)
+        yield member.decompress(raw) + member.flush()
+        if not member.eof:
+            raise ValueError("a record is cut short")
+        raw = member.unused_data
+
+
 def records(raw: bytes) -> Iterator[dict]:
-    """The records of a range, their payload digests checked."""
+    """The records of a plain range, their payload digests checked."""
     at = 0
     while at < len(raw):
         body = raw.index(b"\r\n\r\n", at) + 4
@@ -227,7 +240,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             with opened(row["path"]) as file:
-                yield pa.RecordBatch.from_pylist(list(records(_at(file, row["begin"], row["size"]))), _OUT)
+                found = unzipped(_at(file, row["begin"], row["size"]))
+                yield pa.RecordBatch.from_pylist([own for raw in found for own in records(raw)], _OUT)
 
 
 def read(spark: SparkSession, manifest: str) -> DataFrame:
