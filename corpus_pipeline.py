@@ -13,18 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm import encoding, jaccard, langid, quality, tiling
-from wardlens.llm.queries import QUALITY_CUT, language_model, quality_model, table
+from wardlens.llm.queries import QUALITY_CUT, language_model, language_vocabulary, quality_model, table
 from wardlens.session import scratch_path
 
-#: Below this the language is at chance on both levels, family and member.
-LANGUAGE_CUT = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: not ``und``, and scored above chance."""
-    found = langid.predict(language_model(docs), F.col("text"))
-    kept = docs.withColumn("__language", found).where((F.col("__language.lang") != langid.UNKNOWN) & (F.col("__language.score") >= LANGUAGE_CUT))
-    return kept.drop("__language")
+    """Keep documents whose language is known: not ``und``, and made of what its labelled rows hold."""
+    found = langid.predict(language_model(docs), F.col("text"))["lang"]
+    kept = docs.withColumn("__language", found).where(F.col("__language") != langid.UNKNOWN)
+    return kept.where(langid.in_vocabulary(language_vocabulary(docs), F.col("text"), F.col("__language"))).drop("__language")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

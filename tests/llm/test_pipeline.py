@@ -1,5 +1,8 @@
+import random
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import LONG
 from wardlens.llm import queries
@@ -55,3 +58,32 @@ def test_held_out_folds_follow_the_contract(spark):
     docs = spark.createDataFrame([(k,) for k in range(50)], "doc_id long")
     for k, one, two in docs.select("doc_id", queries.fold(4), queries.fold(5)).collect():
         assert one == zlib.crc32(str(k).encode()) % 4 and two == zlib.crc32(str(k).encode()) % 5
+
+
+def test_other_languages_and_garbage_go_and_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(2)
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
+    ]
+    extra = spark.createDataFrame([(90_000 + k, t, None, None, None) for k, t in enumerate(other)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.union(extra), SF_DIR)
+    assert kept.columns == docs.columns
+    assert kept.where("doc_id >= 90000").collect() == []
+    held = docs.where(queries.fold(4) == 2).where("text rlike '\\\\p{L}'")
+    assert held.join(kept, "doc_id", "left_semi").groupBy("lang").count().count() == 4
+    assert held.join(kept, "doc_id", "left_semi").count() >= 0.99 * held.count()
+
+
+def test_a_language_without_labelled_rows_goes(spark):
+    """Spanish rows that nobody labelled, beside three languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    kept = corpus_pipeline.language_id(spark, hidden, SF_DIR).groupBy(F.col("lang").isNull().alias("other")).count()
+    found = {r["other"]: r["count"] for r in kept.collect()}
+    assert found.get(True, 0) <= 0.05 * docs.where("lang = 'es'").count()
+    assert found[False] >= 0.97 * docs.where("lang != 'es'").count()

@@ -9,6 +9,12 @@ family, then to the language, that wins most of its pairs (ties: the larger sum
 margins, then the first by name). The score is the mean probability of the winner
 against its opponents, family times language.
 
+The score compares known languages only, so ``vocabulary`` tells other text apart: for
+each language, the trigrams that ``HELD`` of its sampled rows or more hold, and a cut,
+``KNOWN`` of the median share of such trigrams in a row when the row itself is left out.
+A text whose share for its language is below the cut is in another language or script,
+or letter garbage. A language of one row has cut 0, as nothing is known of its spread.
+
 Null text, empty text and text without a letter: language ``und``, score 0. No
 labelled row at all: every text is ``und``. One labelled language: always that one,
 score 1. Repeated rows are scored alike; other columns are never read.
@@ -41,6 +47,9 @@ FAMILIES = {
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 BITS = 12
+#: Of the trigrams that tell known text from other.
+WIDE_BITS = 18
+HELD, KNOWN = 0.02, 0.7
 UNKNOWN = "und"
 _LETTER = WORDY.copy()
 _LETTER[0x30:0x3A] = False
@@ -54,7 +63,7 @@ class LanguageModel:
     pairs: dict[tuple[str, str], tuple[np.ndarray, float]]
 
 
-def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(data: np.ndarray, starts: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams centred on the letters of the rows, and where each row's begin."""
     at = np.flatnonzero(_LETTER[data])
     low = np.where(_LETTER, LOWER, np.uint8(0x20))[data].astype(np.uint32)
@@ -66,7 +75,7 @@ def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[filled] = 0x20
     after[starts[1:][starts[1:] > starts[:-1]] - 1] = 0x20
     code = (before[at] << np.uint32(16)) | (low[at] << np.uint32(8)) | after[at]
-    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), np.searchsorted(at, starts)
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), np.searchsorted(at, starts)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +157,59 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: int = 30
     return LanguageModel(families, pairs)
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) rows to (lang, trigrams, how often each); rows without a letter are left out."""
+    for batch in batches:
+        for low, high, data, starts in parts(batch.column("text")):
+            code, edge = trigrams(data, starts, WIDE_BITS)
+            found = [np.unique(code[a:b], return_counts=True) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            at, many = [pa.array([own[k].astype(np.int32) for own in found], pa.list_(pa.int32())) for k in (0, 1)]
+            rows = pa.record_batch([batch.column("lang").slice(low, high - low), at, many], ["lang", "at", "many"])
+            yield rows.filter(pa.array(edge[1:] > edge[:-1]))
+
+
+def _vocabulary(rows: pd.DataFrame) -> pd.DataFrame:
+    """The trigrams of one language that enough rows hold, as bits, and its cut."""
+    holders = np.zeros(1 << WIDE_BITS, np.int64)
+    for at in rows["at"]:
+        holders[at] += 1
+    least = max(1, int(np.ceil(HELD * len(rows))))
+    shares = [many[holders[at] > least].sum() / many.sum() for at, many in zip(rows["at"], rows["many"], strict=True)]
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "bits": [np.packbits(holders >= least).tobytes()], "cut": [KNOWN * float(np.median(shares))]})
+
+
+def vocabulary(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: int = 300) -> dict[str, tuple[np.ndarray, float]]:
+    """Bits of the trigrams of each language and its cut, on a sample of about ``rows_per_lang`` rows each."""
+    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
+    shares = [(row["lang"], rows_per_lang / row["n"]) for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not shares:
+        return {}
+    plan = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
+    wide = known.join(plan, "lang").where(chance < F.col("share")).select("lang", "text").mapInArrow(_wide, "lang string, at array<int>, many array<int>")
+    found = wide.groupBy("lang").applyInPandas(_vocabulary, "lang string, bits binary, cut double").collect()
+    return {row["lang"]: (np.frombuffer(row["bits"], np.uint8), row["cut"]) for row in found}
+
+
+def in_vocabulary(held: dict[str, tuple[np.ndarray, float]], text: Column, lang: Column) -> Column:
+    """Whether a text's share of trigrams that its language holds reaches the cut; false without a letter."""
+
+    @arrow_udf("boolean")
+    def reaches(column: pa.Array, langs: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        names = np.array(langs.to_pylist(), object)
+        for low, high, data, starts in parts(column):
+            code, edge = trigrams(data, starts, WIDE_BITS)
+            size = edge[1:] - edge[:-1]
+            for name in {own for own in names[low:high] if own in held}:
+                bits, cut = held[name]
+                share = sums((bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1, edge) / np.maximum(size, 1)
+                out[low:high] |= (names[low:high] == name) & (size > 0) & (share >= cut)
+        return pa.array(out)
+
+    return reaches(text, lang)
+
+
 def _winner(names: tuple[str, ...], margins: dict[tuple[str, str], np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of the name that wins most pairs, and its mean probability against the others."""
     wins, total, chance = (np.zeros((len(names), rows)) for _ in range(3))

@@ -34,6 +34,10 @@ def language_model(docs: DataFrame) -> langid.LanguageModel:
     return langid.fit(docs.where(fold(4) != 2), "text", "lang", "doc_id")
 
 
+def language_vocabulary(docs: DataFrame) -> dict:
+    return langid.vocabulary(docs.where(fold(4) != 2), "text", "lang", "doc_id")
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     """Ids and labels meet first, so that only labelled texts are read into the join."""
     learn = labels.select("doc_id", "quality").where(fold(5) != 0)
