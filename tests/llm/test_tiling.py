@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty_docs, odd_docs
 from wardlens.llm import tiling
+from wardlens.llm.text import unicode_words
 
 
 def brute(item: list[str], text: list[str], least: int) -> int:
@@ -74,3 +76,35 @@ def test_odd_texts_and_empty_tables(spark):
     assert empty_docs(spark).select(tiling.contamination(items, F.col("text"))).collect() == []
     none = tiling.blocks(benchmark.limit(0), "item_id", "text")
     assert {r[0]["n_items"] for r in odd_docs(spark).select(tiling.contamination(none, F.col("text"))).collect()} == {0}
+
+
+def test_scripts_without_blanks_and_unicode_signs(spark):
+    chinese, japanese, thai = "人人生而自由,在尊严和权利上一律平等。", "すべての人間は、生まれながらにして自由である。", "มนุษย์ทั้งหลายเกิดมามีอิสระ"
+    quoted = 'He said "don\'t go" - and then the old man left'
+    items = [(1, chinese), (2, japanese), (3, thai), (4, quoted)]
+    texts = [f"前文{chinese}后文", f"むかし{japanese.replace('、', '')}おわり", f"ก่อน{thai}หลัง", "x he said\u00a0\u201cdon\u2019t go\u201d\u2014and then\u00a0the old man left\u2026", "在一律人自由而"]
+    found = covered(spark, items, texts, 0.9)
+    assert [(found[k]["item_id"], found[k]["coverage"]) for k in range(4)] == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]
+    assert found[4]["n_items"] == 0
+
+
+def test_tokens_of_mixed_scripts():
+    for text, expected in (
+        ("Füße, été\u2014naïve\u00a0x", ["Füße", "été", "naïve", "x"]),
+        ("日本2024年ab", ["日", "本", "2024", "年", "ab"]),
+        ("हिन्दी में", ["हिन्दी", "में"]),
+        ("한국어 말", ["한국어", "말"]),
+        ("☺\ufe0f! 🙂", []),
+        ("", []),
+    ):
+        data = np.frombuffer(text.encode(), np.uint8)
+        begin, end, row = unicode_words(data, np.array([0, 0, len(data)]))
+        assert [data[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)] == expected and set(row) <= {1}
+
+
+def test_short_items_match_as_a_whole(spark):
+    items = [(1, "Blue whale"), (2, "yes"), (3, "one two three"), (4, "..."), (5, "a b c d e f g h")]
+    found = covered(spark, items, ["the blue, WHALE sang; a blue whale", "blue and whale", "yes yes yes one two three", "yesterday one two", "...", "x one two threes"], 0.5)
+    own = [tuple(found[k][name] for name in ("item_id", "n_items", "coverage", "n_tiles")) for k in range(6)]
+    none = (None, 0, 0.0, 0)
+    assert own == [(1, 1, 1.0, 1), none, (2, 2, 1.0, 1), none, none, none]

@@ -6,7 +6,10 @@ its own), so a task's memory follows the slice and not the batch.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,13 @@ for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Scripts written without blanks between words: Thai, Lao, Myanmar, Khmer, Tai, Javanese, Balinese, kana, bopomofo, Yi, Tangut, Han.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x19E0, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18D8F), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -78,6 +88,31 @@ def runs(kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(starts, begin, side="right") - 1
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 no part of a word, 1 letter, mark or digit, 2 one of a script without blanks."""
+    kind = np.array([unicodedata.category(chr(code))[0] in "LMN" for code in range(sys.maxunicode + 1)], np.uint8)
+    kind[0xFE00:0xFE10] = kind[0xE0100:0xE01F0] = 0  # they choose the look of a sign
+    for low, high in UNSPACED:
+        kind[low : high + 1] *= 2
+    return kind
+
+
+def unicode_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of each run of letters and digits; in scripts without blanks, of each code point."""
+    if not len(data) or data.max() < 128:
+        return runs(WORDY[data], starts)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    code = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[code]
+    alone = np.flatnonzero(kind == 2)
+    kind = kind.astype(np.uint32)
+    kind[alone] = alone + 2  # no two neighbours alike
+    begin, end, row = runs(kind, np.searchsorted(lead, starts))
+    edge = np.append(lead, len(data))
+    return edge[begin], edge[end], row
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         size = max(n, SLICE_BYTES + 1)

@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and test items are sequences of lower-case tokens (runs of letters and digits;
-punctuation and blanks don't count). Every run of ``MIN_MATCH`` tokens of an item is a
-seed. Hashes of such runs roll over a whole text and meet the seeds in a sorted table,
+Texts and test items are sequences of lower-case tokens: runs of Unicode letters, marks
+and digits, and each such code point alone in scripts without blanks (``UNSPACED``);
+punctuation, signs and blanks don't count. Every run of ``MIN_MATCH`` tokens of an item
+is a seed, and an item of fewer tokens is one as a whole. Hashes of such runs roll over a whole text and meet the seeds in a sorted table,
 through a bit map that turns most away; neighbouring hits on one diagonal are a longest
 match. For each text and item the longest match of which no token is marked is marked,
 again and again; one that is partly marked is cut to its free parts, down to
@@ -15,8 +16,8 @@ results of blocks are merged row by row, so any number of items is tested agains
 row in one scan, without a shuffle.
 
 Null and empty text and text without tokens: coverage 0, no item. An item with fewer
-than ``MIN_MATCH`` tokens can't be told from chance and matches nothing; null items
-count as empty; items with equal texts all count, the smallest id is reported. No item:
+than ``MIN_MATCH`` tokens is found where all of them stand in a row, as one tile; null
+items count as empty; items with equal texts all count, the smallest id is reported. No item:
 coverage 0 everywhere. Repeated rows are treated alike; other columns are never read.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from wardlens.llm.text import WORDY, gram_hashes, parts, range_hashes, runs
+from wardlens.llm.text import gram_hashes, parts, range_hashes, unicode_words
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
@@ -58,10 +59,13 @@ class Items:
         for low, high, data, starts in parts(pa.array([text for _, text in rows], pa.string())):
             word, row = tokens(data, starts)
             sizes[low:high] = np.bincount(row, minlength=high - low)
-            seed, at = gram_hashes(word, row, MIN_MATCH)
-            seeds.append(seed)
-            items.append(row[at] + low)
-            places.append(at - np.searchsorted(row, row[at]))
+            for n in range(1, MIN_MATCH + 1):
+                seed, at = gram_hashes(word, row, n)
+                own = np.flatnonzero((sizes[low + row[at]] == n) | (n == MIN_MATCH))  # shorter ones of whole items only
+                seed, at = seed[own], at[own]
+                seeds.append(seed)
+                items.append(row[at] + low)
+                places.append(at - np.searchsorted(row, row[at]))
         seed = np.concatenate(seeds)
         order = np.argsort(seed, kind="stable")
         return Items(np.array([key for key, _ in rows], np.int64), sizes, seed[order], np.concatenate(items)[order], np.concatenate(places)[order])
@@ -69,7 +73,7 @@ class Items:
 
 def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each token."""
-    begin, end, row = runs(WORDY[data], starts)
+    begin, end, row = unicode_words(data, starts)
     return range_hashes(data, begin, end), row
 
 
@@ -99,14 +103,21 @@ def tile(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int]:
 def _hits(items: Items, allowed: np.ndarray, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, place in the item and place in the slice of each seed met."""
     word, row = tokens(data, starts)
-    gram, at = gram_hashes(word, row, MIN_MATCH)
-    maybe = np.flatnonzero(allowed[(gram >> np.uint64(64 - _BITS)).astype(np.int64)])
-    gram, at = gram[maybe], at[maybe]
-    low, high = np.searchsorted(items.seed, gram), np.searchsorted(items.seed, gram, side="right")
-    many = high - low
-    at = np.repeat(at, many)
-    seed = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(at))
-    return row[at], items.item[seed], items.place[seed], at
+    short = np.unique(items.sizes[(items.sizes > 0) & (items.sizes < MIN_MATCH)]).tolist()
+    found = []
+    for n in [*short, MIN_MATCH]:
+        gram, at = gram_hashes(word, row, n)
+        maybe = np.flatnonzero(allowed[(gram >> np.uint64(64 - _BITS)).astype(np.int64)])
+        gram, at = gram[maybe], at[maybe]
+        if n < MIN_MATCH:  # one place of a row says all
+            first = np.unique(np.stack([gram, row[at].astype(np.uint64)]), axis=1, return_index=True)[1]
+            gram, at = gram[first], at[first]
+        low, high = np.searchsorted(items.seed, gram), np.searchsorted(items.seed, gram, side="right")
+        many = high - low
+        at = np.repeat(at, many)
+        seed = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(at))
+        found.append((row[at], items.item[seed], items.place[seed], at))
+    return tuple(np.concatenate(columns) for columns in zip(*found, strict=True))
 
 
 def _tiled(items: Items, threshold: float, row: np.ndarray, item: np.ndarray, place: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
@@ -116,6 +127,9 @@ def _tiled(items: Items, threshold: float, row: np.ndarray, item: np.ndarray, pl
     edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]), [True]]))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         size = int(items.sizes[item[a]])
+        if size < MIN_MATCH:
+            yield int(row[a]), int(item[a]), 1.0, 1
+            continue
         met = np.unique(place[a:b])
         if np.minimum(np.diff(met, append=met[-1] + MIN_MATCH), MIN_MATCH).sum() < threshold * size:
             continue
