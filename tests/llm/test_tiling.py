@@ -108,3 +108,13 @@ def test_short_items_match_as_a_whole(spark):
     own = [tuple(found[k][name] for name in ("item_id", "n_items", "coverage", "n_tiles")) for k in range(6)]
     none = (None, 0, 0.0, 0)
     assert own == [(1, 1, 1.0, 1), none, (2, 2, 1.0, 1), none, none, none]
+
+
+def test_items_without_an_id_count(spark, monkeypatch):
+    texts = ["x the old red fox ran home", "a small bird sang", "here nobody saw the old man there", "no item"]
+    items = [(None, "the old red fox ran home"), (None, "a small bird sang"), (7, "a small bird sang"), (None, None), (0, "nobody saw the old man"), (None, "the small fox")]
+    expected = [(None, 1, 1.0), (7, 2, 1.0), (0, 1, 1.0), (None, 0, 0.0)]
+    for tokens_of_block in (tiling.BLOCK_TOKENS, 4):
+        monkeypatch.setattr(tiling, "BLOCK_TOKENS", tokens_of_block)
+        found = covered(spark, items, texts, 0.5)
+        assert [(found[k]["item_id"], found[k]["n_items"], found[k]["coverage"]) for k in range(4)] == expected

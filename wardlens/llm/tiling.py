@@ -16,9 +16,10 @@ results of blocks are merged row by row, so any number of items is tested agains
 row in one scan, without a shuffle.
 
 Null and empty text and text without tokens: coverage 0, no item. An item with fewer
-than ``MIN_MATCH`` tokens is found where all of them stand in a row, as one tile; null
-items count as empty; items with equal texts all count, the smallest id is reported. No item:
-coverage 0 everywhere. Repeated rows are treated alike; other columns are never read.
+than ``MIN_MATCH`` tokens is found where all of them stand in a row, as one tile; items
+without text count as empty; items with equal texts all count, the smallest id is
+reported. An item whose id is null counts like others and is reported, with null for its
+id, unless an item with an id is covered no less. No item: coverage 0 everywhere. Repeated rows are treated alike; other columns are never read.
 """
 
 from __future__ import annotations
@@ -43,17 +44,18 @@ _BITS = 22
 
 @dataclass(frozen=True)
 class Items:
-    """A block of test items: seeds sorted by hash, with item number and token place."""
+    """A block of test items, ``named`` those that have an id: seeds sorted by hash, with item number and token place."""
 
     ids: np.ndarray
+    named: np.ndarray
     sizes: np.ndarray
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Items:
-        rows = sorted(rows)
+    def of(rows: list[tuple[int | None, str]]) -> Items:
+        rows = sorted(rows, key=lambda row: (row[0] is None, row[0] or 0, row[1]))  # without an id: last
         seeds, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         sizes = np.zeros(len(rows), np.int64)
         for low, high, data, starts in parts(pa.array([text for _, text in rows], pa.string())):
@@ -68,7 +70,7 @@ class Items:
                 places.append(at - np.searchsorted(row, row[at]))
         seed = np.concatenate(seeds)
         order = np.argsort(seed, kind="stable")
-        return Items(np.array([key for key, _ in rows], np.int64), sizes, seed[order], np.concatenate(items)[order], np.concatenate(places)[order])
+        return Items(np.array([key or 0 for key, _ in rows], np.int64), np.array([key is not None for key, _ in rows], bool), sizes, seed[order], np.concatenate(items)[order], np.concatenate(places)[order])
 
 
 def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,16 +152,17 @@ def _tested(items: Items, text: Column, threshold: float) -> Column:
         allowed[filled] = True
         for column in columns:
             best = np.zeros(len(column)), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+            named = np.zeros(len(column), bool)
             for low, _, data, starts in parts(column):
                 hits = _hits(items, allowed, data, starts)
                 if not len(hits[0]):
                     continue
-                for row, item, coverage, tiles in _tiled(items, threshold, *hits):  # items ascend with their ids
+                for row, item, coverage, tiles in _tiled(items, threshold, *hits):  # items ascend with their ids, null last
                     best[2][low + row] += 1
                     if coverage > best[0][low + row]:
                         best[0][low + row], best[1][low + row], best[3][low + row] = coverage, items.ids[item], tiles
-            found = best[2] > 0
-            columns_out = [pa.array(best[0]), pa.array(best[1], mask=~found), pa.array(best[2]), pa.array(best[3])]
+                        named[low + row] = items.named[item]
+            columns_out = [pa.array(best[0]), pa.array(best[1], mask=~named), pa.array(best[2]), pa.array(best[3])]
             yield pa.StructArray.from_arrays(columns_out, ["coverage", "item_id", "n_items", "n_tiles"])
 
     return covered(F.lower(text))
@@ -167,7 +170,7 @@ def _tested(items: Items, text: Column, threshold: float) -> Column:
 
 def blocks(benchmark: DataFrame, key: str, text: str) -> list[Items]:
     """The test items in blocks of about ``BLOCK_TOKENS`` tokens, one after the other on the driver."""
-    rows = benchmark.select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text")).where("key is not null and text is not null")
+    rows = benchmark.select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     count = -(-total // BLOCK_TOKENS)
     deal = F.pmod(F.xxhash64("key", "text"), F.lit(max(count, 1)))
@@ -178,7 +181,7 @@ def contamination(items: list[Items], text: Column, threshold: float = THRESHOLD
     """struct<coverage, item_id, n_items, n_tiles> of a text column.
 
     Of the items covered to the threshold, how many there are, and of the best covered one
-    (ties: the smallest id) coverage, id and tiles.
+    (ties: the smallest id, null last) coverage, id and tiles.
     """
     if not items:
         return F.expr("named_struct('coverage', 0D, 'item_id', cast(null as bigint), 'n_items', 0L, 'n_tiles', 0L)")
