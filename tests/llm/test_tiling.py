@@ -118,3 +118,11 @@ def test_items_without_an_id_count(spark, monkeypatch):
         monkeypatch.setattr(tiling, "BLOCK_TOKENS", tokens_of_block)
         found = covered(spark, items, texts, 0.5)
         assert [(found[k]["item_id"], found[k]["n_items"], found[k]["coverage"]) for k in range(4)] == expected
+
+
+def test_blocks_count_real_tokens(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "BLOCK_TOKENS", 100)
+    lines = [(k, "\n".join(f"w{k}x{j}" for j in range(20))) for k in range(20)]
+    signs = [(k, "... " * 200) for k in range(20)]
+    han = [(k, chr(0x4E00 + k) * 20) for k in range(20)]
+    assert [len(tiling.blocks(spark.createDataFrame(rows, "i long, t string"), "i", "t")) for rows in (lines, signs, han)] == [4, 0, 4]

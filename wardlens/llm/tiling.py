@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from wardlens.llm.text import gram_hashes, parts, range_hashes, unicode_words
 
@@ -168,10 +169,16 @@ def _tested(items: Items, text: Column, threshold: float) -> Column:
     return covered(F.lower(text))
 
 
+@arrow_udf(LongType())
+def _size(column: pa.Array) -> pa.Array:
+    """The number of tokens of each text."""
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.bincount(tokens(data, starts)[1], minlength=high - low) for low, high, data, starts in parts(column))]), pa.int64())
+
+
 def blocks(benchmark: DataFrame, key: str, text: str) -> list[Items]:
     """The test items in blocks of about ``BLOCK_TOKENS`` tokens, one after the other on the driver."""
     rows = benchmark.select(F.col(key).cast("long").alias("key"), F.lower(F.col(text)).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = rows.agg(F.sum(_size("text"))).first()[0] or 0
     count = -(-total // BLOCK_TOKENS)
     deal = F.pmod(F.xxhash64("key", "text"), F.lit(max(count, 1)))
     return [Items.of([tuple(row) for row in rows.where(deal == k).collect()]) for k in range(count)]
