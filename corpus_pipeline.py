@@ -31,11 +31,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates the document with the smallest id, once."""
-    found = jaccard.join(docs, "doc_id", "text")
-    chosen = found.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("__key")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keep of each group of near duplicates the document with the smallest id, one text of it, once."""
+    found = jaccard.grouped(docs, "doc_id", "text")
+    chosen = found.where("first").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    same = docs["doc_id"].eqNullSafe(chosen["__key"]) & (F.xxhash64(docs["text"]) == chosen["__mark"])
+    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,15 @@ def test_a_language_without_labelled_rows_goes(spark):
     found = {r["other"]: r["count"] for r in kept.collect()}
     assert found.get(True, 0) <= 0.05 * docs.where("lang = 'es'").count()
     assert found[False] >= 0.97 * docs.where("lang != 'es'").count()
+
+
+def test_one_document_of_each_group_stays(spark):
+    """One id with texts of two groups, near-duplicates without an id, one set in two spellings."""
+    words = [[f"{name}{k}" for k in range(60)] for name in "abcd"]
+    one, two, three, four = (" ".join(own) for own in words)
+    rows = [(5, one), (5, two + " end"), (3, two), (8, one + " end"), (None, three), (None, three + " end"), (6, four), (6, four.upper()), (6, four)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"].lower().removesuffix(" end")) for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(5, one), (3, two), (None, three), (6, four)], key=str)

@@ -27,6 +27,9 @@ Null and empty text and text without words: size 0, linked with nothing, its own
 component. With fewer than five words the whole sequence is the one shingle. Copies and
 repeated rows are in one component. A null key gets the smallest key that is not null
 in its component, or null. Other columns are never read.
+
+Of each component one row is the first: that of the smallest key (null last), and of its
+texts that with the smallest hash. Each row without words is first, as it stands alone.
 """
 
 from __future__ import annotations
@@ -121,12 +124,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     batch.column("key").slice(low, high - low),
+                    batch.column("mark").slice(low, high - low),
                     pa.array(size),
                     pa.array(sign, mask=size == 0),
                     pa.array([point(own).tobytes() if len(own) else None for own in sets], pa.binary()),
                     pa.array(near, pa.list_(pa.int64())),
                 ],
-                ["key", "n", "sig", "point", "near"],
+                ["key", "mark", "n", "sig", "point", "near"],
             )
 
 
@@ -440,14 +444,25 @@ def _near_pairs(classes: DataFrame) -> DataFrame:
 def join(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """(key, n_shingles, component) of each document, the component named by its smallest key.
 
+    ``leaf`` and ``tile`` change the work and not the result.
+    """
+    return grouped(documents, key, text, leaf, tile).select("key", "n_shingles", "component")
+
+
+def grouped(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """As ``join``, with the text's ``xxhash64`` as mark, and first: true for one key and mark of each component.
+
     ``leaf`` and ``tile`` change the work and not the result.
     """
     spark: SparkSession = documents.sparkSession
     folder = scratch_path(spark, "jaccard")
     docs = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    docs.mapInArrow(_profile, "key long, n long, sig long, point binary, near array<long>").write.parquet(f"{folder}/profile")
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    marked.mapInArrow(_profile, "key long, mark long, n long, sig long, point binary, near array<long>").write.parquet(f"{folder}/profile")
     profile = spark.read.parquet(f"{folder}/profile")
-    firsts = profile.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("near").alias("near"))
+    row = F.struct(F.col("key").isNull().alias("unnamed"), "key", "mark")
+    firsts = profile.where("sig is not null").groupBy("sig").agg(F.min(row).alias("row"), F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("near").alias("near"))
+    firsts = firsts.select("sig", "row.key", "row.mark", "n", "point", "near")
     firsts.write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
 
@@ -468,8 +483,15 @@ def join(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: int
     others = _linked(direct.union(searched).distinct(), docs, classes, f"{folder}/others")
 
     whole = components(copies.union(others)).withColumnRenamed("node", "sig")
-    names = classes.select("sig", "key").join(whole, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = names.groupBy("component").agg(F.min("key").alias("first"))
-    named = names.join(least, "component").select("sig", "first")
-    joined = profile.select("key", "n", "sig").join(named, "sig", "left")
-    return joined.select("key", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.col("first")).alias("component"))
+    names = classes.select("sig", "key", "mark").join(whole, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = names.groupBy("component").agg(F.min(row).alias("least"))
+    named = names.join(least, "component").select("sig", F.col("least.key").alias("first_key"), F.col("least.mark").alias("first_mark"))
+    joined = profile.select("key", "mark", "n", "sig").join(named, "sig", "left")
+    alone = F.col("sig").isNull()
+    return joined.select(
+        "key",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("key")).otherwise(F.col("first_key")).alias("component"),
+        "mark",
+        (alone | (F.col("key").eqNullSafe(F.col("first_key")) & (F.col("mark") == F.col("first_mark")))).alias("first"),
+    )
