@@ -19,9 +19,9 @@ from wardlens.session import scratch_path
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known: not ``und``, and made of what its labelled rows hold."""
-    found = langid.predict(language_model(docs), F.col("text"))["lang"]
-    kept = docs.withColumn("__language", found).where(F.col("__language") != langid.UNKNOWN)
-    return kept.where(langid.in_vocabulary(language_vocabulary(docs), F.col("text"), F.col("__language"))).drop("__language")
+    found = langid.predict(language_model(docs), F.col("text"), language_vocabulary(docs))
+    kept = docs.withColumn("__language", found).where((F.col("__language.lang") != langid.UNKNOWN) & F.col("__language.known"))
+    return kept.drop("__language")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

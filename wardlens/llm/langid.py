@@ -191,23 +191,16 @@ def vocabulary(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: i
     return {row["lang"]: (np.frombuffer(row["bits"], np.uint8), row["cut"]) for row in found}
 
 
-def in_vocabulary(held: dict[str, tuple[np.ndarray, float]], text: Column, lang: Column) -> Column:
-    """Whether a text's share of trigrams that its language holds reaches the cut; false without a letter."""
-
-    @arrow_udf("boolean")
-    def reaches(column: pa.Array, langs: pa.Array) -> pa.Array:
-        out = np.zeros(len(column), bool)
-        names = np.array(langs.to_pylist(), object)
-        for low, high, data, starts in parts(column):
-            code, edge = trigrams(data, starts, WIDE_BITS)
-            size = edge[1:] - edge[:-1]
-            for name in {own for own in names[low:high] if own in held}:
-                bits, cut = held[name]
-                share = sums((bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1, edge) / np.maximum(size, 1)
-                out[low:high] |= (names[low:high] == name) & (size > 0) & (share >= cut)
-        return pa.array(out)
-
-    return reaches(text, lang)
+def _known(held: dict[str, tuple[np.ndarray, float]], data: np.ndarray, starts: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Whether each row's share of trigrams that its language holds reaches the cut; false without a letter."""
+    code, edge = trigrams(data, starts, WIDE_BITS)
+    size = edge[1:] - edge[:-1]
+    out = np.zeros(len(size), bool)
+    for name in {own for own in langs if own in held}:
+        bits, cut = held[name]
+        share = sums((bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1, edge) / np.maximum(size, 1)
+        out |= (langs == name) & (size > 0) & (share >= cut)
+    return out
 
 
 def _winner(names: tuple[str, ...], margins: dict[tuple[str, str], np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,14 +220,16 @@ def _winner(names: tuple[str, ...], margins: dict[tuple[str, str], np.ndarray],
     return best, odds
 
 
-def predict(model: LanguageModel, text: Column) -> Column:
-    """struct<lang string, score double> of a text column."""
+def predict(model: LanguageModel, text: Column, held: dict[str, tuple[np.ndarray, float]] | None = None) -> Column:
+    """struct<lang string, score double> of a text column; given a vocabulary also known boolean, in the same pass."""
     families = tuple(sorted(model.families))
     weights = model.pairs
 
-    @arrow_udf("struct<lang: string, score: double>")
+    checked = held is not None
+
+    @arrow_udf("struct<lang: string, score: double" + ", known: boolean" * checked + ">")
     def language(column: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, sound = [], [], [np.zeros(0, bool)]
         for low, high, data, starts in parts(column):
             rows = high - low
             code, edge = trigrams(data, starts)
@@ -250,8 +245,12 @@ def predict(model: LanguageModel, text: Column) -> Column:
                 score[here] = (odds * sure)[here]
             langs.append(lang)
             scores.append(score)
+            if checked:
+                sound.append(_known(held, data, starts, lang))
         lang = pa.array(np.concatenate(langs) if langs else [], pa.string())
-        return pa.StructArray.from_arrays([lang, pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang", "score"])
+        fields = [lang, pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(sound))]
+        names = ["lang", "score", "known"]
+        return pa.StructArray.from_arrays(fields[: 2 + checked], names[: 2 + checked])
 
     lettered = F.when(text.rlike("\\p{L}"), text)  # bytes beyond ASCII may be signs
     return language(lettered)

@@ -91,7 +91,7 @@ def runs(kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 @cache
 def _kinds() -> np.ndarray:
     """Of each code point: 0 no part of a word, 1 letter, mark or digit, 2 one of a script without blanks."""
-    kind = np.array([unicodedata.category(chr(code))[0] in "LMN" for code in range(sys.maxunicode + 1)], np.uint8)
+    kind = np.fromiter((unicodedata.category(chr(code))[0] in "LMN" for code in range(sys.maxunicode + 1)), np.uint8)
     kind[0xFE00:0xFE10] = kind[0xE0100:0xE01F0] = 0  # they choose the look of a sign
     for low, high in UNSPACED:
         kind[low : high + 1] *= 2
