@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import chat, encoding, jaccard, langid, lzprint, quality, tiling, tokencount, tokenfiles, warc
+from wardlens.llm import chat, collocation, encoding, exactdup, infill, jaccard, langid, lzprint, quality, tiling, tokencount, tokenfiles, warc
 from wardlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,30 @@ def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read(spark, folder)
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents").select("text", "lang"), "text", "lang")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = docs.select("doc_id", infill.fill_in_middle(F.col("text"), infill.draws(F.col("doc_id"))).alias("own")).select("doc_id", "own.*")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdup.members(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("digest").alias("text_sha256")
+    )
+
+
 _MARKS = r"(\\|</?s>|\[/?INST\]|<</?SYS>>)"
 SQL["op6_chat_tree"] = rf"""
 with turns as (
@@ -190,3 +214,68 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id
 from documents d left join sizes s on s.doc_id = d.doc_id
 join (select doc_id, min(least) as component_id from reached group by doc_id) r on r.doc_id = d.doc_id
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op13_exact_dedup"] = f"""
+with named as (
+    select doc_id, {_LOWERED} as text from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+    doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
+from named window same as (partition by text)
+"""
+
+SQL["op12_fill_in_middle"] = """
+with drawn as (
+    select doc_id, coalesce(text, '') as text, cast(length(coalesce(text, '')) as bigint) as n, sha256('1:' || doc_id) as h from documents
+), numbers as (
+    select doc_id, text, n, cast('0x' || h[1:8] as bigint) % (n + 1) as one, cast('0x' || h[9:16] as bigint) % (n + 1) as two,
+        cast('0x' || h[17:24] as bigint) % 100 as three, cast('0x' || h[25:32] as bigint) % 100 as four
+    from drawn
+), cuts as (
+    select *, least(one, two) as p, greatest(one, two) as m,
+        case when n = 0 or text like '%<P>%' or text like '%<S>%' or text like '%<M>%' or three >= 90 then 'plain'
+            when four < 20 then 'spm' else 'psm' end as form
+    from numbers
+), pieces as (
+    select *, substring(text, 1, p) as prefix, substring(text, p + 1, m - p) as middle, substring(text, m + 1) as suffix from cuts
+)
+select doc_id, n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then m - p end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from pieces
+"""
+
+SQL["op11_collocations"] = rf"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+    select lang, cast(sum(len(w)) as bigint) as n from words group by lang
+), places as (
+    select lang, w, m, unnest(range(1, len(w) - m + 2)) as k from words, (values (1), (2), (3), (4)) sizes(m) where len(w) >= m
+), phrases as (
+    select lang, w[k:k + m - 1] as p, count(*) as a from places group by lang, p having count(*) >= 30
+), cuts as (
+    select lang, p, a, unnest(range(1, len(p))) as k from phrases
+), parted as (
+    select c.lang, c.p, c.a, k, x.a as l, y.a as r, cast(2000000::hugeint * c.a // (x.a::hugeint + y.a) as bigint) as score
+    from cuts c join phrases x on x.lang = c.lang and x.p = c.p[1:k] join phrases y on y.lang = c.lang and y.p = c.p[k + 1:]
+), lowest as (
+    select * from parted qualify row_number() over (partition by lang, p order by score, k) = 1
+), spans as (
+    select lang, p, a, i, unnest(range(i + 1, len(p) + 1)) as j from (select *, unnest(range(1, len(p))) as i from phrases where len(p) > 2)
+), inside as (
+    select lang, p[i:j] as p, max(a) as more from spans where j - i + 1 < len(p) group by lang, p[i:j]
+), kept as (
+    select b.lang, array_to_string(b.p, ' ') as phrase, a, l, r, score
+    from lowest b left join inside i on i.lang = b.lang and i.p = b.p
+    where more is null or 100::hugeint * more < 80::hugeint * a
+)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join totals on totals.lang = kept.lang
+qualify rank <= 2000
+"""
