@@ -14,7 +14,7 @@ itself. Repeated rows are encoded alike; other columns are never read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -26,9 +26,9 @@ from pyspark.sql.functions import arrow_udf
 from wardlens.llm.bpe import Merges, byte_letters, byte_level
 from wardlens.llm.text import BLANK, parts, range_hashes
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Words and units whose tokens a task remembers, unless longer than ``LONG``; past that it starts afresh.
-REMEMBERED, LONG = 600_000, 256
+REMEMBERED, LONG = 300_000, 256
 # Fixed value: the pattern that cuts a text into words before the merges.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEYOND = np.zeros(256, bool)
@@ -66,9 +66,15 @@ class Encoder:
         self.merges: Merges
         self.merges, self.ids, self.special = byte_level(path)
         self.numbers = [self.ids[name] for name in self.merges.names]
-        self.names = {number: name for name, number in self.ids.items()}
         self.letters = byte_letters()
-        self.bytes_of = {ord(letter): byte for byte, letter in enumerate(self.letters)}
+        byte_of = {ord(letter): byte for byte, letter in enumerate(self.letters)}
+        #: By token, its bytes and its decimal number.
+        self.spelt = [b""] * (max([*self.ids.values(), *self.special.values()]) + 1)
+        for name, number in self.ids.items():
+            self.spelt[number] = name.encode() if name in self.special else name.translate(byte_of).encode("latin-1")
+        for name, number in self.special.items():
+            self.spelt[number] = name.encode()
+        self.digits = [b"%d" % number for number in range(len(self.spelt))]
         self.known = self._special()
         self.stops = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -120,16 +126,13 @@ class Encoder:
             known.pop(name, None)
         return tokens, place, np.searchsorted(begin, starts)
 
-    def decoded(self, tokens: tuple[int, ...]) -> bytes:
+    def decoded(self, tokens: Sequence[int]) -> bytes:
         """The bytes that the tokens spell; special tokens spell their name."""
-        out = bytearray()
-        for token in tokens:
-            name = self.names.get(token)
-            if name is None:
-                out += next(n for n, number in self.special.items() if number == token).encode()
-            else:
-                out += name.translate(self.bytes_of).encode("latin-1")
-        return bytes(out)
+        return b"".join(map(self.spelt.__getitem__, tokens))
+
+    def listed(self, tokens: Sequence[int]) -> bytes:
+        """The decimal numbers of the tokens, joined by commas."""
+        return b",".join(map(self.digits.__getitem__, tokens))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -183,14 +186,13 @@ def digests(text: Column, path: str) -> Column:
             for _, _, data, starts in parts(array, SLICE):
                 own = encoder(path)
                 tokens, place, edge = own.slice(data, starts)
-                names = [",".join(map(str, unit)).encode() for unit in tokens]
-                spelt = [own.decoded(unit) for unit in tokens]
-                total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))[place])])
-                count.append(np.diff(total[edge]))
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    here = place[a:b].tolist()
-                    ids.append(hashlib.sha256(b",".join([names[k] for k in here])).hexdigest())
-                    text = b"".join([spelt[k] for k in here]).decode(errors="replace")
+                flat, size = spread(tokens, place)
+                total = np.concatenate([[0], np.cumsum(size)])[edge]
+                count.append(np.diff(total))
+                for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
+                    here = flat[a:b].tolist()
+                    ids.append(hashlib.sha256(own.listed(here)).hexdigest())
+                    text = own.decoded(here).decode(errors="replace")
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
             columns = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
