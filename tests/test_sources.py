@@ -125,3 +125,43 @@ def test_dates_by_column_name(spark):
     assert rows(coerce_dates(df)) == [(dt.date(2020, 1, 2), "x", 3)]
     stamps = df.selectExpr("timestamp'2020-01-02 23:59:59' AS test_date")
     assert rows(coerce_dates(stamps)) == [(dt.date(2020, 1, 2),)]
+
+
+def test_one_job_finds_the_headers_of_many_files(spark, tmp_path):
+    """Three column orders in 300 files, whose names need quoting; some start with blank lines or hold nothing."""
+    orders = (["atc_code", "ab_type", "ab_group"], ["ab_group", "note", "atc_code", "ab_type"], ["ab_type", "ab_group", "atc_code"])
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    expected = []
+    for k in range(300):
+        value = {"atc_code": f"J{k}", "ab_type": f"t{k % 7}", "ab_group": f"g {k % 3}", "note": "x"}
+        names = orders[k % 3]
+        text = "\n" * (k % 5 == 0) + ",".join(names) + "\n" + ",".join(value[n] for n in names) + "\n"
+        (folder / f"part %20 {k:03d}.csv").write_text("" if k % 50 == 49 else text)
+        if k % 50 != 49:
+            expected.append((value["atc_code"], value["ab_type"], value["ab_group"]))
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers of many files")
+    try:
+        df = read_dim(spark, str(folder), AGENTS)
+        jobs = context.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # One for all first lines and up to three for each different header, where Spark lists its files
+    # (more than it lists on the driver) and reads one header; none for each file.
+    assert len(jobs) <= 2 + 3 * len(orders), len(jobs)
+    assert rows(df) == sorted(expected, key=str)
+
+
+def test_headers_that_run_over_lines(spark, tmp_path):
+    """Headers that differ after a line break inside quotes are told apart."""
+    for k, last in enumerate(("ab_type", "ab_group")):
+        other = "ab_group" if last == "ab_type" else "ab_type"
+        (tmp_path / f"{k}.csv").write_text(f'atc_code,"a\nb",{last},{other}\nJ{k},x,{last[3]},{other[3]}\n')
+    assert rows(read_dim(spark, str(tmp_path), AGENTS, multiline=True)) == [("J0", "t", "g"), ("J1", "t", "g")]
+
+
+def test_only_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="lacks"):
+        read_dim(spark, str(tmp_path), AGENTS)

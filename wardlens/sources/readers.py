@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,25 +33,60 @@ def _typed(text: Column, data_type: T.DataType, decimal: str, date_format: str)
     return text.try_cast(data_type)
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The file and first line with text of a split that begins a file; then the rest is left unread."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if batch.column("start")[0].as_py():
+            return
+        filled = pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(batch.column("value")), ""), False)
+        found = batch.filter(filled)
+        if found.num_rows:
+            yield found.slice(0, 1).select(["file", "value"])
+            return
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files of a path grouped by their first line, in one job.
+
+    Each split is a task of its own here, so that a task stops at the first line of its
+    file. A header whose first line ends inside quotes is a group of its own, as the
+    lines after it may differ.
+    """
+    conf, cost = spark.conf, "spark.sql.files.openCostInBytes"
+    before = conf.get(cost, None)
+    conf.set(cost, conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        lines = spark.read.text(path)
+        where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+        found = lines.select("value", *where).mapInArrow(_first_lines, "file string, value string").collect()
+    finally:
+        conf.unset(cost) if before is None else conf.set(cost, before)
+    groups: dict[str, list[str]] = {}
+    for row in sorted(found):
+        header, file = row["value"], unquote(row["file"])
+        groups.setdefault(header + file if header.count('"') % 2 else header, []).append(file)
+    return list(groups.values())
+
+
 def _read_delimited(
     spark: SparkSession, path: str | list[str], sep: str, multiline: bool
 ) -> DataFrame:
     """All files as text columns, found by name in each file.
 
-    Without inference only the header lines are read here. Files are grouped by
-    header, since Spark reads a group by the positions of its first file; a column
-    that some group lacks is null there.
+    Without inference only the header lines are read here: one job finds those of all
+    files, and Spark reads that of one file for each different header. Files are grouped
+    by header, since Spark reads a group by the positions of its first file; a column
+    that some group lacks is null there. Files without a line hold no rows.
     """
     # The null mark stands in for an unquoted empty field, so that "" stays a text.
     options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline, "nullValue": "\u0000"}
     reader = spark.read.options(**options)
-    files = spark.read.text(path).inputFiles()
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        headers.setdefault(tuple(reader.csv(file).columns), []).append(file)
-    if len(headers) < 2:
+    groups = _by_header(spark, path)
+    if len(groups) < 2:
         return reader.csv(path)
-    parts = [reader.csv(group) for header, group in headers.items() if header]
+    parts = [reader.csv(group) for group in groups]
     return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
 
 
