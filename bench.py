@@ -67,7 +67,7 @@ def step_seconds(given: Tables, step: str) -> float:
 
 
 # Steps whose results the queries start from.
-STEPS = {"enrich_and_save": "saved", "attribute_and_keep": "kept_rx", "cohort_and_save": "cohort"}
+STEPS = {"enrich_and_save": "saved", "attribute_and_keep": "attributed", "cohort_and_save": "cohort"}
 
 
 def main() -> None:

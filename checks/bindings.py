@@ -10,16 +10,7 @@ from pyspark.sql import functions as F
 from wardlens.operators.derive import normalize_sir, with_rx_measures
 from wardlens.operators.intervals import attribute_intervals, attribute_points
 from wardlens.plans.cohort import Cohort
-from wardlens.plans.enrich import (
-    Enriched,
-    admission_facts,
-    derive_admissions,
-    enrich_admissions,
-    enrich_rx,
-    enrich_tests,
-    name_tests,
-    save_enriched,
-)
+from wardlens.plans.enrich import Attributed, Enriched, derive_admissions, save_attributed, save_enriched
 from wardlens.schema import KEY
 from wardlens.session import configure, scratch_path
 
@@ -177,37 +168,23 @@ class Tables:
         bounds = self.admissions.select(*KEY, "adm_start_date", "adm_end_date")
         return attribute_points(self.tests, bounds, max_stay_days=MAX_STAY_DAYS)
 
-    # Written once, so that what joins a table to its own facts attributes once.
-
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    @cached_property
-    def kept_rx(self) -> DataFrame:
-        return self._kept(self.attributed_rx, "attributed-rx")
-
-    @cached_property
-    def kept_tests(self) -> DataFrame:
-        narrow = self.attributed_tests.select(*KEY, "test_date", "material")
-        return self._kept(narrow, "attributed-tests")
-
-    @cached_property
-    def facts(self) -> DataFrame:
-        return admission_facts(self.kept_rx, self.kept_tests)
-
-    @cached_property
-    def enriched_admissions(self) -> DataFrame:
-        return enrich_admissions(self.derived_admissions, self.facts)
+    # Written once by the library, in buckets of the admission, where joins by it start.
 
     @cached_property
-    def enriched_rx(self) -> DataFrame:
-        return enrich_rx(self.kept_rx, self.facts, self.agents)
+    def attributed(self) -> Attributed:
+        return save_attributed(
+            self.admissions,
+            self.prescriptions,
+            self.tests,
+            self.agents,
+            self.organisms,
+            scratch_path(self.spark, "attributed"),
+            max_stay_days=MAX_STAY_DAYS,
+        )
 
     @cached_property
-    def enriched_tests(self) -> DataFrame:
-        return enrich_tests(name_tests(self.tests, self.organisms), self.enriched_admissions, MAX_STAY_DAYS)
+    def enriched(self) -> Enriched:
+        return self.attributed.enriched()
 
     # The same tables written once to the shared folder, where the views start.
 

@@ -205,7 +205,7 @@ def _(t):
 
 @query("diagnostic_flag")
 def _(t):
-    return derive.with_diagnostic(t.enriched_admissions, "urine", 0, 2).select(*KEY, "uc_timing", "check")
+    return derive.with_diagnostic(t.enriched.admissions, "urine", 0, 2).select(*KEY, "uc_timing", "check")
 
 
 @query("discharge_event")
@@ -348,7 +348,7 @@ def _(t):
 
 @query("join_timing")
 def _(t):
-    return t.enriched_admissions.select(*KEY, "bc_timing", "uc_timing")
+    return t.enriched.admissions.select(*KEY, "bc_timing", "uc_timing")
 
 
 @query("join_first_rx")
@@ -373,7 +373,7 @@ def _(t):
 
 @query("join_adm_on_tests")
 def _(t):
-    return t.enriched_tests.select(
+    return t.enriched.tests.select(
         *KEY, "test_number", "test_date", "specialty", "sub_specialty", "year", "age", "LOS",
         "bc_timing", "uc_timing", "first_isolate", "fullname",
     )
@@ -381,7 +381,7 @@ def _(t):
 
 @query("join_adm_on_rx")
 def _(t):
-    return t.enriched_rx.select(
+    return t.enriched.prescriptions.select(
         *PICK, "gender", "specialty", "sub_specialty", "adm_route", "year", "LOS", "age",
         "bc_timing", "uc_timing",
     )
@@ -389,7 +389,7 @@ def _(t):
 
 @query("join_course")
 def _(t):
-    return courses.with_course(t.kept_rx).select(*PICK, "ab_start_cont", "ab_stop_cont", "ab_days_all")
+    return courses.with_course(t.attributed.prescriptions).select(*PICK, "ab_start_cont", "ab_stop_cont", "ab_days_all")
 
 
 @query("join_los_back")
@@ -677,12 +677,12 @@ def _(t):
 
 @query("ddd_total")
 def _(t):
-    return intervals.with_admission_dose(t.kept_rx).select(*PICK, "ddd_total")
+    return intervals.with_admission_dose(t.attributed.prescriptions).select(*PICK, "ddd_total")
 
 
 @query("ab_first")
 def _(t):
-    return intervals.with_first_flag(t.kept_rx).select(*PICK, "ab_first")
+    return intervals.with_first_flag(t.attributed.prescriptions).select(*PICK, "ab_first")
 
 
 @query("first_course")

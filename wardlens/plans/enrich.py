@@ -18,6 +18,7 @@ from wardlens.operators.intervals import (
 )
 from wardlens.operators.isolates import first_isolate
 from wardlens.schema import KEY, TIMING_COLUMN
+from wardlens.sources.buckets import default_buckets, write_bucketed
 
 TABLES = ("admissions", "prescriptions", "tests")
 
@@ -52,12 +53,10 @@ def enrich_admissions(adm: DataFrame, facts: DataFrame) -> DataFrame:
     return adm.join(facts.select(*KEY, *TIMING_COLUMN.values()), KEY, "left")
 
 
-def enrich_rx(attributed_rx: DataFrame, facts: DataFrame, agents: DataFrame) -> DataFrame:
-    """Attributed prescriptions with agent, admission facts and the first-day flag."""
-    return (
-        with_dim(attributed_rx, agents, "atc_code")
-        .join(facts, KEY, "left")
-        .withColumn("ab_first", F.col("ab_start_date") == F.col("min_ab_start"))
+def enrich_rx(attributed_rx: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attributed prescriptions with admission facts and the first-day flag."""
+    return attributed_rx.join(facts, KEY, "left").withColumn(
+        "ab_first", F.col("ab_start_date") == F.col("min_ab_start")
     )
 
 
@@ -67,14 +66,29 @@ def name_tests(tests: DataFrame, organisms: DataFrame) -> DataFrame:
     return with_dim(first_isolate(dated), organisms, "mo")
 
 
-def enrich_tests(
-    named_tests: DataFrame, enriched_adm: DataFrame, max_stay_days: int | None = None
-) -> DataFrame:
-    """Tests that fall in an admission, with the admission's columns.
+def enrich_tests(attributed_tests: DataFrame, enriched_adm: DataFrame) -> DataFrame:
+    """Attributed tests with their admission's columns, found by the admission key.
 
-    The ordering specialty gives way to the admission's.
+    A column of both, such as the ordering specialty, is the admission's.
     """
-    return attribute_points(named_tests, enriched_adm, max_stay_days=max_stay_days)
+    own = [c for c in attributed_tests.columns if c in KEY or c not in enriched_adm.columns]
+    return attributed_tests.select(*own).join(enriched_adm, KEY)
+
+
+def attribute_rx(
+    rx: DataFrame, adm: DataFrame, agents: DataFrame, max_stay_days: int | None = None
+) -> DataFrame:
+    """Prescriptions with the columns of their admission, measures and agent."""
+    joined = attribute_intervals(rx, adm, max_stay_days=max_stay_days)
+    return with_dim(with_rx_measures(joined), agents, "atc_code")
+
+
+def attribute_tests(
+    named_tests: DataFrame, adm: DataFrame, max_stay_days: int | None = None
+) -> DataFrame:
+    """Tests with the key and the dates of the admission they fall in."""
+    bounds = adm.select(*KEY, "adm_start_date", "adm_end_date")
+    return attribute_points(named_tests, bounds, max_stay_days=max_stay_days)
 
 
 @dataclass(frozen=True)
@@ -106,28 +120,68 @@ def enrich(
     """
     stay = longest_stay(adm) if max_stay_days is None else max_stay_days
     adm = derive_admissions(adm)
-    attributed_rx = with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay))
-    facts = admission_facts(attributed_rx, _tested(tests, adm, stay))
-    return _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay)
-
-
-def _tested(tests: DataFrame, adm: DataFrame, stay: int) -> DataFrame:
-    bounds = adm.select(*KEY, "adm_start_date", "adm_end_date")
-    return attribute_points(tests.select("id", "test_date", "material"), bounds, max_stay_days=stay)
+    bare = with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay))
+    tested = attribute_tests(tests.select("id", "test_date", "material"), adm, stay)
+    facts = admission_facts(bare, tested)
+    named = attribute_tests(name_tests(tests, organisms), adm, stay)
+    return _assemble(adm, with_dim(bare, agents, "atc_code"), named, facts)
 
 
-def _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay: int) -> Enriched:
+def _assemble(adm, attributed_rx, attributed_tests, facts) -> Enriched:
     enriched_adm = enrich_admissions(adm, facts)
     return Enriched(
         admissions=enriched_adm,
-        prescriptions=enrich_rx(attributed_rx, facts, agents),
-        tests=enrich_tests(name_tests(tests, organisms), enriched_adm, stay),
+        prescriptions=enrich_rx(attributed_rx, facts),
+        tests=enrich_tests(attributed_tests, enriched_adm),
     )
 
 
-def _write(df: DataFrame, path: str, mode: str) -> DataFrame:
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@dataclass(frozen=True)
+class Attributed:
+    """Admissions, attributed prescriptions and tests, and facts, in buckets of the admission.
+
+    Each attribution ran once. What joins or groups these tables by the admission key
+    reads them in place, without a shuffle.
+    """
+
+    admissions: DataFrame
+    prescriptions: DataFrame
+    tests: DataFrame
+    facts: DataFrame
+
+    def enriched(self) -> Enriched:
+        """The enriched tables as plans that start from the buckets."""
+        return _assemble(self.admissions, self.prescriptions, self.tests, self.facts)
+
+
+def save_attributed(
+    adm: DataFrame,
+    rx: DataFrame,
+    tests: DataFrame,
+    agents: DataFrame,
+    organisms: DataFrame,
+    path: str,
+    max_stay_days: int | None = None,
+    mode: str = "errorifexists",
+    buckets: int | None = None,
+) -> Attributed:
+    """Write the attributed tables under ``path``, bucketed by the admission key.
+
+    ``buckets`` is the number of files of each table; None takes the session's shuffle
+    partitions. The sources are parsed and the attribution joins run once, and lost
+    executors do not set the later steps back. A patient's admissions are spread over
+    the buckets; one admission's rows are together.
+    """
+    number = buckets or default_buckets(adm.sparkSession)
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        return write_bucketed(table, f"{path}/{name}", KEY, number, mode)
+
+    adm = keep(derive_admissions(adm), "admissions")
+    stay = longest_stay(adm) if max_stay_days is None else max_stay_days
+    rx = keep(attribute_rx(rx, adm, agents, stay), "prescriptions")
+    tests = keep(attribute_tests(name_tests(tests, organisms), adm, stay), "tests")
+    return Attributed(adm, rx, tests, keep(admission_facts(rx, tests), "facts"))
 
 
 def save_enriched(
@@ -139,26 +193,18 @@ def save_enriched(
     path: str,
     max_stay_days: int | None = None,
     mode: str = "errorifexists",
+    buckets: int | None = None,
 ) -> Enriched:
     """Write the enriched tables under ``path`` as Parquet by admission year and load them.
 
-    What several steps need is written first, under ``stage``: the sources are
-    parsed once and each attribution join runs once, and lost executors do not
-    set the later steps back. Rows are rebalanced by year before they are
-    written: few files of even size, and a year with most of the rows is split.
+    What several steps need is written first, under ``stage`` (see ``save_attributed``).
+    Rows are rebalanced by year before they are written: few files of even size, and a
+    year with most of the rows is split.
     """
-    adm = _write(derive_admissions(adm), f"{path}/stage/admissions", mode)
-    tests = _write(tests, f"{path}/stage/tests", mode)
-    stay = longest_stay(adm) if max_stay_days is None else max_stay_days
-    attributed_rx = _write(
-        with_rx_measures(attribute_intervals(rx, adm, max_stay_days=stay)),
-        f"{path}/stage/prescriptions",
-        mode,
-    )
-    facts = _write(
-        admission_facts(attributed_rx, _tested(tests, adm, stay)), f"{path}/stage/facts", mode
+    stage = save_attributed(
+        adm, rx, tests, agents, organisms, f"{path}/stage", max_stay_days, mode, buckets
     )
-    tables = _assemble(adm, attributed_rx, facts, tests, agents, organisms, stay)
+    tables = stage.enriched()
     saved = []
     for name in TABLES:
         table: DataFrame = getattr(tables, name)
