@@ -13,8 +13,9 @@ from wardlens.operators import intervals
 from wardlens.operators.intervals import attribute_intervals, attribute_points, rx_in_admissions
 from wardlens.operators.isolates import first_isolate
 from wardlens.plans.cohort import CohortSpec, build_cohort, min_size
-from wardlens.plans.enrich import enrich
-from wardlens.session import configure
+from wardlens.plans import enrich as enrich_module
+from wardlens.plans.enrich import enrich, save_attributed
+from wardlens.session import configure, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 # Joins without an equality and rows handed to Python do not scale.
@@ -91,10 +92,39 @@ def test_the_cohort_does_not_move_to_find_large_groups(spark, tiny_thresholds):
     assert "_piece" in plan(joined) and rows(few) == rows(joined)
 
 
-@pytest.mark.parametrize("name", ["ab_first", "ddd_total", "join_course", "join_adm_on_rx", "join_adm_on_tests"])
+ATTRIBUTED = ["ab_first", "ddd_total", "join_course", "join_adm_on_rx", "join_adm_on_tests", "join_timing"]
+
+
+@pytest.mark.parametrize("name", ATTRIBUTED)
 def test_attribution_runs_once(spark, tiny_thresholds, name):
     text = plan(run(name, spark, SF_DIR))
     assert "lineitem.parquet" not in text  # prescriptions come attributed
+    assert "events.parquet" not in text  # and so do tests
+    assert "Exchange" not in text  # rows and facts meet in their buckets
+
+
+def test_one_attribution_of_tests(spark, monkeypatch, tmp_path):
+    """Facts and enriched tests come from one join of tests and admissions."""
+    joined = []
+    whole = enrich_module.attribute_points
+    monkeypatch.setattr(enrich_module, "attribute_points", lambda *a, **k: joined.append(a) or whole(*a, **k))
+    t = tables(spark, SF_DIR)
+    saved = save_attributed(t.admissions, t.prescriptions, t.tests, t.agents, t.organisms, str(tmp_path / "a"), 30)
+    assert saved.enriched().tests.count() and len(joined) == 1
+
+
+def test_whole_tests_move_once_to_their_first_days(spark, tiny_thresholds):
+    path = scratch_path(spark, "plain-tests")
+    tables(spark, SF_DIR).tests.write.parquet(path)
+    found = first_isolate(spark.read.parquet(path))
+    assert found.count() == spark.read.parquet(path).count()
+    text = plan(found)
+    assert "LeftSemi" not in text and "LeftAnti" not in text
+    found.collect()
+    final = plan(found).split("Initial Plan")[0]
+    shuffled = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    # Days and rows by group, then what shares a first day: firsts and counted copies.
+    assert len(shuffled) <= 4, "\n".join(shuffled)
 
 
 def test_views_of_a_saved_cohort_read_it_only(spark):

@@ -32,7 +32,7 @@ def _episode_starts(days: Column, episode_days: int) -> Column:
     )
 
 
-def first_isolate_days(
+def episode_starts(
     tests: DataFrame,
     by_material: bool = False,
     episode_days: int = EPISODE_DAYS,
@@ -40,19 +40,15 @@ def first_isolate_days(
     organism: str = "mo",
     day: str = "test_date",
 ) -> DataFrame:
-    """The days on which an episode of a patient and organism begins.
+    """Per patient and organism the sorted days on which an episode begins, as ``_starts``.
 
-    Only days travel: isolates are first reduced to the distinct ones, at most one for
-    each calendar day of a patient and organism.
+    Only days travel, each once from a task: a patient and organism has at most as many
+    as the calendar.
     """
     group = [patient, organism] + (["material"] if by_material else [])
-    per_day = tests.select(*group, F.col(day).cast("date").alias("_date")).dropna().distinct()
-    days = F.sort_array(F.collect_list("_date"))
-    return (
-        per_day.groupBy(*group)
-        .agg(days.alias("_days"))
-        .select(*group, F.explode(_episode_starts(F.col("_days"), episode_days)).alias(day))
-    )
+    dated = tests.select(*group, F.col(day).cast("date").alias("_date")).dropna()
+    days = dated.groupBy(*group).agg(F.sort_array(F.collect_set("_date")).alias("_days"))
+    return days.select(*group, _episode_starts(F.col("_days"), episode_days).alias("_starts"))
 
 
 def first_isolate(
@@ -78,9 +74,13 @@ def first_isolate(
         known = known & F.col(c).isNotNull()
     others = [c for c in columns if c not in (*group, day)]
     order = sorted(others, key=lambda c: c != "test_number")
-    days = first_isolate_days(tests, by_material, episode_days, patient, organism, day)
-    candidates = tests.filter(known)
-    hits = candidates.join(days, [*group, day], "left_semi").select(*columns)
+    starts = episode_starts(tests, by_material, episode_days, patient, organism, day)
+    marked = (
+        tests.filter(known)
+        .join(starts, group)
+        .select(*columns, F.array_contains("_starts", F.col(day)).alias("_hit"))
+    )
+    hits = marked.filter("_hit").select(*columns)
     firsts = hits.groupBy(*group, day).agg(F.min(F.struct(*order)).alias("_row"))
     size = F.lit(COPIES_PER_PIECE)
     last_piece = F.floor((F.col("_copies") - 1) / size)
@@ -106,7 +106,7 @@ def first_isolate(
         .select(*columns, (F.col("_first") & (F.col("_copy") == 1)).alias("first_isolate"))
     )
     never = F.lit(False).alias("first_isolate")
-    later = candidates.join(days, [*group, day], "left_anti").select(*columns, never)
+    later = marked.filter("not _hit").select(*columns, never)
     rest = tests.filter(~known).select(*columns, never)
     return flagged.unionByName(later).unionByName(rest)
 
