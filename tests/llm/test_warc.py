@@ -40,6 +40,19 @@ def test_round_trip(spark, least):
     assert spark.read.parquet(manifest).count() > 3
 
 
+def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
+    """Ranges of a few bytes a row are not merged into one task."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    rows = [(k, "u", hashlib.sha512(str(k).encode()).hexdigest() * 8, "x", "y") for k in range(900)]
+    manifest = warc.write(spark.createDataFrame(rows, PAGES).repartition(2), "page_id", "url", "html", scratch_path(spark, "warc"))
+    size = sum(row["bytes"] for row in spark.read.parquet(manifest).collect())
+    found = warc.read(spark, manifest)
+    held = [len(part) for part in found.select("page_id").rdd.glom().collect()]
+    assert len(held) == size // 20_000 + 1 > 5 and sum(map(bool, held)) > 3
+    assert sum(held) == 900
+
+
 def test_no_pages(spark):
     manifest = warc.write(spark.createDataFrame([], PAGES), "page_id", "url", "html", scratch_path(spark, "warc"))
     assert warc.read(spark, manifest).collect() == []

@@ -41,6 +41,8 @@ from pyspark.sql.types import BinaryType
 from wardlens.llm.files import create, fresh, opened
 
 RANGE_BYTES = 4 << 20
+#: Bytes of archives for each task that reads them.
+TASK_BYTES = 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:x-page:"
@@ -246,6 +248,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, manifest: str) -> DataFrame:
     """``RECORDS`` of all archives of a manifest."""
-    listed = spark.read.parquet(manifest).select("path")
-    ranges = listed.repartition("path").mapInArrow(_locate, "path string, begin long, size long")
-    return ranges.repartition("path", "begin").mapInArrow(_records, RECORDS)
+    listed = spark.read.parquet(manifest)
+    archives, size = listed.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # The rows are a few bytes each, what they stand for isn't: the numbers of tasks follow the archives.
+    ranges = listed.select("path").repartition(max(archives, 1), "path").mapInArrow(_locate, "path string, begin long, size long")
+    return ranges.repartition(size // TASK_BYTES + 1, "path", "begin").mapInArrow(_records, RECORDS)
