@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
@@ -80,6 +81,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wardlens-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

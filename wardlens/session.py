@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,17 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder in local mode and None on a cluster,
-    whose machines could not all reach one.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    local = context.master == "local" or context.master.startswith("local[")
-    if not folder and local:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wardlens-"))
-        folder = context.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``, or None."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/") if folder else None
 
 
