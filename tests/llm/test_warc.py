@@ -42,10 +42,9 @@ def test_round_trip(spark, least):
 
 def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
     """Ranges of a few bytes a row are not merged into one task."""
-    monkeypatch.setattr(warc, "RANGE_BYTES", 4000)
     monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
-    rows = [(k, "u", hashlib.sha512(str(k).encode()).hexdigest() * 8, "x", "y") for k in range(900)]
-    manifest = warc.write(spark.createDataFrame(rows, PAGES).repartition(2), "page_id", "url", "html", scratch_path(spark, "warc"))
+    rows = [(k, "u", "".join(hashlib.sha512(f"{k} {n}".encode()).hexdigest() for n in range(4)), "x", "y") for k in range(900)]
+    manifest = warc.write(spark.createDataFrame(rows, PAGES).repartition(2), "page_id", "url", "html", scratch_path(spark, "warc"), roll_bytes=8000)
     size = sum(row["bytes"] for row in spark.read.parquet(manifest).collect())
     found = warc.read(spark, manifest)
     held = [len(part) for part in found.select("page_id").rdd.glom().collect()]
