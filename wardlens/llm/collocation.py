@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,19 +141,42 @@ def _kept(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _numbered(words: DataFrame, path: str) -> DataFrame:
-    """The rows with ``id``: 1, 2 and so on, by written part; a number for each part goes through the driver."""
-    place = F.monotonically_increasing_id()
-    own = _kept(words.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("row")), path)
-    sizes = {row["part"]: row["size"] for row in own.groupBy("part").agg(F.count("*").alias("size")).collect()}
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows with ``count`` summed over all that are equal in some columns."""
+    return rows.withColumn("count", F.sum("count").over(Window.partitionBy(*by)))
+
+
+def _numbered(rows: DataFrame, path: str) -> DataFrame:
+    """Rows sorted by word within partitions that hold all rows of a word, with ``id`` (1, 2, ...) and its ``first`` row.
+
+    Each written part numbers its own words; a number for each part goes through the driver.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, base = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(name).dictionary_encode() for name in ("lang", "word")]
+            code = np.stack([column.indices.to_numpy() for column in key])
+            first = np.ones(batch.num_rows, bool)
+            first[1:] = (code[:, 1:] != code[:, :-1]).any(axis=0)
+            first[0] = last != (batch.column("lang")[0].as_py(), batch.column("word")[0].as_py())
+            place = base + np.cumsum(first)
+            base, last = int(place[-1]), (batch.column("lang")[-1].as_py(), batch.column("word")[-1].as_py())
+            added = [pa.array(np.full(len(place), part)), pa.array(place), pa.array(first)]
+            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "part", "place", "first"])
+
+    kept = _kept(rows.mapInArrow(own, f"{VOCABULARY}, part bigint, place bigint, first boolean"), path)
+    sizes = {row["part"]: row["size"] for row in kept.groupBy("part").agg((F.max("place") + 1).alias("size")).collect()}
     if sum(sizes.values()) >= 1 << 31:
         raise ValueError("more frequent words than numbers of 31 bits")
-    ahead, base = 1, []
+    ahead, begins = 1, []
     for part in sorted(sizes):
-        base.append((part, ahead))
+        begins.append((part, ahead))
         ahead += sizes[part]
-    begins = own.sparkSession.createDataFrame(base, "part bigint, ahead bigint")
-    return own.join(begins, "part").select((F.col("ahead") + F.col("row")).alias("id"), *words.columns)
+    begin = kept.sparkSession.createDataFrame(begins, "part bigint, ahead bigint")
+    return kept.join(begin, "part").withColumn("id", F.col("ahead") + F.col("place"))
 
 
 def _packed(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,17 +239,19 @@ def counts(docs: DataFrame, text: str, lang: str, least: int, shard_words: int =
         return pa.table(columns | {"count": np.concatenate([three.count, four.count])})
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # One shuffle each counts words and pairs and tells the rows of their shards: a word or
+    # pair has a row for each shard that holds it, and is counted over these.
     vocabulary = _kept(rows.mapInArrow(cut, VOCABULARY), f"{folder}/vocabulary")
     often = F.col("count") >= least
-    words = vocabulary.groupBy("lang", "word").agg(F.sum("count").alias("count")).where(often)
-    words = _numbered(words, f"{folder}/words")
-    local = vocabulary.drop("count").join(words, ["lang", "word"]).select("shard", "local", "id")
+    frequent = _summed(vocabulary, "lang", "word").where(often).sortWithinPartitions("lang", "word")
+    numbered = _numbered(frequent, f"{folder}/held")
+    words, local = numbered.where("first").select("id", "lang", "word", "count"), numbered.select("shard", "local", "id")
     # As many tasks as shards: what is shuffled is small, what is read from the files isn't.
     tasks = max(1, vocabulary.select("shard").distinct().count())
     pairs = _kept(local.repartition(tasks, "shard").groupBy("shard").applyInArrow(indexed, PAIRS), f"{folder}/pairs")
-    two = _kept(pairs.groupBy("pair").agg(F.sum("count").alias("count")).where(often), f"{folder}/two")
-    back = pairs.select("index", "pair").join(two.select("pair"), "pair", "left_semi")
-    longer = back.repartition(tasks, "index").groupBy("index").applyInArrow(grown, LONGER)
+    back = _kept(_summed(pairs, "pair").where(often), f"{folder}/back")
+    two = back.groupBy("pair").agg(F.max("count").alias("count"))
+    longer = back.select("index", "pair").repartition(tasks, "index").groupBy("index").applyInArrow(grown, LONGER)
     longer = longer.groupBy("one", "two").agg(F.sum("count").alias("count")).where(often)
     none = F.lit(0).cast("bigint").alias("two")
     phrases = two.select(F.col("pair").alias("one"), none, "count").union(longer)
@@ -260,34 +286,44 @@ def scored(found: Counts) -> DataFrame:
     does, so does one that is a word longer, as counts don't rise with the length.
     """
     phrases, w = found.phrases, _ids()
-    several = phrases.where(w[1] > 0)
+    several = phrases.where(w[1] > 0).withColumnRenamed("count", "a")
+    inner = {m: F.array(_key(*w[: m - 1]), _key(*w[1:m])) for m in (2, 3, 4)}
+    longer = several.where(w[2] > 0).select(F.col("a").alias("more"), F.explode(_by_length(inner)).alias("inner"))
+    longer = longer.groupBy("inner.one", "inner.two").agg(F.max("more").alias("more"))
+    held = F.expr("cast(more as decimal(20,0)) * 100 >= cast(a as decimal(20,0)) * 80")
+    kept = several.join(longer, ["one", "two"], "left").where(~F.coalesce(held, F.lit(False)))
     cuts = {m: F.array(*(F.struct(F.lit(k).alias("k"), _key(*w[:k]).alias("left"), _key(*w[k:m]).alias("right")) for k in range(1, m))) for m in (2, 3, 4)}
-    parted = several.select("one", "two", F.col("count").alias("a"), F.inline(_by_length(cuts)))
+    parted = kept.select("one", "two", "a", F.inline(_by_length(cuts)))
     size = lambda name: phrases.select(F.struct("one", "two").alias(name), F.col("count").alias(name[0]))
-    parted = parted.join(size("left"), "left").join(size("right"), "right")
+    parted = parted.join(size("left"), "left").drop("left").join(size("right"), "right").drop("right")
     parted = parted.withColumn("score", F.expr("cast(a as decimal(20,0)) * 2000000 div (l + r)"))
     lowest = parted.groupBy("one", "two", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    inner = {m: F.array(_key(*w[: m - 1]), _key(*w[1:m])) for m in (2, 3, 4)}
-    longer = several.where(w[2] > 0).select(F.col("count").alias("more"), F.explode(_by_length(inner)).alias("inner"))
-    longer = longer.groupBy("inner.one", "inner.two").agg(F.max("more").alias("more"))
-    held = F.expr("cast(more as decimal(20,0)) * 100 >= cast(a as decimal(20,0)) * 80")
-    kept = lowest.join(longer, ["one", "two"], "left").where(~F.coalesce(held, F.lit(False)))
-    return kept.select("one", "two", "a", "cut.*")
+    return lowest.select("one", "two", "a", "cut.*")
+
+
+def _first(rows: DataFrame, most: int, place: Column, strata: Column, *order: Column) -> DataFrame:
+    """The rows of each language whose ``place`` in an order is at most ``most``, as ``rank``.
+
+    First within strata, so that no task sorts more than its share or that many rows of each.
+    """
+    rows = rows.withColumn("stratum", F.pmod(strata, F.lit(STRATA)))
+    for by in (["lang", "stratum"], ["lang"]):
+        rank = place.over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
+    return rows.drop("stratum")
 
 
 def collocations(docs: DataFrame, text: str, lang: str, least: int = 30, most: int = 2000, shard_words: int = SHARD) -> DataFrame:
     """The first ``most`` phrases of each language by score, count and phrase, with the counts behind the score."""
     found = counts(docs, text, lang, least, shard_words)
-    named = scored(found).select("*", *(F.coalesce(word, F.lit(0)).alias(f"w{k}") for k, word in enumerate(_ids())))
-    for k in range(4):
-        own = [F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}"), *([F.col("lang")] if not k else [])]
-        named = named.join(found.words.select(*own), f"w{k}", "inner" if k < 2 else "left")
-    phrase = F.concat_ws(" ", *(f"word{k}" for k in range(4)))
-    rows = named.select("lang", phrase.alias("phrase"), "a", "l", "r", "score")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # First within strata, so that no task sorts more than its share or strata x most rows.
-    rows = rows.withColumn("stratum", F.pmod(F.xxhash64("phrase"), F.lit(STRATA)))
-    for by in (["lang", "stratum"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        rows = rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
+    rows = scored(found).select("*", *(F.coalesce(word, F.lit(0)).alias(f"w{k}") for k, word in enumerate(_ids())))
+    word = lambda k: [F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}")]
+    rows = rows.join(found.words.select("lang", *word(0)), "w0")
+    # Ties of the last place stay until they have their words, which only these rows need.
+    by_score = [F.desc("score"), F.desc("a")]
+    rows = _first(rows, most, F.rank(), F.xxhash64("one", "two"), *by_score).drop("rank")
+    for k in (1, 2, 3):
+        rows = rows.join(found.words.select(*word(k)), f"w{k}", "left")
+    rows = rows.withColumn("phrase", F.concat_ws(" ", *(f"word{k}" for k in range(4))))
+    rows = _first(rows, most, F.row_number(), F.xxhash64("phrase"), *by_score, F.asc("phrase"))
     return rows.join(found.totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

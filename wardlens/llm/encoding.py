@@ -173,10 +173,12 @@ def spread(tokens: list[tuple[int, ...]], place: np.ndarray) -> tuple[np.ndarray
     return flat[np.repeat(start[place] - ahead, own) + np.arange(int(own.sum()))], own
 
 
-def digests(text: Column, path: str) -> Column:
+def digests(text: Column, path: str, keep: bool = True) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256>: encode a text, decode the tokens, and hash both.
 
     The first hash is over the decimal ids joined by commas, the second over the decoded text.
+    Without ``keep`` a task drops vocabulary and words in the end, for stages that share
+    their task processes with others; the next task loads them anew.
     """
 
     @arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
@@ -196,5 +198,8 @@ def digests(text: Column, path: str) -> Column:
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
             columns = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            _ENCODERS.pop(path, None)
+            byte_level.cache_clear()
 
     return hashed(text)
