@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document, and the digests of its tokens and of their decoded text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return docs.select("doc_id", encoding.digests(F.col("text"), path).alias("own")).select("doc_id", "own.*")
+    return docs.select("doc_id", encoding.digests(F.col("text"), path, keep=False).alias("own")).select("doc_id", "own.*")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
