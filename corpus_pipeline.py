@@ -18,20 +18,30 @@ from wardlens.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: not ``und``, and made of what its labelled rows hold."""
+    """Keep documents whose language is known: not ``und``, and made of what its labelled rows hold.
+
+    Null and empty texts and those without a letter are ``und`` and go. Equal texts fare alike.
+    """
     found = langid.predict(language_model(docs), F.col("text"), language_vocabulary(docs))
     kept = docs.withColumn("__language", found).where((F.col("__language.lang") != langid.UNKNOWN) & F.col("__language.known"))
     return kept.drop("__language")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose quality score reaches the cut."""
+    """Keep documents whose quality score reaches the cut.
+
+    Null counts as empty, and the empty text has a score like any other. Equal texts fare alike.
+    """
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score(model, F.col("text")) >= QUALITY_CUT)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates the document with the smallest id, one text of it, once."""
+    """Keep of each group of near duplicates the document with the smallest id, one text of it, once.
+
+    Texts without words are in no group and stay, repeated rows of one id and text once. Of
+    rows that differ in other columns only, any one stays.
+    """
     found = jaccard.grouped(docs, "doc_id", "text")
     chosen = found.where("first").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
     same = docs["doc_id"].eqNullSafe(chosen["__key"]) & (F.xxhash64(docs["text"]) == chosen["__mark"])
@@ -39,13 +49,19 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item.
+
+    Null and empty texts hold none and stay; without benchmark rows all stay. Equal texts fare alike.
+    """
     items = tiling.blocks(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return docs.where(tiling.contamination(items, F.col("text"))["n_items"] == 0)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document, and the digests of its tokens and of their decoded text."""
+    """The tokens of each document, and the digests of its tokens and of their decoded text.
+
+    Null and empty texts have no token and the digests of the empty text. A row for each row.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     return docs.select("doc_id", encoding.digests(F.col("text"), path, keep=False).alias("own")).select("doc_id", "own.*")
 
