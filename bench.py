@@ -3,7 +3,8 @@
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the threads
 (default 8), ``BENCH_QUERIES`` a comma list of queries, or ``all``. ``enrich_and_save``
 is the time to attribute, enrich and save all tables, ``cohort_and_save`` to select the
-initial cohort and save its grains, ``attribute_and_keep`` to attribute the prescriptions;
+initial cohort and save its grains, ``attribute_and_keep`` to write the
+attributed tables and facts in buckets of the admission (a part of the first, done again);
 the queries start from what these wrote, or from the given tables. ``first_run`` holds the
 times of the warm-up.
 """
