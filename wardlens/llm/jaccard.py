@@ -4,9 +4,10 @@ A document's set holds its distinct 5-word shingles (64-bit hashes). Equal sets
 class; all that follows is between classes. Two sets link when 100 * intersection is at
 least 80 * union, that is when the intersection is at least 80 / 180 of the sizes' sum.
 
-*Points.* The shingles of a set are hashed into groups, about one for eight shingles,
-and the group counts are a point. The sum of the coordinate minima of two points bounds
-their intersection from above.
+*Points.* The shingles of a set are hashed into groups, about one for each shingle. The
+point is the group counts, each up to 3, with all that is above 3 as one more coordinate.
+The sum of the coordinate minima of two points bounds their intersection from above, also
+after groups are added up to fewer.
 
 *Blocks.* Linked sets share one of the first ``n / 5 + 1`` shingles of either in any one
 order, so each class is sent to the blocks of these. The order puts shingles that are
@@ -15,13 +16,18 @@ blocks and not the result. Near copies are joined before, each to the smallest c
 with an equal minimum hash, so that blocks only look for links between components.
 
 *Trees.* A block of at most ``LEAF`` points is one leaf, whose pairs are bounded at
-once. In a larger one an R-tree is packed over the points, in order of size, and joined
-with itself from the root: two nodes are followed only while the summed minima of their
-largest corners reach the smallest overlap that a pair below could need. Blocks are
-split into tiles of ``TILE`` points whose pairs are joined in separate tasks.
-
-*Check.* Surviving pairs are grouped by one side, in groups of bounded size, meet the
-texts of both, and are counted exactly. Components come from the links (``components``).
+once. In a larger one an R-tree is packed over the points, with about one group for eight
+shingles, in order of size, and joined with itself from the root: two nodes are followed
+only while the summed minima of their largest corners reach the smallest overlap that a
+pair below could need. Pairs of the leaves are bounded again with all groups. Blocks are
+split into tiles of ``TILE`` points (fewer of long texts) whose pairs are joined in
+separate tasks.
+
+*Check.* Points of a pair of tiles that have a surviving pair meet their texts once for
+that pair of tiles. One task searches them again and counts exactly, the closest pairs
+first, and passes over what its links have joined already. Surviving pairs of leaves are
+grouped by one side, in groups of bounded size, meet the texts of both, and are counted
+exactly. Components come from the links (``components``).
 
 Null and empty text and text without words: size 0, linked with nothing, its own
 component. With fewer than five words the whole sequence is the one shingle. Copies and
@@ -37,7 +43,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +56,8 @@ from wardlens.session import scratch_path
 WORDS = 5
 LEAF, FAN = 16, 8
 TILE = 1024
+#: Shingles for which a point counts as one in the size of a tile, and rows of a task of tile pairs.
+LONG, ROWS_PER_TASK = 512, 20_000
 #: Rows of the sample from which frequent shingles are taken, how often makes one, and how many at most.
 SAMPLE, FREQUENT, MOST = 4000, 4, 200_000
 NEAR_KEYS = 4
@@ -93,17 +100,32 @@ def signature(own: np.ndarray) -> np.uint64:
 
 def dimensions(size: int) -> int:
     """Groups for a set of this size: a power of two."""
-    return 16 if size < 256 else 1 << ((size // 8).bit_length() - 1)
+    return max(16, 1 << (size - 1).bit_length())
 
 
 def point(own: np.ndarray) -> np.ndarray:
+    """Counts of the groups, each up to 3, and what is above."""
     groups = dimensions(len(own))
-    return np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    counts = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    low = np.minimum(counts, 3)
+    return np.append(low, len(own) - low.sum()).astype(np.int32)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """A point as bytes, four counts in one."""
+    low = values[:-1].reshape(-1, 4) << np.array([0, 2, 4, 6])
+    return low.sum(axis=1).astype(np.uint8).tobytes() + int(values[-1]).to_bytes(4, "little")
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    low = np.frombuffer(raw, np.uint8, len(raw) - 4)[:, None] >> np.array([0, 2, 4, 6], np.uint8)
+    return np.append((low & 3).ravel(), int.from_bytes(raw[-4:], "little")).astype(np.int32)
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
     """Points of more groups as points of fewer."""
-    return points.reshape(len(points), -1, groups).sum(axis=1)
+    low = points[:, :-1].reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
+    return np.concatenate([low, points[:, -1:]], axis=1)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -127,7 +149,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("mark").slice(low, high - low),
                     pa.array(size),
                     pa.array(sign, mask=size == 0),
-                    pa.array([point(own).tobytes() if len(own) else None for own in sets], pa.binary()),
+                    pa.array([packed(point(own)) if len(own) else None for own in sets], pa.binary()),
                     pa.array(near, pa.list_(pa.int64())),
                 ],
                 ["key", "mark", "n", "sig", "point", "near"],
@@ -291,37 +313,125 @@ class Tree:
         return pairs
 
 
-def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Pairs of points of different components that may be linked, over all numbers of groups.
+def _between(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, one: np.ndarray, two: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``one`` and ``two`` that pass the trees and the bound of all groups, and how far above the need each is."""
+    fine = [folded(np.stack([points[k] for k in at]), groups) for at in ((one,) if one is two else (one, two))]
+    trees = [Tree(folded(own, max(16, groups // 16)), sizes[at], component[at]) for own, at in zip(fine, (one, two), strict=False)]
+    found = trees[0].join(trees[-1])
+    kept, spare, step = [found[:0]], [np.zeros(0)], max(64, (1 << 20) // groups)
+    for begin in range(0, len(found), step):
+        i, j = found[begin : begin + step].T
+        need = needed(sizes[one[i]], sizes[two[j]])
+        over = np.minimum(fine[0][i], fine[-1][j]).sum(axis=1, dtype=np.int64) / need
+        kept.append(found[begin : begin + step][over >= 1])
+        spare.append(over[over >= 1])
+    found = np.concatenate(kept)
+    return np.stack([one[found[:, 0]], two[found[:, 1]]], axis=1), np.concatenate(spare)
+
 
-    Linked sizes differ by a quarter at most, so their points by one halving at most.
+def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of points of different components that may be linked, the closest first.
+
+    With ``side`` (0 or 1 for each point) only pairs of both sides. Linked sizes differ by
+    a quarter at most, so their points by one halving at most.
     """
-    groups = np.array([len(own) for own in points])
-    out = [np.zeros((0, 2), np.int64)]
-    trees: dict[int, tuple[np.ndarray, Tree]] = {}
-    for count in np.unique(groups).tolist():
-        at = np.flatnonzero(groups == count)
-        trees[count] = at, Tree(np.stack([points[k] for k in at]).astype(np.int32), sizes[at], component[at])
-    for count, (at, tree) in trees.items():
-        out.append(at[tree.join(tree)])
-        above = [many for many in trees if many > count and 4 * sizes[trees[many][0]].min() <= 5 * sizes[at].max()]
-        for many in above:
-            there = trees[many][0]
-            coarse = Tree(folded(np.stack([points[k] for k in there]), count).astype(np.int32), sizes[there], component[there])
-            found = tree.join(coarse)
-            out.append(np.stack([at[found[:, 0]], there[found[:, 1]]], axis=1))
-    return np.concatenate(out)
-
-
-def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile pair of a block; those of tile pairs on the diagonal come from both tiles alike."""
-    points = [np.frombuffer(own, np.uint16) for own in rows["point"]]
-    found = tree_pairs(points, rows["n"].to_numpy(np.int64), rows["component"].to_numpy())
-    sign, tile = rows["sig"].to_numpy(), rows["tile"].to_numpy()
-    one, two = found[:, 0], found[:, 1]
-    keep = (tile[one] != tile[two]) | (rows["t1"].iloc[0] == rows["t2"].iloc[0])
-    one, two = one[keep], two[keep]
-    return pd.DataFrame({"a": np.minimum(sign[one], sign[two]), "b": np.maximum(sign[one], sign[two])})
+    groups = np.array([len(own) - 1 for own in points], np.int64)
+    side = np.zeros(len(points), int) if side is None else side
+    sets = {(which, many): np.flatnonzero((side == which) & (groups == many)) for which, many in set(zip(side.tolist(), groups.tolist(), strict=True))}
+    crossed = len({which for which, _ in sets}) > 1
+    out, spare = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    for (which, many), one in sets.items():
+        for (other, more), two in sets.items():
+            if more < many or (which == other) == crossed or (crossed and more == many and which > other):
+                continue
+            if 4 * sizes[two].min() <= 5 * sizes[one].max():
+                pairs, over = _between(points, sizes, component, one, two, many)
+                out.append(pairs)
+                spare.append(over)
+    return np.concatenate(out)[np.argsort(-np.concatenate(spare), kind="stable")]
+
+
+TASK = ("key", "t1", "t2")
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each pair of tiles, from rows in this order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in TASK], axis=1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(ids[a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of(rows: pa.Table, points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The surviving pairs of a pair of tiles; of two tiles those between them."""
+    tile = rows.column("tile").to_numpy()
+    side = None if rows.column("t1")[0] == rows.column("t2")[0] else (tile == rows.column("t2")[0].as_py()).astype(int)
+    if side is not None and side.min() == side.max():
+        return np.zeros((0, 2), np.int64)
+    return tree_pairs(points, sizes, rows.column("component").to_numpy(), side)
+
+
+MEMBER = "key long, t1 int, t2 int, tile int, sig long, component long"
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of each pair of tiles that have a surviving pair there."""
+    names = [part.split()[0] for part in MEMBER.split(", ")]
+    waiting: list[pa.Table] = []
+    held = 0
+    for rows in _tasks(batches):
+        points = [unpacked(raw) for raw in rows.column("point").to_pylist()]
+        found = np.unique(_pairs_of(rows, points, rows.column("n").to_numpy()))
+        if len(found):
+            waiting.append(rows.select(names).take(pa.array(found)))
+            held += len(found)
+        if held > 10_000:
+            yield from pa.concat_tables(waiting).combine_chunks().to_batches()
+            waiting, held = [], 0
+    if waiting:
+        yield from pa.concat_tables(waiting).combine_chunks().to_batches()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points of each pair of tiles, with their texts, to links that join all that is linked there."""
+    for rows in _tasks(batches):
+        sets = [own for _, _, data, starts in parts(rows.column("text").combine_chunks()) for own in shingles(data, starts)]
+        found = _pairs_of(rows, [point(own) for own in sets], np.array([len(own) for own in sets], np.int64))
+        _, code = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+        code = code.tolist()
+        root = list(range(len(sets)))
+        links = []
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for a, b in found.tolist():
+            one, two = find(code[a]), find(code[b])
+            if one == two:
+                continue
+            own, values = sets[a], sets[b]
+            both = int((own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values).sum())
+            if 100 * both >= 80 * (len(own) + len(values) - both):
+                root[one] = two
+                links.append((a, b))
+        if links:
+            sign, at = rows.column("sig").to_numpy(), np.array(links)
+            yield pa.record_batch([pa.array(sign[at[:, 0]]), pa.array(sign[at[:, 1]])], ["a", "b"])
 
 
 @arrow_udf(BooleanType())
@@ -331,8 +441,8 @@ def may_link(one: pa.Array, two: pa.Array, size_one: pa.Array, size_two: pa.Arra
     need = needed(n, m)
     out = np.zeros(len(n), bool)
     for k, (a, b) in enumerate(zip(one.to_pylist(), two.to_pylist(), strict=True)):
-        a, b = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-        groups = min(len(a), len(b))
+        a, b = unpacked(a), unpacked(b)
+        groups = min(len(a), len(b)) - 1
         if 5 * min(n[k], m[k]) >= 4 * max(n[k], m[k]):
             out[k] = np.minimum(folded(a[None], groups), folded(b[None], groups)).sum() >= need[k]
     return pa.array(out)
@@ -373,13 +483,10 @@ def _sieve(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked, counted exactly; written below ``folder``."""
+def _texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(sig, text) of the wanted classes; their keys are written below ``folder``."""
     spark = docs.sparkSession
-    pairs.write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(classes.select("sig", "key"), "sig")
-    wanted.write.parquet(f"{folder}/wanted")
+    wanted.select("sig").distinct().join(classes.select("sig", "key"), "sig").write.parquet(f"{folder}/wanted")
     wanted = spark.read.parquet(f"{folder}/wanted")
     sieve = _sieve(wanted)
 
@@ -391,7 +498,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str)
     place = F.pmod(F.xxhash64("key"), F.lit(SIEVE_BITS))
     likely = docs.where(maybe(place))
     texts = likely.join(wanted, likely["key"].eqNullSafe(wanted["key"])).select("sig", "text")
-    texts = texts.where(signed("text") == F.col("sig")).dropDuplicates(["sig"])  # a key may have several texts
+    return texts.where(signed("text") == F.col("sig")).dropDuplicates(["sig"])  # a key may have several texts
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are linked, counted exactly; written below ``folder``."""
+    spark = docs.sparkSession
+    pairs.write.parquet(f"{folder}/pairs")
+    pairs = spark.read.parquet(f"{folder}/pairs")
+    texts = _texts(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, classes, folder)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("split"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "split").alias("part"))
     hubs = dealt.select("a", F.col("a").alias("b"), "part").distinct()
@@ -401,6 +516,23 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, folder: str)
     return spark.read.parquet(f"{folder}/links")
 
 
+def _by_task(rows: DataFrame, count: int) -> DataFrame:
+    """The rows of a pair of tiles together; as many tasks as ``count`` rows ask for."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-count // ROWS_PER_TASK)), *TASK).sortWithinPartitions(*TASK)
+
+
+def _tiled(members: DataFrame, docs: DataFrame, classes: DataFrame, parts_of: DataFrame, tile: int, folder: str) -> DataFrame:
+    """Links (a, b) that join all that is linked within the blocks that are larger than a leaf."""
+    spark = docs.sparkSession
+    dealt = _by_task(_tiles(members, classes, parts_of, tile), members.count())
+    dealt.mapInArrow(_search, MEMBER).write.parquet(f"{folder}/met")
+    met = spark.read.parquet(f"{folder}/met")
+    texts = _texts(met, docs, classes, folder)
+    _by_task(met.join(texts, "sig"), met.count()).mapInArrow(_counted, "a long, b long").write.parquet(f"{folder}/links")
+    return spark.read.parquet(f"{folder}/links")
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose points leave a link possible."""
     one = classes.select(F.col("sig").alias("a"), F.col("point").alias("point_a"), F.col("n").alias("n_a"))
@@ -410,27 +542,28 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame, tile: int) -> DataFrame:
-    """Pairs of different components from the blocks that are larger than a leaf.
+    """The points of each pair of tiles, of the blocks that are larger than a leaf.
 
     The points of a block's largest component never meet each other: tiles of the others
     (numbered from 0) meet among themselves and with tiles of the largest (from -1 down).
     """
     known = members.select("key", F.col("a").alias("sig")).distinct().join(parts_of, "sig", "left")
     known = known.withColumn("component", F.coalesce("component", "sig"))
-    sizes = known.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(
-        F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all")
+    known = known.join(classes.select("sig", "n", "point"), "sig")
+    weight = F.sum(F.greatest(F.lit(1.0), F.col("n") / LONG))
+    sizes = known.groupBy("key", "component").agg(weight.alias("size")).groupBy("key").agg(
+        F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count("*").alias("components")
     )
-    pieces = [F.ceil(size / tile).cast("int") for size in (F.col("all") - F.col("most"), F.col("most"))]
-    mixed = sizes.where("most < all").select("key", "largest", pieces[0].alias("others"), pieces[1].alias("larges"))
+    pieces = [F.greatest(F.lit(1), F.ceil(size / tile).cast("int")) for size in (F.col("all") - F.col("most"), F.col("most"))]
+    mixed = sizes.where("components > 1").select("key", "largest", pieces[0].alias("others"), pieces[1].alias("larges"))
     rows = known.join(mixed, "key")
     large, draw = F.col("component") == F.col("largest"), F.xxhash64("sig")
     own = F.when(large, -1 - F.pmod(draw, "larges")).otherwise(F.pmod(draw, "others")).cast("int")
     among = F.sequence(F.lit(0), F.col("others") - 1)
     meets = F.when(large, among).otherwise(F.concat(among, F.sequence(-F.col("larges"), F.lit(-1))))
-    rows = rows.withColumn("tile", own).select("key", "sig", "component", "tile", F.explode(meets).alias("other"))
-    rows = rows.select("key", "sig", "component", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
-    rows = rows.join(classes.select("sig", "n", "point"), "sig")
-    return rows.groupBy("key", "t1", "t2").applyInPandas(_search, "a long, b long").distinct()
+    held = ("key", "sig", "component", "tile", "n", "point")
+    rows = rows.withColumn("tile", own).select(*held, F.explode(meets).alias("other"))
+    return rows.select(*held, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
 
 
 def _near_pairs(classes: DataFrame) -> DataFrame:
@@ -479,10 +612,10 @@ def grouped(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: i
         labels = parts_of.select(F.col("sig").alias(side), F.col("component").alias(f"{side}_part"))
         direct = direct.join(labels, side, "left").withColumn(f"{side}_part", F.coalesce(f"{side}_part", side))
     direct = _bounded(direct.where("a_part != b_part").select("a", "b"), classes)
-    searched = _tiles(routes.where("key is not null"), classes, parts_of, tile)
-    others = _linked(direct.union(searched).distinct(), docs, classes, f"{folder}/others")
+    others = _linked(direct, docs, classes, f"{folder}/others")
+    tiled = _tiled(routes.where("key is not null"), docs, classes, parts_of, tile, f"{folder}/tiled")
 
-    whole = components(copies.union(others)).withColumnRenamed("node", "sig")
+    whole = components(copies.union(others).union(tiled)).withColumnRenamed("node", "sig")
     names = classes.select("sig", "key", "mark").join(whole, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = names.groupBy("component").agg(F.min(row).alias("least"))
     named = names.join(least, "component").select("sig", F.col("least.key").alias("first_key"), F.col("least.mark").alias("first_mark"))
