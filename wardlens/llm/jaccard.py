@@ -29,6 +29,9 @@ first, and passes over what its links have joined already. Surviving pairs of le
 grouped by one side, in groups of bounded size, meet the texts of both, and are counted
 exactly. Components come from the links (``components``).
 
+*Order.* A class goes to the largest of its blocks first. What is linked there is one
+component when all blocks are searched, most of which then hold one component only.
+
 Null and empty text and text without words: size 0, linked with nothing, its own
 component. With fewer than five words the whole sequence is the one shingle. Copies and
 repeated rows are in one component. A null key gets the smallest key that is not null
@@ -566,6 +569,14 @@ def _tiles(members: DataFrame, classes: DataFrame, parts_of: DataFrame, tile: in
     return rows.select(*held, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
 
 
+def _largest(members: DataFrame) -> DataFrame:
+    """Each class in the largest of its blocks only."""
+    members = members.distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    chosen = members.join(sizes, "key").groupBy("a").agg(F.max(F.struct("size", "key")).alias("block"))
+    return chosen.select("block.key", "a")
+
+
 def _near_pairs(classes: DataFrame) -> DataFrame:
     """Each class with the smallest class that shares a minimum hash."""
     near = classes.select("sig", F.explode("near").alias("near"))
@@ -613,9 +624,14 @@ def grouped(documents: DataFrame, key: str, text: str, leaf: int = LEAF, tile: i
         direct = direct.join(labels, side, "left").withColumn(f"{side}_part", F.coalesce(f"{side}_part", side))
     direct = _bounded(direct.where("a_part != b_part").select("a", "b"), classes)
     others = _linked(direct, docs, classes, f"{folder}/others")
-    tiled = _tiled(routes.where("key is not null"), docs, classes, parts_of, tile, f"{folder}/tiled")
-
-    whole = components(copies.union(others).union(tiled)).withColumnRenamed("node", "sig")
+    members = routes.where("key is not null").select("key", "a")
+    first = _tiled(_largest(members), docs, classes, parts_of, tile, f"{folder}/first")
+    known = copies.union(others).union(first)
+    components(known).write.parquet(f"{folder}/known")
+    parts_of = spark.read.parquet(f"{folder}/known").withColumnRenamed("node", "sig")
+    rest = _tiled(members, docs, classes, parts_of, tile, f"{folder}/rest")
+
+    whole = components(known.union(rest)).withColumnRenamed("node", "sig")
     names = classes.select("sig", "key", "mark").join(whole, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = names.groupBy("component").agg(F.min(row).alias("least"))
     named = names.join(least, "component").select("sig", F.col("least.key").alias("first_key"), F.col("least.mark").alias("first_mark"))
