@@ -4,12 +4,14 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from checks.bindings import tables
 from checks.queries import QUERIES, run
 from tests.conftest import day, rows
 from wardlens.operators import intervals
+from wardlens.operators.dims import with_dim
 from wardlens.operators.intervals import attribute_intervals, attribute_points, rx_in_admissions
 from wardlens.operators.isolates import first_isolate
 from wardlens.plans.cohort import CohortSpec, build_cohort, min_size
@@ -84,12 +86,45 @@ def tiny_thresholds(spark):
 
 def test_the_cohort_does_not_move_to_find_large_groups(spark, tiny_thresholds):
     cohort = tables(spark, SF_DIR).saved.prescriptions
-    for n, groups in ((1, 10_000), (20, 10_000)):
-        text = plan(min_size(cohort, n, max_groups=groups))
-        assert "Exchange" not in text and "Join" not in text
-    few = min_size(cohort, 20)
-    joined = min_size(cohort, 20, max_groups=0)
-    assert "_piece" in plan(joined) and rows(few) == rows(joined)
+    sizes = sorted(n for (n,) in rows(cohort.select("sub_specialty", "id", "adm_id").distinct().groupBy("sub_specialty").count().select("count")))
+    middle = sizes[len(sizes) // 2]
+    few = min_size(cohort, middle)
+    text = plan(few)
+    assert "array_contains(Subquery" in text and "Join" not in text
+    assert "Exchange" not in text.split("Subquery subquery")[0]
+    joined = min_size(cohort, middle, max_groups=None)
+    assert "_piece" in plan(joined) and 0 < few.count() < cohort.count() and rows(few) == rows(joined)
+    with pytest.raises(SparkRuntimeException, match="max_groups=None"):
+        min_size(cohort, 1, max_groups=2).collect()
+
+
+def jobs_of(spark, build):
+    """What ``build`` returns, and the jobs that ran meanwhile."""
+    context = spark.sparkContext
+    context.setJobGroup("building", "building")
+    try:
+        return build(), len(context.statusTracker().getJobIdsForGroup("building"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_nothing_runs_while_plans_are_built(spark):
+    t = tables(spark, SF_DIR)
+    cohort, agents, tests = t.saved.prescriptions, t.agents, t.tests
+    t.prescriptions, t.organisms  # noqa: B018
+    for build in (
+        lambda: min_size(cohort, 20),
+        lambda: min_size(cohort, 20, max_groups=None),
+        lambda: with_dim(t.prescriptions, agents, "atc_code"),
+        lambda: with_dim(tests, t.organisms, "mo"),
+    ):
+        assert jobs_of(spark, build)[1] == 0
+
+
+def test_an_unused_dimension_is_not_read(spark):
+    t = tables(spark, SF_DIR)
+    joined = with_dim(t.tests, t.agents.withColumnRenamed("atc_code", "mo"), "mo")
+    assert "part.parquet" in plan(joined) and "part.parquet" not in plan(joined.groupBy("material").count())
 
 
 ATTRIBUTED = ["ab_first", "ddd_total", "join_course", "join_adm_on_rx", "join_adm_on_tests", "join_timing"]

@@ -12,17 +12,20 @@ from wardlens.schema import as_list
 
 
 def checked_dim(dim: DataFrame, on: str | Sequence[str], null_safe: bool = False) -> DataFrame:
-    """The dimension without rows that match nothing; raises on repeated keys.
+    """The dimension, a row for each key, without rows that match nothing.
 
-    A repeated key would multiply the rows it joins. Rows with a null key only
-    count where nulls match.
+    A repeated key would multiply the rows it joins. It is one row here, and reading any
+    other column of it raises when the plan runs; nothing runs before. Grouping uses the
+    exchange that a join by the key needs anyway, and lets the optimizer drop the join
+    where no column of the dimension is used. Rows with a null key only count where
+    nulls match.
     """
     keys = as_list(on)
     used = dim if null_safe else dim.dropna(subset=keys)
-    most = used.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if most and most > 1:
-        raise ValueError(f"dimension key {keys} is not unique")
-    return used
+    others = [c for c in used.columns if c not in keys]
+    message = F.raise_error(F.lit(f"dimension key {keys} is not unique"))
+    grouped = used.groupBy(*keys).agg(F.count("*").alias("__rows"), *(F.first(c).alias(c) for c in others))
+    return grouped.select(*keys, *(F.when(F.col("__rows") > 1, message).otherwise(F.col(c)).alias(c) for c in others))
 
 
 def with_dim(

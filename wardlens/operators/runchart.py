@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.operators.prefix import PIECE, piece
 from wardlens.schema import as_list
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "median": F.median}
@@ -58,31 +59,49 @@ def _limits(chart: DataFrame) -> DataFrame:
     )
 
 
-def run_chart(
-    df: DataFrame,
-    x: str,
-    y: str,
-    facet: str | Sequence[str] | None = None,
-    agg: str = "sum",
-) -> DataFrame:
-    """One row per facet and period with the value, the centre line and the signal.
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of pieces, numbered through; those at the ends of neighbours on one side are one."""
+    ends = runs.groupBy(PIECE).agg(
+        F.min_by("side", "run").alias("first"), F.max_by("side", "run").alias("last"), F.max("run").alias("crossings")
+    )
+    over = Window.partitionBy().orderBy(PIECE)
+    begins = F.coalesce((F.col("first") != F.lag("last").over(over)).cast("int"), F.lit(0))
+    starts = ends.withColumn("more", begins + F.lag("crossings", 1, 0).over(over))
+    starts = starts.select(PIECE, F.sum("more").over(over).alias("start"))
+    return runs.join(starts, PIECE).select((F.col("start") + F.col("run")).alias("run"), "length")
+
+
+def _side() -> Column:
+    return F.when(F.col("y") > F.col("centre"), 1).when(F.col("y") < F.col("centre"), -1)
+
+
+def _whole(points: DataFrame) -> DataFrame:
+    """The one chart of all points, its runs found in pieces of the periods first."""
+    points = points.withColumn("centre", points.agg(F.median("y")).scalar())
+    useful = points.select("x", _side().alias("side"), piece(points, "x").alias(PIECE)).dropna(subset=["side"])
+    inside = Window.partitionBy(PIECE).orderBy("x")
+    crossed = F.coalesce(F.col("side") != F.lag("side").over(inside), F.lit(False)).cast("int")
+    useful = useful.withColumn("crossed", crossed).withColumn("run", F.sum("crossed").over(inside))
+    runs = useful.groupBy(PIECE, "run", "side").agg(F.count("*").alias("length"))
+    found = _joined(runs).groupBy("run").agg(F.sum("length").alias("length")).agg(
+        F.struct(
+            F.coalesce(F.sum("length"), F.lit(0)).cast("int").alias("n_useful"),
+            F.coalesce(F.max("length"), F.lit(0)).cast("int").alias("longest_run"),
+            F.greatest(F.count("*") - 1, F.lit(0)).cast("int").alias("n_crossings"),
+        )
+    )
+    return points.withColumn("_runs", found.scalar()).select("x", "y", "centre", "_runs.*")
 
-    Everything after the first aggregation works on the periods of a facet,
-    which are as many as there are years, quarters or months in the data.
-    """
-    if agg not in AGGREGATES:
-        raise ValueError(f"agg must be one of {sorted(AGGREGATES)}, not {agg!r}")
-    facets = as_list(facet)
-    points = df.filter(F.col(x).isNotNull()).groupBy(*facets, x).agg(AGGREGATES[agg](y).alias("y"))
-    points = points.select(*facets, F.col(x).alias("x"), F.col("y").cast("double"))
+
+def _faceted(points: DataFrame, facets: Sequence[str]) -> DataFrame:
+    """A chart for each facet, which is a window over its points."""
     whole = Window.partitionBy(*facets)
     ordered = whole.orderBy("x")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    side = F.when(F.col("y") > F.col("centre"), 1).when(F.col("y") < F.col("centre"), -1)
     crossed = F.coalesce(F.col("side") != F.last("side", ignorenulls=True).over(earlier), F.lit(False))
-    chart = (
+    return (
         points.withColumn("centre", F.median("y").over(whole))
-        .withColumn("side", side)
+        .withColumn("side", _side())
         .withColumn("crossed", crossed.cast("int"))
         .withColumn("run", F.sum("crossed").over(ordered))
         .withColumn("run_length", F.count("side").over(Window.partitionBy(*facets, "run")))
@@ -94,6 +113,27 @@ def run_chart(
             }
         )
     )
+
+
+def run_chart(
+    df: DataFrame,
+    x: str,
+    y: str,
+    facet: str | Sequence[str] | None = None,
+    agg: str = "sum",
+) -> DataFrame:
+    """One row per facet and period with the value, the centre line and the signal.
+
+    Each facet is a window over its periods. Without facets, runs are found in pieces of
+    the periods, and what crosses from piece to piece then takes one row for each, so that
+    a chart of many periods is not sorted in one task.
+    """
+    if agg not in AGGREGATES:
+        raise ValueError(f"agg must be one of {sorted(AGGREGATES)}, not {agg!r}")
+    facets = as_list(facet)
+    points = df.filter(F.col(x).isNotNull()).groupBy(*facets, x).agg(AGGREGATES[agg](y).alias("y"))
+    points = points.select(*facets, F.col(x).alias("x"), F.col("y").cast("double"))
+    chart = _faceted(points, facets) if facets else _whole(points)
     signal = (F.col("longest_run") > F.col("longest_run_max")) | (
         F.col("n_crossings") < F.col("n_crossings_min")
     )

@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions import in_range
+from wardlens.operators.prefix import with_running_sums
 from wardlens.schema import as_list
 
 MAX_STRATA = 5
@@ -29,7 +30,8 @@ def km_curve(
     """Kaplan-Meier estimate per stratum and time.
 
     ``event`` is 1 or, for censored, 0. Rows with an unknown time, event or
-    stratum are left out. The windows run on one row per stratum and time.
+    stratum are left out. Sums over time run on one row per stratum and time; without
+    strata in two levels, so that a curve of many times is not sorted in one task.
     """
     keys = as_list(strata)
     risk = (
@@ -37,22 +39,22 @@ def km_curve(
         .groupBy(*keys, F.col(time).alias("time"))
         .agg(F.sum(F.col(event).cast("long")).alias("n_event"), F.count("*").alias("_left"))
     )
-    from_end = Window.partitionBy(*keys).orderBy(F.desc("time"))
-    so_far = Window.partitionBy(*keys).orderBy("time")
+    at_risk = with_running_sums(risk, keys, "time", backward={"n_risk": "_left"})
     stayed = 1 - F.col("n_event") / F.col("n_risk")
-    curve = (
-        risk.withColumn("n_risk", F.sum("_left").over(from_end))
-        .withColumn("_stayed", stayed)
-        .withColumn("_log", F.sum(F.log(F.when(F.col("_stayed") > 0, F.col("_stayed")))).over(so_far))
-        .withColumn("_zero", F.min("_stayed").over(so_far) <= 0)
-        .select(
-            *keys,
-            "time",
-            "n_risk",
-            "n_event",
-            (F.col("_left") - F.col("n_event")).alias("n_censor"),
-            F.when(F.col("_zero"), 0.0).otherwise(F.exp("_log")).alias("survival"),
-        )
+    steps = at_risk.withColumn("_stayed", stayed).withColumns(
+        {
+            "_step": F.log(F.when(F.col("_stayed") > 0, F.col("_stayed"))),
+            "_end": (F.col("_stayed") <= 0).cast("int"),
+        }
+    )
+    sums = with_running_sums(steps, keys, "time", forward={"_log": "_step", "_ends": "_end"})
+    curve = sums.select(
+        *keys,
+        "time",
+        "n_risk",
+        "n_event",
+        (F.col("_left") - F.col("n_event")).alias("n_censor"),
+        F.when(F.col("_ends") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"),
     )
     shown = in_range("time", *xlim)
     return curve if shown is None else curve.filter(shown)
@@ -86,9 +88,7 @@ def _sums(counts: DataFrame, strata: str, values: list) -> DataFrame:
         *(F.sum(F.when(is_in[i], F.col("d")).otherwise(0)).alias(f"d{i}") for i in size),
         *(F.sum(F.when(is_in[i], F.col("m")).otherwise(0)).alias(f"m{i}") for i in size),
     )
-    # One row per distinct time is left, so an unpartitioned window is short.
-    from_end = Window.partitionBy().orderBy(F.desc("t"))
-    risk = at_time.withColumns({f"n{i}": F.sum(f"m{i}").over(from_end) for i in size})
+    risk = with_running_sums(at_time, [], "t", backward={f"n{i}": f"m{i}" for i in size})
     d: Column = sum((F.col(f"d{i}") for i in size), F.lit(0))
     n: Column = sum((F.col(f"n{i}") for i in size), F.lit(0))
     risk = risk.withColumns({"d": d.cast("double"), "n": n.cast("double")})

@@ -23,6 +23,8 @@ Range = tuple[int | None, int | None]
 
 # Tasks that rows of one group may spread over in a join.
 GROUP_PIECES = 64
+# Groups that a filter compares each row with.
+MAX_GROUPS = 1_000
 # Accepts any value but null.
 KNOWN = "known"
 
@@ -98,20 +100,24 @@ class CohortSpec:
 
 
 def min_size(
-    cohort: DataFrame, n: int, by: str = "sub_specialty", max_groups: int = 10_000
+    cohort: DataFrame, n: int, by: str = "sub_specialty", max_groups: int | None = MAX_GROUPS
 ) -> DataFrame:
     """Keep the groups with at least ``n`` distinct admissions; nulls are a group.
 
-    The groups are found first. Up to ``max_groups`` of them become a filter, so no
-    row of the cohort moves; more are joined, spread over the admissions, so that a
-    large group does not meet in one task.
+    The groups are a subquery of the filter: nothing runs before the result does, and no
+    row of the cohort moves. More than ``max_groups`` groups raise when the plan runs. For
+    a column of that many values give None: the groups are joined then, any number of
+    them, spread over the admissions, so that a large group does not meet in one task.
     """
     admissions = cohort.select(F.col(by).alias("_group"), *KEY).distinct()
     sizes = admissions.groupBy("_group").agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") >= int(n)).select("_group")
-    found = [row["_group"] for row in large.take(max_groups + 1)]
-    if len(found) <= max_groups:
-        return cohort.filter(in_set(by, found))
+    if max_groups is not None:
+        # A struct is never null, so the group of nulls is found like any other.
+        found = large.limit(max_groups + 1).agg(F.collect_list(F.struct("_group"))).scalar()
+        message = F.raise_error(F.lit(f"more than {max_groups} groups of {by}; give max_groups=None to join them"))
+        member = F.array_contains(found, F.struct(F.col(by).alias("_group")))
+        return cohort.filter(F.when(F.size(found) > max_groups, message).otherwise(member))
     salt = F.pmod(F.xxhash64(*KEY), F.lit(GROUP_PIECES))
     pieces = F.sequence(F.lit(0).cast("long"), F.lit(GROUP_PIECES - 1).cast("long"))
     s = large.select("_group", F.explode(pieces).alias("_piece")).alias("s")
