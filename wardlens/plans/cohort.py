@@ -51,6 +51,8 @@ class CohortSpec:
     age: Range | str | None = None
     genders: Sequence | str | None = None
     min_n: int = 0
+    # As for ``min_size``: None where more sub-specialties than that are expected.
+    max_groups: int | None = MAX_GROUPS
     diagnostic: tuple[str, int, int] = field(default=("blood", -1, 1))
 
     @classmethod
@@ -132,7 +134,7 @@ def build_cohort(rx: DataFrame, spec: CohortSpec) -> DataFrame:
     for predicate in spec.predicates():
         cohort = cohort.filter(predicate)
     cohort = with_diagnostic(cohort, *spec.diagnostic)
-    return min_size(cohort, spec.min_n) if spec.min_n > 0 else cohort
+    return min_size(cohort, spec.min_n, max_groups=spec.max_groups) if spec.min_n > 0 else cohort
 
 
 def cohort_tests(tests: DataFrame, cohort: DataFrame, taken_only: bool = True) -> DataFrame:
