@@ -207,6 +207,11 @@ def test_minimum_size(spark):
     df = spark.createDataFrame([(i, i, s) for i, s in members], "id string, adm_id string, sub_specialty string")
     kept = rows(min_size(df, 10).groupBy("sub_specialty").count())
     assert kept == [(None, 10), ("large", 12)]
+    assert rows(min_size(df, 10, max_groups=None)) == rows(min_size(df, 10))
+    timed = df.selectExpr("*", "0 AS bc_timing", "0 AS uc_timing")
+    with pytest.raises(SparkRuntimeException, match="max_groups=None"):
+        build_cohort(timed, CohortSpec(min_n=10, max_groups=1)).collect()
+    assert build_cohort(timed, CohortSpec(min_n=10, max_groups=None)).count() == 22
 
 
 def test_quartiles(spark):
