@@ -17,6 +17,8 @@ from wardlens.session import configure, scratch_path
 AGENT_COLUMNS = ["amox", "cipr", "gent"]
 # The bindings give stays of 3 to 30 days.
 MAX_STAY_DAYS = 30
+# Given tables that the domain tables are made of.
+SOURCES = "{customer,part,orders,lineitem,events}.parquet"
 
 
 class Tables:
@@ -214,5 +216,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = Tables(configure(spark), sf_dir)
+        _TABLES[key] = Tables(configure(spark, [f"{sf_dir}/{SOURCES}"]), sf_dir)
     return _TABLES[key]

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from wardlens.session import PARTITIONS
+
 
 def _name(path: str) -> str:
     return "wardlens_" + hashlib.md5(path.encode()).hexdigest()
@@ -28,23 +30,34 @@ def _layout(path: str) -> str:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as the session's shuffles have partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """As many buckets as the session's shuffles have partitions, or begin with (see ``configure``)."""
+    return int(spark.conf.get(PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def write_bucketed(
-    df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None, mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    buckets: int | None = None,
+    mode: str = "errorifexists",
+    partitions: Sequence[str] = (),
 ) -> DataFrame:
     """Write a table in buckets of the keys and read it from there.
 
     Rows are dealt to the buckets by one shuffle before they are written, so that a
-    bucket is one file.
+    bucket is one file, or with ``partitions`` one in the folder of each of their values;
+    another session then reads the files as they are. Rows that come in as many buckets of
+    the keys stay where they are.
     """
     spark = df.sparkSession
     number = buckets or default_buckets(spark)
     keys = list(keys)
     dealt = df.repartition(number, *keys).write.format("parquet").mode(mode)
+    if partitions:
+        dealt = dealt.partitionBy(*partitions)
     dealt.bucketBy(number, *keys).option("path", path).saveAsTable(_name(path))
+    if partitions:
+        return spark.table(_name(path))
     layout = spark.createDataFrame([(keys, number, df.schema.json())], "keys array<string>, buckets int, schema string")
     layout.coalesce(1).write.mode(mode).parquet(_layout(path))
     return spark.table(_name(path))
