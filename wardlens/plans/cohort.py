@@ -18,6 +18,7 @@ from wardlens.operators.counts import (
 from wardlens.operators.derive import with_diagnostic
 from wardlens.plans.enrich import Enriched
 from wardlens.schema import KEY
+from wardlens.sources.buckets import write_bucketed
 
 Range = tuple[int | None, int | None]
 
@@ -185,13 +186,12 @@ class Cohort:
         """Write prescriptions, admissions and tests of the cohort once, for all its views.
 
         The selection runs once and each grain is built once; a view then reads the columns
-        it needs of the grain it works on.
+        it needs of the grain it works on. All three are in buckets of the admission key:
+        of tables that ``save_enriched`` wrote in this session no row moves.
         """
-        spark = self.prescriptions.sparkSession
 
         def kept(table: DataFrame, name: str) -> DataFrame:
-            table.write.mode(mode).parquet(f"{path}/{name}")
-            return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+            return write_bucketed(table, f"{path}/{name}", KEY, mode=mode)
 
         prescriptions = kept(self.prescriptions, "prescriptions")
         saved = Cohort(prescriptions, self.source_tests)

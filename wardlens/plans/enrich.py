@@ -21,6 +21,8 @@ from wardlens.schema import KEY, TIMING_COLUMN
 from wardlens.sources.buckets import default_buckets, write_bucketed
 
 TABLES = ("admissions", "prescriptions", "tests")
+# Number of an admission in its bucketed table, which tells rows of one key apart.
+ROW = "_row"
 
 
 def derive_admissions(adm: DataFrame) -> DataFrame:
@@ -83,6 +85,33 @@ def attribute_rx(
     return with_dim(with_rx_measures(joined), agents, "atc_code")
 
 
+def attribute_rx_by_row(
+    rx: DataFrame, adm: DataFrame, agents: DataFrame, buckets: int, max_stay_days: int | None = None
+) -> DataFrame:
+    """``attribute_rx`` for admissions in buckets of the key, numbered in ``ROW``.
+
+    Only key, number and dates of an admission meet the prescriptions; its other columns
+    come from its bucket, to which the prescriptions then go. A null ``adm_id`` is not
+    found there, so such an admission carries its columns along.
+    """
+    dates = ["adm_start_date", "adm_end_date"]
+    others = [c for c in adm.columns if c not in (*KEY, *dates, ROW)]
+    carried = F.when(F.col("adm_id").isNull(), F.struct(*others)).alias("_carried")
+    narrow = adm.select(*KEY, *dates, ROW, carried)
+    own = [c for c in rx.columns if c not in adm.columns or c == "id"]
+    met = attribute_rx(rx.select(*own), narrow, agents, max_stay_days)
+    m, a = met.repartition(buckets, *KEY).alias("m"), adm.alias("a")
+    # The number is compared as a range, so that the key alone deals the rows.
+    same = (F.col(f"m.{ROW}") <= F.col(f"a.{ROW}")) & (F.col(f"m.{ROW}") >= F.col(f"a.{ROW}"))
+    for c in KEY:
+        same = same & (F.col(f"m.{c}") == F.col(f"a.{c}"))
+    found = {c: F.coalesce(f"a.{c}", f"m._carried.{c}").alias(c) for c in others}
+    added = [c for c in met.columns if c not in (*own, *narrow.columns)]
+    first = [c for c in met.columns if c in own]
+    columns = [*first, *(c for c in adm.columns if c not in ("id", ROW)), *added]
+    return m.join(a, same, "left").select(*(found.get(c, F.col(f"m.{c}")) for c in columns))
+
+
 def attribute_tests(
     named_tests: DataFrame, adm: DataFrame, max_stay_days: int | None = None
 ) -> DataFrame:
@@ -177,9 +206,10 @@ def save_attributed(
     def keep(table: DataFrame, name: str) -> DataFrame:
         return write_bucketed(table, f"{path}/{name}", KEY, number, mode)
 
-    adm = keep(derive_admissions(adm), "admissions")
+    numbered = keep(derive_admissions(adm).withColumn(ROW, F.monotonically_increasing_id()), "admissions")
+    adm = numbered.drop(ROW)
     stay = longest_stay(adm) if max_stay_days is None else max_stay_days
-    rx = keep(attribute_rx(rx, adm, agents, stay), "prescriptions")
+    rx = keep(attribute_rx_by_row(rx, numbered, agents, number, stay), "prescriptions")
     tests = keep(attribute_tests(name_tests(tests, organisms), adm, stay), "tests")
     return Attributed(adm, rx, tests, keep(admission_facts(rx, tests), "facts"))
 
@@ -198,16 +228,14 @@ def save_enriched(
     """Write the enriched tables under ``path`` as Parquet by admission year and load them.
 
     What several steps need is written first, under ``stage`` (see ``save_attributed``).
-    Rows are rebalanced by year before they are written: few files of even size, and a
-    year with most of the rows is split.
+    The tables keep its buckets inside each year: no row moves again, a year is split, and
+    what joins or groups the loaded tables by the admission key has no shuffle.
     """
+    number = buckets or default_buckets(adm.sparkSession)
     stage = save_attributed(
-        adm, rx, tests, agents, organisms, f"{path}/stage", max_stay_days, mode, buckets
+        adm, rx, tests, agents, organisms, f"{path}/stage", max_stay_days, mode, number
     )
     tables = stage.enriched()
-    saved = []
-    for name in TABLES:
-        table: DataFrame = getattr(tables, name)
-        table.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(f"{path}/{name}")
-        saved.append(adm.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}"))
-    return Enriched(*saved)
+    return Enriched(
+        *(write_bucketed(getattr(tables, name), f"{path}/{name}", KEY, number, mode, ["year"]) for name in TABLES)
+    )
