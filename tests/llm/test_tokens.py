@@ -42,6 +42,19 @@ def test_forgetting_changes_nothing(monkeypatch):
     test_encoder_equals_the_library()
 
 
+def test_the_walk_looks_at_tokens_that_end_there_only():
+    """Each place asks for one remembered step, not for every length that tokens of its last letters have."""
+    merges = encoding.Encoder(BYTES).merges
+    state, looked, keys = "", 0, set()
+    for letter in "thethininginon" * 50:
+        keys.add(state + letter)
+        state, found = merges._step(state + letter)
+        assert all(merges.names[token] == state[len(state) - size :] for size, token in found)
+        assert [size for size, _ in found] == [size for size in range(len(state), 1, -1) if state[-size:] in merges.ids]
+        looked += len(found)
+    assert len(keys) < 100 and looked < 14 * 50 * 4
+
+
 def test_words_equal_the_library():
     library = Tokenizer.from_file(WORDS)
     encoder, column = tokenfiles.WordEncoder(WORDS), texts()

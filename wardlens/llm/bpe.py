@@ -10,7 +10,7 @@ which neighbours are stable by undoing their merges from the latest on.
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -32,10 +32,8 @@ class Merges:
         self.names = [token for token in tokens if len(token) < 2 or self._last_merge(token)]
         self.ids = {token: k for k, token in enumerate(self.names)}
         self.lengths = [len(token) for token in self.names]
-        sizes = defaultdict(set)
-        for token in self.names:
-            sizes[token[-2:]].add(len(token))
-        self.sizes = {end: sorted(lengths, reverse=True) for end, lengths in sizes.items()}
+        self._sorted = sorted(self.names)
+        self._steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
 
     def _last_merge(self, token: str) -> tuple[int, str, str] | None:
         """Rank, left and right of the merge that makes the token; None if the merges stop short of it."""
@@ -81,21 +79,43 @@ class Merges:
                     return False
         return True
 
-    def extend(self, text: str, ends: list[int]) -> None:
-        """Append the last token of each further prefix of the text."""
-        find, sizes, known, names = self.ids.get, self.sizes.get, self._stable.get, ()
+    def _step(self, key: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The longest end of a string that a token begins with, and length and number of the tokens that end there, longest first.
+
+        Those of one character are left out.
+        """
+        if len(self._steps) > REMEMBERED // 4:
+            self._steps.clear()
+        state = key
+        while len(state) > 1:
+            at = bisect_left(self._sorted, state)
+            if at < len(self._sorted) and self._sorted[at].startswith(state):
+                break
+            state = state[1:]
+        ends = (state[k:] for k in range(len(state) - 1))
+        found = self._steps[key] = state, tuple((len(end), self.ids[end]) for end in ends if end in self.ids)
+        return found
+
+    def extend(self, text: str, ends: list[int], states: list[str]) -> None:
+        """Append the last token of each further prefix of the text.
+
+        ``states`` holds, for each place of ``ends``, the longest end of the prefix that a token begins with.
+        """
+        steps, known, state = self._steps.get, self._stable.get, states[-1]
         for at in range(len(ends), len(text) + 1):
-            for size in sizes(text[at - 2 : at] if at > 1 else text[:1], names):
-                if size <= at and (token := find(text[at - size : at])) is not None:
-                    before = ends[at - size]
-                    if before < 0:
-                        break
-                    apart = known(before << 32 | token)
-                    if apart or (apart is None and self.stable(before, token)):
-                        break
+            key = state + text[at - 1]
+            state, sizes = steps(key) or self._step(key)
+            for size, token in sizes:
+                before = ends[at - size]
+                if before < 0:
+                    break
+                apart = known(before << 32 | token)
+                if apart or (apart is None and self.stable(before, token)):
+                    break
             else:
                 token = self.ids[text[at - 1]]
             ends.append(token)
+            states.append(state)
 
     def tokens(self, ends: list[int]) -> list[int]:
         """The whole encoding, last token first."""
@@ -112,14 +132,14 @@ class Merges:
         ``ends`` is the path to a word, so a prefix shared with the word before is not
         looked at again.
         """
-        ends, before = [-1], ""
+        ends, states, before = [-1], [""], ""
         for word in words:
             most = min(len(before), len(word))
             same = 0
             while same < most and before[same] == word[same]:
                 same += 1
-            del ends[same + 1 :]
-            self.extend(word, ends)
+            del ends[same + 1 :], states[same + 1 :]
+            self.extend(word, ends, states)
             out = self.tokens(ends)
             out.reverse()
             yield out

@@ -188,13 +188,14 @@ def digests(text: Column, path: str, keep: bool = True) -> Column:
             for _, _, data, starts in parts(array, SLICE):
                 own = encoder(path)
                 tokens, place, edge = own.slice(data, starts)
-                flat, size = spread(tokens, place)
-                total = np.concatenate([[0], np.cumsum(size)])[edge]
-                count.append(np.diff(total))
-                for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
-                    here = flat[a:b].tolist()
-                    ids.append(hashlib.sha256(own.listed(here)).hexdigest())
-                    text = own.decoded(here).decode(errors="replace")
+                size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                count.append(np.diff(np.concatenate([[0], np.cumsum(size[place])])[edge]))
+                # A unit that stands in many places is spelt and decoded once for the slice.
+                listed, spelt = list(map(own.listed, tokens)), list(map(own.decoded, tokens))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    here = place[a:b].tolist()
+                    ids.append(hashlib.sha256(b",".join(map(listed.__getitem__, here))).hexdigest())
+                    text = b"".join(map(spelt.__getitem__, here)).decode(errors="replace")
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
             columns = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])

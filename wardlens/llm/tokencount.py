@@ -76,7 +76,7 @@ class Transducer:
         if letter not in self.letters:  # spelt in bytes; no merge crosses it
             return START, len(letter.encode())
         text, ends = tail + letter, list(lasts)
-        self.merges.extend(text, ends)
+        self.merges.extend(text, ends, [tail])
         size = self.merges.lengths[ends[-1]]
         emitted = counts[len(text) - size] + 1
         keep = 0
