@@ -88,6 +88,29 @@ def test_frequent_phrases_of_many_small_shards(spark):
     assert found(docs, least=30, shard_words=5) == expected(rows, 30)
 
 
+def test_phrases_meet_packed():
+    """What shards send is a row for each bucket, a few bytes a phrase; sums and holders are exact, beyond 32 bits too."""
+    rng = np.random.default_rng(3)
+    shards = [np.unique(rng.integers(1, 3000, (4000, 4)), axis=0) for _ in range(3)]
+    count, sent = Counter(), []
+    for k, words in enumerate(shards):
+        one, two = collocation._packed(words, np.arange(3000))
+        own = np.where(np.arange(len(one)) % 3, 1, 1 << 33)
+        count.update(dict(zip(zip(one.tolist(), two.tolist(), strict=True), own.tolist(), strict=True)))
+        sent.append(collocation._dealt(k, one, two, own, 5))
+    table = collocation.pa.concat_tables(sent)
+    assert len(table) == 15 and table.nbytes < 12 * sum(map(len, shards))
+    found, back = {}, 0
+    for bucket in range(5):
+        part = table.filter(collocation.pa.array([b == bucket for b in table["bucket"].to_pylist()]))
+        for row in collocation._often(part, 30, True).to_pylist():
+            one, two, n = collocation._unpack(row["size"], row["data"]).tolist()
+            back += row["index"] is not None and len(one)
+            found |= dict(zip(zip(one, two, strict=True), n, strict=True)) if row["index"] is None else {}
+    assert found == {p: n for p, n in count.items() if n >= 30}
+    assert back >= len(found)
+
+
 def test_index_counts_every_phrase():
     """Grown to the right, to the left or found as pairs: intervals hold what the sequence holds."""
     rng = np.random.default_rng(4)

@@ -11,14 +11,15 @@ Three passes count phrases exactly, each ended by a sum over all shards:
 3. Frequent pairs come back to the shards that hold them, where they are grown to the
    right and then to the left, as long as all pairs inside are frequent.
 
-No phrase is more frequent than a part of it, so nothing frequent is lost. What comes
+Phrases travel packed, a row for each shard and bucket of phrases; a bucket holds what about
+``MEETING`` shards have. No phrase is more frequent than a part of it, so nothing frequent is lost. What comes
 back to a shard is bounded by the shard. The scores are joins of the frequent phrases.
 
 A language's share of the rows doesn't matter, as shards are cut by size. Null texts are
 empty, null languages ``und``; a piece of more than ``SHARD`` words is a shard of its own.
 Repeated rows count as often as they stand; a table without words gives no row. Other
-columns are never read. Files carry random names and count if a written table names them,
-so attempts that were lost leave nothing that is read.
+columns are never read. Files of words carry random names and count if a written table names them,
+so attempts that were lost leave nothing that is read; those of indexes carry their shard's.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.llm.files import create, opened
 from wardlens.llm.fmindex import Index, Phrases
-from wardlens.llm.text import LOWER, parts, runs
+from wardlens.llm.text import LOWER, mix, parts, runs
 from wardlens.session import scratch_path
 
 #: Words of a shard.
@@ -49,8 +51,10 @@ STOP[list(STOPS)] = 1
 WORD[list(STOPS + BLANKS)] = False
 
 VOCABULARY = "lang string, shard bigint, local int, word string, count bigint"
-PAIRS = "index bigint, pair bigint, count bigint"
-LONGER = "one bigint, two bigint, count bigint"
+PACKED = "index bigint, bucket int, size int, data binary"
+PHRASES = "one bigint, two bigint, count bigint"
+#: Shards for each bucket in which phrases of all shards meet.
+MEETING = 2
 #: Places of the strata in which the first phrases of a language are found before they meet.
 STRATA = 64
 
@@ -66,13 +70,18 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray
     return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), fresh
 
 
-def _store(folder: str, columns: dict[str, np.ndarray]) -> int:
-    """Write arrays to a new file; its number."""
-    number = uuid.uuid4().int >> 65
+def _store(folder: str, columns: dict[str, np.ndarray], number: int | None = None) -> int:
+    """Write arrays to a file of a new or a given number, which appears whole; its number."""
+    attempt = uuid.uuid4().int >> 65
     row = pa.record_batch([pa.array([values], pa.large_list(pa.from_numpy_dtype(values.dtype))) for values in columns.values()], list(columns))
     options = pa.ipc.IpcWriteOptions(compression="zstd")
-    with create(f"{folder}/{number:016x}.arrow") as file, pa.ipc.new_file(file, row.schema, options=options) as out:
+    path = f"{folder}/{attempt:016x}.arrow"
+    with create(path) as file, pa.ipc.new_file(file, row.schema, options=options) as out:
         out.write_batch(row)
+    if number is None:
+        return attempt
+    system, place = fs.FileSystem.from_uri(path)
+    system.move(place, f"{place.rsplit('/', 1)[0]}/{number:016x}.arrow")
     return number
 
 
@@ -186,6 +195,71 @@ def _packed(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return full[:, 0] << 32 | full[:, 1], full[:, 2] << 32 | full[:, 3]
 
 
+def _pack(one: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+    """Packed phrases in ascending order and their counts: the bytes of equal weight side by side, compressed."""
+    halves = [half for values in (one, two, count) for half in (values >> 32, values & 0xFFFFFFFF)]
+    halves[0] = np.diff(halves[0], prepend=0)
+    planes = np.stack(halves).astype("<u4").view(np.uint8).reshape(6, -1, 4).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(size: int, data: bytes) -> np.ndarray:
+    """What ``_pack`` was given, as three rows."""
+    planes = np.frombuffer(pa.decompress(data, 24 * size, codec="zstd", asbytes=True), np.uint8).reshape(6, 4, size)
+    halves = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(6, size).astype(np.int64)
+    halves[0] = np.cumsum(halves[0])
+    return halves[::2] << 32 | halves[1::2]
+
+
+def _rows(found: list[tuple[int | None, int, int, bytes]]) -> pa.Table:
+    names, types = ("index", "bucket", "size", "data"), (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({name: pa.array([row[k] for row in found], kind) for k, (name, kind) in enumerate(zip(names, types, strict=True))})
+
+
+def _dealt(index: int, one: np.ndarray, two: np.ndarray, count: np.ndarray, buckets: int) -> pa.Table:
+    """The phrases of one index, a row for each bucket; the same phrase is in the same bucket everywhere."""
+    bucket = (mix(one.astype(np.uint64) ^ mix(two.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((two, one, bucket))
+    one, two, count, bucket = one[order], two[order], count[order], bucket[order]
+    own, begin = np.unique(bucket, return_index=True)
+    ends = np.append(begin, len(bucket))[1:].tolist()
+    return _rows([(index, at, b - a, _pack(one[a:b], two[a:b], count[a:b])) for at, a, b in zip(own.tolist(), begin.tolist(), ends, strict=True)])
+
+
+def _often(table: pa.Table, least: int, back: bool) -> pa.Table:
+    """The phrases of a bucket that are frequent, with their counts over all indexes, as a row without index.
+
+    With ``back`` also those of each index.
+    """
+    one, two, count = np.concatenate([_unpack(row["size"], row["data"]) for row in table.select(["size", "data"]).to_pylist()], axis=1)
+    order = np.lexsort((two, one))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    total = np.add.reduceat(count[order], np.flatnonzero(first))
+    enough = total >= least
+    kept = np.empty(len(order), bool)
+    kept[order] = enough[np.cumsum(first) - 1]
+    head = order[first][enough]
+    bucket, out = table.column("bucket")[0].as_py(), []
+    if len(head):
+        out.append((None, bucket, len(head), _pack(one[head], two[head], total[enough])))
+    end = 0
+    for row in table.select(["index", "size"]).to_pylist() if back else []:
+        at = end + np.flatnonzero(kept[end : end + row["size"]])
+        end += row["size"]
+        if len(at):
+            out.append((row["index"], bucket, len(at), _pack(one[at], two[at], count[at])))
+    return _rows(out)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each phrase of packed rows."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            one, two, count = _unpack(row["size"], row["data"])
+            yield pa.record_batch([pa.array(one), pa.array(two), pa.array(count)], ["one", "two", "count"])
+
+
 def counts(docs: DataFrame, text: str, lang: str, least: int, shard_words: int = SHARD) -> Counts:
     """Words and phrases of up to four words that stand in the texts of a language ``least`` times or more."""
     spark = docs.sparkSession
@@ -206,24 +280,26 @@ def counts(docs: DataFrame, text: str, lang: str, least: int, shard_words: int =
     def indexed(table: pa.Table) -> pa.Table:
         local, ids = table.column("local").to_numpy(), table.column("id").to_numpy()
         order = np.argsort(ids)
-        tokens = _load(shards, table.column("shard")[0].as_py())["tokens"]
+        shard = table.column("shard")[0].as_py()
+        tokens = _load(shards, shard)["tokens"]
         number = np.zeros(max(int(tokens.max()), int(local.max())) + 1, np.int32)
         number[local[order]] = np.arange(1, len(ids) + 1)
         tokens, ids = number[tokens], np.concatenate([[0], ids[order]])
         gap = tokens == 0
         tokens = tokens[~gap | ~np.concatenate([[False], gap[:-1]])]
         before, after = Index.transforms(tokens, len(ids))
-        name = _store(indexes, {"before": before, "after": after, "ids": ids})
+        # Each attempt writes the same, under the shard's number: the pairs need no table that says which one counts.
+        name = _store(indexes, {"before": before, "after": after, "ids": ids}, shard)
         index = Index(before, after, len(ids))
         found = index.grown(index.single(), right=True)
-        pair, _ = _packed(found.words, ids)
-        return pa.table({"index": np.full(len(pair), name), "pair": pair, "count": found.count})
+        return _dealt(name, *_packed(found.words, ids), found.count, buckets)
 
     def grown(table: pa.Table) -> pa.Table:
-        stored = _load(indexes, table.column("index")[0].as_py())
+        name = table.column("index")[0].as_py()
+        stored = _load(indexes, name)
         ids = stored["ids"]
         index = Index(stored["before"], stored["after"], len(ids))
-        pair = np.sort(table.column("pair").to_numpy())
+        pair = np.sort(np.concatenate([_unpack(row["size"], row["data"])[0] for row in table.select(["size", "data"]).to_pylist()]))
         one, two = (np.searchsorted(ids, part) for part in (pair >> 32, pair & 0xFFFFFFFF))
         known = one * len(ids) + two
 
@@ -235,12 +311,16 @@ def counts(docs: DataFrame, text: str, lang: str, least: int, shard_words: int =
         three = frequent(index.grown(index.pairs(one, two), right=True), 1)
         four = frequent(index.grown(three, right=False), 0)
         packed = [_packed(found.words, ids) for found in (three, four)]
-        columns = {name: np.concatenate([part[k] for part in packed]) for k, name in enumerate(("one", "two"))}
-        return pa.table(columns | {"count": np.concatenate([three.count, four.count])})
+        one, two = (np.concatenate([part[k] for part in packed]) for k in (0, 1))
+        return _dealt(name, one, two, np.concatenate([three.count, four.count]), buckets)
+
+    def met(packed: DataFrame, back: bool) -> DataFrame:
+        dealt = packed.repartition(buckets, "bucket").groupBy("bucket")
+        return dealt.applyInArrow(lambda table: _often(table, least, back), PACKED)
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # One shuffle each counts words and pairs and tells the rows of their shards: a word or
-    # pair has a row for each shard that holds it, and is counted over these.
+    # One shuffle each counts words and pairs and tells the rows of their shards: a word has a
+    # row for each shard that holds it, a pair a place in one of the shard's packed rows.
     vocabulary = _kept(rows.mapInArrow(cut, VOCABULARY), f"{folder}/vocabulary")
     often = F.col("count") >= least
     frequent = _summed(vocabulary, "lang", "word").where(often).sortWithinPartitions("lang", "word")
@@ -248,13 +328,12 @@ def counts(docs: DataFrame, text: str, lang: str, least: int, shard_words: int =
     words, local = numbered.where("first").select("id", "lang", "word", "count"), numbered.select("shard", "local", "id")
     # As many tasks as shards: what is shuffled is small, what is read from the files isn't.
     tasks = max(1, vocabulary.select("shard").distinct().count())
-    pairs = _kept(local.repartition(tasks, "shard").groupBy("shard").applyInArrow(indexed, PAIRS), f"{folder}/pairs")
-    back = _kept(_summed(pairs, "pair").where(often), f"{folder}/back")
-    two = back.groupBy("pair").agg(F.max("count").alias("count"))
-    longer = back.select("index", "pair").repartition(tasks, "index").groupBy("index").applyInArrow(grown, LONGER)
-    longer = longer.groupBy("one", "two").agg(F.sum("count").alias("count")).where(often)
+    buckets = -(-tasks // MEETING)
+    pairs = local.repartition(tasks, "shard").groupBy("shard").applyInArrow(indexed, PACKED)
+    back = _kept(met(pairs, True), f"{folder}/back")
+    longer = back.where("index is not null").repartition(tasks, "index").groupBy("index").applyInArrow(grown, PACKED)
+    phrases = back.where("index is null").union(met(longer, False)).select("size", "data").mapInArrow(_spread, PHRASES)
     none = F.lit(0).cast("bigint").alias("two")
-    phrases = two.select(F.col("pair").alias("one"), none, "count").union(longer)
     single = words.select(F.shiftleft("id", 32).alias("one"), none, "count")
     totals = vocabulary.groupBy("lang").agg(F.sum("count").alias("n"))
     return Counts(words, totals, _kept(single.union(phrases), f"{folder}/phrases"))
