@@ -42,6 +42,20 @@ def test_forgetting_changes_nothing(monkeypatch):
     test_encoder_equals_the_library()
 
 
+def test_words_in_use_are_not_learned_again(monkeypatch):
+    """What a slice uses outlives the turn before it; only words of two turns ago are forgotten."""
+    monkeypatch.setattr(encoding, "REMEMBERED", 5)
+    encoder, learned = encoding.Encoder(BYTES), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.append(words), learn(words)))
+    often = "one two three four five six seven"
+    for text in (often, often, often + " eight, nine", often, "ten eleven twelve thirteen fourteen fifteen", "a b c d e f g", often):
+        encoder.slice(*next(parts(pa.array([text])))[2:])
+    assert learned[0] == {"one", " two", " three", " four", " five", " six", " seven"} == learned[6]
+    assert [len(words) for words in learned[1:4]] == [0, 3, 0]
+    assert len(encoder.older) < 20 and len(encoder.known) < 20
+
+
 def test_the_walk_looks_at_tokens_that_end_there_only():
     """Each place asks for one remembered step, not for every length that tokens of its last letters have."""
     merges = encoding.Encoder(BYTES).merges

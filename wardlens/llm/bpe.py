@@ -102,8 +102,9 @@ class Merges:
         ``states`` holds, for each place of ``ends``, the longest end of the prefix that a token begins with.
         """
         steps, known, state = self._steps.get, self._stable.get, states[-1]
-        for at in range(len(ends), len(text) + 1):
-            key = state + text[at - 1]
+        add, remember, first = ends.append, states.append, len(ends)
+        for at, letter in enumerate(text[first - 1 :], first):
+            key = state + letter
             state, sizes = steps(key) or self._step(key)
             for size, token in sizes:
                 before = ends[at - size]
@@ -113,9 +114,9 @@ class Merges:
                 if apart or (apart is None and self.stable(before, token)):
                     break
             else:
-                token = self.ids[text[at - 1]]
-            ends.append(token)
-            states.append(state)
+                token = self.ids[letter]
+            add(token)
+            remember(state)
 
     def tokens(self, ends: list[int]) -> list[int]:
         """The whole encoding, last token first."""
@@ -134,9 +135,10 @@ class Merges:
         """
         ends, states, before = [-1], [""], ""
         for word in words:
-            most = min(len(before), len(word))
             same = 0
-            while same < most and before[same] == word[same]:
+            for old, new in zip(before, word):  # noqa: B905
+                if old != new:
+                    break
                 same += 1
             del ends[same + 1 :], states[same + 1 :]
             self.extend(word, ends, states)

@@ -14,11 +14,12 @@ itself. Repeated rows are encoded alike; other columns are never read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
@@ -27,8 +28,8 @@ from wardlens.llm.bpe import Merges, byte_letters, byte_level
 from wardlens.llm.text import BLANK, parts, range_hashes
 
 SLICE = 1 << 20
-#: Words and units whose tokens a task remembers, unless longer than ``LONG``; past that it starts afresh.
-REMEMBERED, LONG = 300_000, 256
+#: Words and units whose tokens a task remembers, unless longer than ``LONG``; past that those in use since the last turn stay.
+REMEMBERED, LONG = 200_000, 256
 # Fixed value: the pattern that cuts a text into words before the merges.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEYOND = np.zeros(256, bool)
@@ -74,8 +75,12 @@ class Encoder:
             self.spelt[number] = name.encode() if name in self.special else name.translate(byte_of).encode("latin-1")
         for name, number in self.special.items():
             self.spelt[number] = name.encode()
-        self.digits = [b"%d" % number for number in range(len(self.spelt))]
+        #: The same as columns, for whole slices.
+        self.bytes_of = pa.array(self.spelt, pa.large_binary())
+        self.digits_of = pa.array([b"%d" % number for number in range(len(self.spelt))], pa.large_binary())
         self.known = self._special()
+        #: What was known before the last turn; a word met again moves back.
+        self.older: dict[str, tuple[int, ...]] = {}
         self.stops = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _special(self) -> dict[str, tuple[int, ...]]:
@@ -93,10 +98,19 @@ class Encoder:
         for name, tokens in zip(order, self.merges.encode_sorted(order), strict=True):
             self.known[spelt[name]] = tuple(map(number, tokens))
 
-    def _cut(self, unit: str) -> list[str]:
+    def _new(self, words: Iterable[str]) -> Iterator[str]:
+        """The words whose tokens are not known; those known before the last turn move back."""
+        for word in words:
+            tokens = self.older.get(word)
+            if tokens is None:
+                yield word
+            else:
+                self.known[word] = tokens
+
+    def _cut(self, unit: str, stops: bool) -> list[str]:
         if unit.isalpha() or (unit[:1] == " " and unit[1:].isalpha()):
             return [unit]
-        if self.stops is None or not self.stops.search(unit):
+        if not stops or not self.stops.search(unit):
             return WORDS.findall(unit)
         return [word for k, piece in enumerate(self.stops.split(unit)) for word in ([piece] if k % 2 else WORDS.findall(piece))]
 
@@ -105,8 +119,10 @@ class Encoder:
         whole = np.zeros(len(starts) - 1, bool)
         raw = data.tobytes()
         odd = [m.start() for m in _BLANKS.finditer(raw)] if _BEYOND[data].any() else []
+        plain = len(odd)
         for name in self.special:
             odd += [m.start() for m in regex.finditer(regex.escape(name.encode()), raw)]
+        stops = len(odd) > plain
         if odd:
             whole[np.searchsorted(starts, odd, side="right") - 1] = True
         edge = units(data, starts, whole)
@@ -114,25 +130,32 @@ class Encoder:
         _, first, place = np.unique(range_hashes(data, begin, end), return_index=True, return_inverse=True)
         names = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
-            self.known = self._special()
+            self.known, self.older = self._special(), self.known
         known = self.known
-        cuts = {name: self._cut(name) for name in names if name not in known}
-        self._learn({word for cut in cuts.values() for word in cut if word not in known})
+        cuts = {name: self._cut(name, stops) for name in self._new([name for name in names if name not in known])}
+        self._learn(set(self._new({word for cut in cuts.values() for word in cut if word not in known})))
         for name, cut in cuts.items():
             if len(cut) != 1:
                 known[name] = tuple(chain.from_iterable(map(known.__getitem__, cut)))
-        tokens = [known[name] for name in names]
-        for name in (word for cut in cuts.items() for word in (cut[0], *cut[1]) if len(word) > LONG):
-            known.pop(name, None)
+        tokens = list(map(known.__getitem__, names))
+        for name in [name for name in cuts if len(name) > LONG]:
+            for word in (name, *cuts[name]):
+                if len(word) > LONG:
+                    known.pop(word, None)
         return tokens, place, np.searchsorted(begin, starts)
 
     def decoded(self, tokens: Sequence[int]) -> bytes:
         """The bytes that the tokens spell; special tokens spell their name."""
         return b"".join(map(self.spelt.__getitem__, tokens))
 
-    def listed(self, tokens: Sequence[int]) -> bytes:
-        """The decimal numbers of the tokens, joined by commas."""
-        return b",".join(map(self.digits.__getitem__, tokens))
+    def written(self, flat: np.ndarray, edge: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """Of each row of tokens their decimal numbers, joined by commas, and the bytes they spell."""
+        edge = pa.array(edge, pa.int32())
+        numbers, spelt = (pa.ListArray.from_arrays(edge, names.take(pa.array(flat))) for names in (self.digits_of, self.bytes_of))
+        for low in range(0, len(numbers), 256):
+            listed = pc.binary_join(numbers.slice(low, 256), pa.scalar(b",", pa.large_binary()))
+            decoded = pc.binary_join(spelt.slice(low, 256), pa.scalar(b"", pa.large_binary()))
+            yield from zip(listed.to_pylist(), decoded.to_pylist(), strict=True)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -188,15 +211,12 @@ def digests(text: Column, path: str, keep: bool = True) -> Column:
             for _, _, data, starts in parts(array, SLICE):
                 own = encoder(path)
                 tokens, place, edge = own.slice(data, starts)
-                size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                count.append(np.diff(np.concatenate([[0], np.cumsum(size[place])])[edge]))
-                # A unit that stands in many places is spelt and decoded once for the slice.
-                listed, spelt = list(map(own.listed, tokens)), list(map(own.decoded, tokens))
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    here = place[a:b].tolist()
-                    ids.append(hashlib.sha256(b",".join(map(listed.__getitem__, here))).hexdigest())
-                    text = b"".join(map(spelt.__getitem__, here)).decode(errors="replace")
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
+                flat, size = spread(tokens, place)
+                edge = np.concatenate([[0], np.cumsum(size)])[edge]
+                count.append(np.diff(edge))
+                for listed, spelt in own.written(flat, edge):
+                    ids.append(hashlib.sha256(listed).hexdigest())
+                    decoded.append(hashlib.sha256(spelt.decode(errors="replace").encode()).hexdigest())
             columns = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
         if not keep:
