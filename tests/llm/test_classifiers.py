@@ -33,6 +33,20 @@ def test_languages_of_odd_texts(spark, docs):
     assert empty_docs(spark).select(langid.predict(model, F.col("text")).alias("p")).collect() == []
 
 
+def test_the_sample_is_drawn_before_any_join(spark, docs, monkeypatch):
+    """A join that decides which rows are sampled shuffles all texts."""
+    taken = []
+    draw = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda rows, *rest: taken.append(rows) or draw(rows, *rest))
+    langid.vocabulary(docs, "text", "lang", "doc_id", rows_per_lang=5)
+    langid.fit(docs, "text", "lang", "doc_id", rows_per_lang=5)
+    assert len(taken) == 2
+    for rows in taken:
+        lines = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert any("Filter" in line and "xxhash64" in line for line in lines)
+        assert not any("Join" in line and "xxhash64" in line for line in lines)
+
+
 def test_one_language_or_none(spark):
     text = spark.createDataFrame([("one",), ("...",), (None,)], "text string")
     for langs, expected in ((["xx", "xx"], ["xx", "und", "und"]), ([None, None], ["und", "und", "und"])):

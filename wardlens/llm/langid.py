@@ -125,6 +125,12 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [rows["pair"].iloc[0]], "weights": [(w * scale).astype("<f4").tobytes()], "bias": [float(b)]})
 
 
+def _drawn(known: DataFrame, counts: dict[str, int], rows_per_lang: int) -> DataFrame:
+    """About ``rows_per_lang`` rows of each language, drawn by key where the rows are read: the others go to no shuffle."""
+    share = F.create_map(*(F.lit(part) for code, n in counts.items() for part in (code, rows_per_lang / n)))[F.col("lang")]
+    return known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30) < share)
+
+
 def fit(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: int = 300) -> LanguageModel:
     """Learn from the rows whose language is known, on a sample of about ``rows_per_lang`` rows each."""
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
@@ -145,12 +151,8 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: int = 30
     if len(counts) < 2:
         return LanguageModel(families, {})
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(code, rows_per_lang / counts[code], pair, side) for code, own in duels.items() for pair, side in own],
-        "lang string, share double, pair string, side float",
-    )
-    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = known.join(plan, "lang").where(chance < F.col("share")).select("pair", "side", "text")
+    plan = spark.createDataFrame([(code, pair, side) for code, own in duels.items() for pair, side in own], "lang string, pair string, side float")
+    sample = _drawn(known, counts, rows_per_lang).join(plan, "lang").select("pair", "side", "text")
     vectors = sample.mapInArrow(_vectors, "pair string, side float, at array<int>, value array<float>")
     trained = vectors.groupBy("pair").applyInPandas(_train, "pair string, weights binary, bias double").collect()
     pairs = {tuple(row["pair"].split("\t")): (np.frombuffer(row["weights"], "<f4"), row["bias"]) for row in trained}
@@ -181,12 +183,10 @@ def _vocabulary(rows: pd.DataFrame) -> pd.DataFrame:
 def vocabulary(docs: DataFrame, text: str, lang: str, key: str, rows_per_lang: int = 300) -> dict[str, tuple[np.ndarray, float]]:
     """Bits of the trigrams of each language and its cut, on a sample of about ``rows_per_lang`` rows each."""
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    shares = [(row["lang"], rows_per_lang / row["n"]) for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    if not shares:
+    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return {}
-    plan = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
-    wide = known.join(plan, "lang").where(chance < F.col("share")).select("lang", "text").mapInArrow(_wide, "lang string, at array<int>, many array<int>")
+    wide = _drawn(known, counts, rows_per_lang).select("lang", "text").mapInArrow(_wide, "lang string, at array<int>, many array<int>")
     found = wide.groupBy("lang").applyInPandas(_vocabulary, "lang string, bits binary, cut double").collect()
     return {row["lang"]: (np.frombuffer(row["bits"], np.uint8), row["cut"]) for row in found}
 
