@@ -79,6 +79,36 @@ def test_words_equal_the_library():
             assert ids[a:b].tolist() == library.encode(column[k], add_special_tokens=False).ids, column[k]
 
 
+def test_units_met_before_are_not_encoded_again(monkeypatch):
+    """A later slice only looks up what the task has met, also units that go through the library."""
+    encoder, asked = tokenfiles.WordEncoder(WORDS), []
+    for name in ("_unit", "_word"):
+        own = getattr(encoder, name)
+        monkeypatch.setattr(encoder, name, lambda text, own=own: (asked.append(text), own(text))[1])
+    text = "One, two (one) 12 日本語 É×é one"
+    first = encoder.slice(*next(parts(pa.array([text])))[2:])[0]
+    assert len(asked) == len(set(asked)) and "日本語" in asked
+    asked.clear()
+    again = encoder.slice(*next(parts(pa.array(["ONE! 日本語", text])))[2:])[0]
+    assert asked == ["!"]
+    assert again[-len(first) :].tolist() == first.tolist()
+
+
+def test_words_cut_as_a_slice_equal_the_library(monkeypatch):
+    library, rng = Tokenizer.from_file(WORDS), random.Random(3)
+    signs = "aaeststmdvrlLT''''  .,<|>/09 ÀÉßÿ×÷Øñ½日é\x00\x7f"
+    column = ["", "<", "|endoftext|>", "'", "s", "<|ENDOFTEXT|> It'S L'Éte", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000))]
+    expected = [library.encode(text, add_special_tokens=False).ids for text in column]
+    for remembered, long in ((5, 4), (600_000, 256)):
+        monkeypatch.setattr(tokenfiles, "REMEMBERED", remembered)
+        monkeypatch.setattr(tokenfiles, "LONG", long)
+        encoder = tokenfiles.WordEncoder(WORDS)
+        for low, _, data, starts in parts(pa.array(column), 3000):
+            ids, edge = encoder.slice(data, starts)
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True), low):
+                assert ids[a:b].tolist() == expected[k], column[k]
+
+
 @pytest.mark.parametrize("chunk", [4096, 50])
 def test_counts_equal_the_library(spark, monkeypatch, chunk):
     monkeypatch.setattr(tokencount, "CHUNK", chunk)

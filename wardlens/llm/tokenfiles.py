@@ -12,9 +12,10 @@ Files carry the name of the attempt that wrote them; those that count are listed
 written manifest, so an attempt that was lost leaves nothing that is read.
 
 Encoding is the tokenizers library's. Texts are cut at ASCII blanks, over which the
-vocabulary's rules never look; each distinct unit is encoded once a slice. For units of
-common letters and signs under the expected rules (NFC, lower case, word pattern, byte
-letters) only the library's merges are called, once for each word the task has not met.
+vocabulary's rules never look. Under the expected rules (NFC, lower case, word pattern,
+byte letters) units of common letters and signs are cut into words as a slice, and only the
+library's merges are called, once for each word the task has not met. Other units go
+through the library as they are, each distinct one that the task has not met once.
 
 Null and empty text: the end id alone. A null key comes before all others; rows with
 equal keys follow each other by text. An empty table writes no file. Other columns are
@@ -26,6 +27,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -37,7 +39,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm.bpe import byte_letters
-from wardlens.llm.encoding import spread
 from wardlens.llm.files import create, fresh, opened
 from wardlens.llm.ordering import buckets, dealt
 from wardlens.llm.text import BLANK, LOWER, parts, range_hashes, runs
@@ -53,6 +54,15 @@ RULES = {
 }
 COMMON = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 WORDS = regex.compile(RULES["pattern"])
+#: The first byte of the common letters beyond ASCII, and the letters that a shortened word's ending begins with.
+LATIN = 0xC3
+SHORT = np.zeros(256, bool)
+SHORT[list(b"stmdrvlSTMDRVL")] = True
+#: Of the signs of ASCII: 1 letter, 2 digit, 3 any other, 0 blanks, controls and all beyond.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[0x30:0x3A] = 2
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = 1
 MANIFEST = "bucket int, path string, index string, ids long, docs long"
 
 
@@ -73,36 +83,74 @@ class WordEncoder:
         cut = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.short_way = steps == RULES["normalizer"] and cut == RULES["pattern"]
         self.letters = byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = tuple(token.id for token in self.model.tokenize(spelt))
-            if len(word) <= LONG:
-                self.known[word] = found
-        return found
-
-    def _unit(self, unit: str) -> tuple[int, ...]:
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The entry of each word or unit met; of each entry its ids in a row, and where they end.
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def _word(self, word: str) -> list[int]:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(spelt)]
+
+    def _unit(self, unit: str) -> list[int]:
         if self.short_way and "<|" not in unit and COMMON.fullmatch(unit):
-            unit = unit.lower()
-            if unit.isalpha():
-                return self._word(unit)
-            return tuple(chain.from_iterable(map(self._word, WORDS.findall(unit))))
-        return tuple(self.library.encode(unit, add_special_tokens=False).ids)
+            return list(chain.from_iterable(map(self._word, WORDS.findall(unit.lower()))))
+        return self.library.encode(unit, add_special_tokens=False).ids
+
+    def _cut(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with the words in lower case, where words or whole units begin and end, and which are whole.
+
+        A unit stays whole and as it is if it has a letter or sign that is not common, or
+        what may be a special string or a shortened word.
+        """
+        begin, end, _ = runs(~BLANK[data], starts)
+        if not self.short_way:
+            return data, begin, end, np.ones(len(begin), bool)
+        before, after = np.zeros_like(data), np.zeros_like(data)
+        before[1:], after[:-1] = data[:-1], data[1:]
+        latin = (before == LATIN) & (data != 0x97) & (data != 0xB7)
+        lead = (data == LATIN) & (after != 0x97) & (after != 0xB7)
+        kind = KIND[data].astype(np.uint32)
+        odd = (kind == 0) & ~BLANK[data] & ~latin & ~lead
+        odd |= ((data == 0x27) & SHORT[after]) | ((data == 0x3C) & (after == 0x7C))
+        kind[latin | lead] = 1
+        alone = np.flatnonzero(kind == 2)
+        kind[alone] = alone + 4  # no two digits alike
+        at = np.unique(np.searchsorted(begin, np.flatnonzero(odd), side="right") - 1)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[begin[at]] += 1
+        inside[end[at]] -= 1
+        whole = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        kind[whole] = 2
+        seen = LOWER[data]
+        seen[latin & (data < 0x9F)] += 0x20
+        seen[whole] = data[whole]
+        begin, end, _ = runs(kind, starts)
+        return seen, begin, end, whole[begin]
 
     def slice(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the rows one after the other, and where each row's begin."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        raw = data.tobytes()
-        begin, end, _ = runs(~BLANK[data], starts)
-        seen = LOWER[data] if self.short_way and b"<|" not in raw else data
+        if len(self.known) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self._forget()
+        seen, begin, end, whole = self._cut(data, starts)
         _, first, place = np.unique(range_hashes(seen, begin, end), return_index=True, return_inverse=True)
-        tokens = [self._unit(raw[a:b].decode()) for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        flat, size = spread(tokens, place)
-        return flat, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, starts)]
+        raw, known = seen.tobytes(), self.known
+        names = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        for name, unit in zip(names, whole[first].tolist(), strict=True):
+            if name not in known:
+                self.ids.extend(self._unit(name.decode()) if unit else self._word(name.decode()))
+                known[name] = len(self.ends) - 1
+                self.ends.append(len(self.ids))
+        entry = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[place]
+        for k in np.flatnonzero((end - begin)[first] > LONG).tolist():
+            del known[names[k]]
+        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+        size = (ends[1:] - ends[:-1])[entry]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(ends[entry] - edge[:-1], size) + np.arange(edge[-1])]
+        return flat, edge[np.searchsorted(begin, starts)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
