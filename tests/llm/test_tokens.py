@@ -1,5 +1,7 @@
 import hashlib
 import random
+import shutil
+import time
 import zlib
 
 import numpy as np
@@ -174,3 +176,19 @@ def test_token_files(spark):
 def test_no_rows_no_token_files(spark):
     files = tokenfiles.write(empty_docs(spark), "doc_id", "text", WORDS, scratch_path(spark, "tokens"), end_id=2)
     assert tokenfiles.read(spark, files).collect() == []
+
+
+def test_a_task_drops_its_vocabulary(spark, tmp_path):
+    """Without ``keep`` no task process holds the encoder after the task."""
+    path = str(tmp_path / "own.json")
+    shutil.copy(BYTES, path)
+    docs = spark.createDataFrame([("one two three",)] * 16, "text string").repartition(16)
+    assert docs.select(encoding.digests(F.col("text"), path, keep=False).alias("own")).where("own.n_tokens > 0").count() == 16
+
+    def held(batches):
+        from wardlens.llm import encoding as module  # that of the task process
+
+        time.sleep(0.2)  # so that every process gets a task
+        yield from (pa.record_batch([pa.array([path in module._ENCODERS] * batch.num_rows)], ["held"]) for batch in batches)
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(held, "held boolean").where("held").count() == 0

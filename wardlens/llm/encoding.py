@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from wardlens.llm.bpe import Merges, byte_letters, byte_level
-from wardlens.llm.text import BLANK, parts, range_hashes
+from wardlens.llm.text import BLANK, give_back, parts, range_hashes
 
 SLICE = 1 << 20
 #: Words and units whose tokens a task remembers, unless longer than ``LONG``; past that those in use since the last turn stay.
@@ -168,6 +168,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(path: str) -> None:
+    """Drop this task process's encoder of a vocabulary file, and the vocabulary.
+
+    To be called by name: a function that Spark sends to the tasks has its own copy of ``_ENCODERS``.
+    """
+    _ENCODERS.pop(path, None)
+    byte_level.cache_clear()
+    give_back()
+
+
 def encode(text: Column, path: str) -> Column:
     """array<int>: the tokens of a text column."""
 
@@ -220,7 +230,7 @@ def digests(text: Column, path: str, keep: bool = True) -> Column:
             columns = [pa.array(np.concatenate(count) if count else [], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
         if not keep:
-            _ENCODERS.pop(path, None)
-            byte_level.cache_clear()
+            own = None
+            forget(path)
 
     return hashed(text)

@@ -53,7 +53,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType
 
 from wardlens.llm.components import components
-from wardlens.llm.text import BLANK, LOWER, gram_hashes, mix, parts, range_hashes, runs
+from wardlens.llm.text import BLANK, LOWER, give_back, gram_hashes, mix, parts, range_hashes, runs
 from wardlens.session import scratch_path
 
 WORDS = 5
@@ -157,6 +157,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["key", "mark", "n", "sig", "point", "near"],
             )
+    give_back()
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +198,7 @@ def _prefixes(common: np.ndarray):
                     signs.append(np.full(size, sign, np.uint64))
                 if keys:
                     yield pa.record_batch([pa.array(_signed(np.concatenate(keys))), pa.array(_signed(np.concatenate(signs)))], ["key", "sig"])
+        give_back()
 
     return prefixes
 
@@ -255,6 +257,8 @@ def _routes(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordB
     yield from blocks(key, sign)
     if pairs:
         yield pair_batch()
+    pairs.clear()
+    give_back()
 
 
 def _route(key: np.ndarray, a: np.ndarray, b: np.ndarray, pair: bool) -> pa.RecordBatch:
@@ -435,6 +439,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if links:
             sign, at = rows.column("sig").to_numpy(), np.array(links)
             yield pa.record_batch([pa.array(sign[at[:, 0]]), pa.array(sign[at[:, 1]])], ["a", "b"])
+    give_back()
 
 
 @arrow_udf(BooleanType())
@@ -467,6 +472,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if 100 * both >= 80 * (len(own) + len(values) - both):
                         found.append(k)
             yield pa.record_batch([pa.array(ones[found]), pa.array(twos[found])], ["a", "b"])
+    give_back()
 
 
 @arrow_udf(LongType())

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from wardlens.llm.text import LOWER, WORDY, parts, sums
+from wardlens.llm.text import LOWER, WORDY, parts, returned, sums
 
 # ISO 639-1 codes by language family.
 FAMILIES = {
@@ -227,8 +227,7 @@ def predict(model: LanguageModel, text: Column, held: dict[str, tuple[np.ndarray
 
     checked = held is not None
 
-    @arrow_udf("struct<lang: string, score: double" + ", known: boolean" * checked + ">")
-    def language(column: pa.Array) -> pa.Array:
+    def found(column: pa.Array) -> pa.Array:
         langs, scores, sound = [], [], [np.zeros(0, bool)]
         for low, high, data, starts in parts(column):
             rows = high - low
@@ -252,5 +251,9 @@ def predict(model: LanguageModel, text: Column, held: dict[str, tuple[np.ndarray
         names = ["lang", "score", "known"]
         return pa.StructArray.from_arrays(fields[: 2 + checked], names[: 2 + checked])
 
+    @arrow_udf("struct<lang: string, score: double" + ", known: boolean" * checked + ">")
+    def language(column: pa.Array) -> pa.Array:
+        return returned(found, column)
+
     lettered = F.when(text.rlike("\\p{L}"), text)  # bytes beyond ASCII may be signs
     return language(lettered)

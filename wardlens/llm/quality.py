@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from wardlens.llm.text import BLANK, WORDY, gram_hashes, parts, range_hashes, runs, sums
+from wardlens.llm.text import BLANK, WORDY, gram_hashes, parts, range_hashes, returned, runs, sums
 
 BITS = 18
 SHARDS = 4
@@ -108,8 +108,7 @@ def score(model: QualityModel, text: Column) -> Column:
     """P(label = 1) of a text column."""
     weights, bias = model.weights, model.bias
 
-    @arrow_udf("double")
-    def probability(column: pa.Array) -> pa.Array:
+    def found(column: pa.Array) -> pa.Array:
         out = []
         for _, _, data, starts in parts(column):
             place, one, two = features(data, starts)
@@ -119,4 +118,8 @@ def score(model: QualityModel, text: Column) -> Column:
             out.append(1 / (1 + np.exp(-np.clip(dot + bias, -30, 30))))
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
+    @arrow_udf("double")
+    def probability(column: pa.Array) -> pa.Array:
+        return returned(found, column)
+
     return probability(text)

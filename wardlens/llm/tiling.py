@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from wardlens.llm.text import gram_hashes, parts, range_hashes, unicode_words
+from wardlens.llm.text import give_back, gram_hashes, parts, range_hashes, unicode_words
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
@@ -165,6 +165,7 @@ def _tested(items: Items, text: Column, threshold: float) -> Column:
                         named[low + row] = items.named[item]
             columns_out = [pa.array(best[0]), pa.array(best[1], mask=~named), pa.array(best[2]), pa.array(best[3])]
             yield pa.StructArray.from_arrays(columns_out, ["coverage", "item_id", "n_items", "n_tiles"])
+        give_back()
 
     return covered(F.lower(text))
 
